@@ -19,6 +19,12 @@ def clip01(value: Column) -> Column:
     return F.least(F.lit(1.0), F.greatest(F.lit(0.0), value))
 
 
+def round_half_even(value: Column, digits: int = 0) -> Column:
+    """Round the scaled double half to even, as array libraries do."""
+    scale = float(10 ** digits)
+    return F.rint(value * F.lit(scale)) / F.lit(scale)
+
+
 def flag(condition: Column) -> Column:
     """1/0 as TINYINT, with null read as false."""
     return F.coalesce(condition, F.lit(False)).cast("tinyint")

@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ledgerlens.functions.scalar import epoch_micros
+from ledgerlens.functions.scalar import epoch_micros, round_half_even
 from ledgerlens.operators.ordering import exact_quantiles, running_position
 
 
@@ -92,7 +92,7 @@ def latency_percentiles(df: DataFrame, latency: str = "latency_sec", key: str =
         return at(F.when(index < 0, n + index).otherwise(index))
 
     def nearest(p: float) -> Column:
-        return at(F.bround(F.lit(p) * (n - 1), 0).cast("bigint"))
+        return at(round_half_even(F.lit(p) * (n - 1), 0).cast("bigint"))
 
     return placed.agg(
         F.count(F.lit(1)).alias("received"), F.avg(latency).alias("latency_avg"),

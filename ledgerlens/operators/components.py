@@ -8,7 +8,7 @@ written to the shared folder, which bounds lineage and survives lost executors.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Observation
 from pyspark.sql import functions as F
 
 from ledgerlens.session import cut
@@ -35,9 +35,12 @@ def _small_star(edges: DataFrame) -> DataFrame:
     return moved.where(F.col("a") != F.col("b")).distinct()
 
 
-def _fingerprint(edges: DataFrame):
-    return edges.agg(F.count(F.lit(1)).alias("n"),
-                     F.bit_xor(F.xxhash64("a", "b")).alias("x")).first()
+def _written(edges: DataFrame, tag: str) -> tuple[DataFrame, tuple]:
+    """The written edges, with a count and hash taken while writing."""
+    seen = Observation()
+    table = cut(edges.observe(seen, F.count(F.lit(1)).alias("n"),
+                              F.bit_xor(F.xxhash64("a", "b")).alias("x")), tag)
+    return table, (seen.get["n"], seen.get["x"])
 
 
 def connected_components(edges: DataFrame, src: str = "src", dst: str = "dst",
@@ -46,11 +49,9 @@ def connected_components(edges: DataFrame, src: str = "src", dst: str = "dst",
     pair = edges.where(F.col(src).isNotNull() & F.col(dst).isNotNull()).select(
         F.greatest(src, dst).alias("a"), F.least(src, dst).alias("b")).distinct()
     start = cut(pair, "edges")
-    current = start.where(F.col("a") != F.col("b"))
-    seen = _fingerprint(current)
+    current, seen = start.where(F.col("a") != F.col("b")), None
     for _ in range(max_rounds):
-        current = cut(_small_star(_large_star(current)), "round")
-        now = _fingerprint(current)
+        current, now = _written(_small_star(_large_star(current)), "round")
         if now == seen:
             break
         seen = now

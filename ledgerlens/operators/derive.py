@@ -13,6 +13,7 @@ from ledgerlens import schema as S
 from ledgerlens.functions.hashing import choose_by_hash, id_by_hash, stable_hash
 from ledgerlens.functions.scalar import (
     _c, add_seconds, clip01, epoch_micros, first_reasons, flag, number_or,
+    round_half_even,
 )
 from ledgerlens.operators.ordering import pct_rank_avg, running_position
 
@@ -77,7 +78,7 @@ def rescale_time(df: DataFrame, order: Sequence[str] = ("transaction_id",)) -> D
         "_share", F.coalesce(
             (offset / 1e6) / ((F.col("_last") - F.col("_first")) / 1e6), F.lit(0.0)))
     both = spread.select(*df.columns, "_share").unionByName(moving.select(*df.columns, "_share"))
-    seconds = F.bround(F.col("_share") * S.WINDOW_SECONDS, 0).cast("bigint")
+    seconds = round_half_even(F.col("_share") * S.WINDOW_SECONDS, 0).cast("bigint")
     return (both.withColumn("timestamp", add_seconds(F.lit(S.WINDOW_START), seconds))
             .select(*df.columns))
 
@@ -163,7 +164,7 @@ def rule_score(df: DataFrame) -> DataFrame:
              + F.lit(0.20) * F.col("is_night").cast("double")
              + F.lit(0.20) * cross_country().cast("double")
              + F.lit(0.15) * high_risk_type().cast("double"))
-    return ranked.withColumn("rule_score", F.bround(clip01(score), 4)).drop("_amount_rank")
+    return ranked.withColumn("rule_score", round_half_even(clip01(score), 4)).drop("_amount_rank")
 
 
 def risk_level_rule(label: Column | str = "is_fraud", score: Column | str = "rule_score") -> Column:

@@ -38,31 +38,31 @@ def running_totals(
     group, whole = list(group), dict(whole or {})
     stored = cut(
         df.orderBy(*[F.col(g) for g in group], *_as_columns(order))
-        .withColumn("_slot", F.monotonically_increasing_id()),
+        .withColumn("_rt_slot", F.monotonically_increasing_id()),
         "sorted",
-    ).withColumn("_part", F.shiftright("_slot", _PARTITION_SHIFT))
-    piece = ["_part", *group]
-    sizes = stored.groupBy(*piece).agg(F.min("_slot").alias("_first"), *[
-        (F.count(F.lit(1)) if column is None else F.sum(column)).alias(f"_size_{name}")
+    ).withColumn("_rt_part", F.shiftright("_rt_slot", _PARTITION_SHIFT))
+    piece = ["_rt_part", *group]
+    sizes = stored.groupBy(*piece).agg(F.min("_rt_slot").alias("_rt_first"), *[
+        (F.count(F.lit(1)) if column is None else F.sum(column)).alias(f"_rt_size_{name}")
         for name, column in totals.items()])
     by_group = Window.partitionBy(*group)
-    earlier = by_group.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
+    earlier = by_group.orderBy("_rt_part").rowsBetween(Window.unboundedPreceding, -1)
     sizes = sizes.select(
-        *[F.col(c).alias(f"_k_{c}") for c in piece], "_first",
-        *[F.coalesce(F.sum(f"_size_{name}").over(earlier), F.lit(0)).alias(f"_before_{name}")
+        *[F.col(c).alias(f"_rt_k_{c}") for c in piece], "_rt_first",
+        *[F.coalesce(F.sum(f"_rt_size_{name}").over(earlier), F.lit(0)).alias(f"_rt_before_{name}")
           for name in totals],
-        *[F.sum(f"_size_{name}").over(by_group).alias(out) for out, name in whole.items()],
+        *[F.sum(f"_rt_size_{name}").over(by_group).alias(out) for out, name in whole.items()],
     )
     if not group:
         sizes = F.broadcast(sizes)  # one row per partition of the sort
-    match = [F.col(c).eqNullSafe(F.col(f"_k_{c}")) for c in piece]
-    local = (Window.partitionBy(*piece).orderBy("_slot")
+    match = [F.col(c).eqNullSafe(F.col(f"_rt_k_{c}")) for c in piece]
+    local = (Window.partitionBy(*piece).orderBy("_rt_slot")
              .rowsBetween(Window.unboundedPreceding, -1))
     results = []
     for name, column in totals.items():
-        inside = (F.col("_slot") - F.col("_first") if column is None
+        inside = (F.col("_rt_slot") - F.col("_rt_first") if column is None
                   else F.coalesce(F.sum(column).over(local), F.lit(0)))
-        results.append((F.col(f"_before_{name}") + inside).alias(name))
+        results.append((F.col(f"_rt_before_{name}") + inside).alias(name))
     return (stored.join(sizes, match, "inner")
             .select(*df.columns, *results, *whole))
 
@@ -88,6 +88,8 @@ def pct_rank_avg(df: DataFrame, value: str, out: str, group: Sequence[str] = ())
     """Average-tie percent rank in (0, 1]; null values rank 0.
 
     Equal values collapse to one counted row first, so a value shared by many rows costs one row.
+    ``df`` is read twice: write it first (``cut``) if ``value`` is a sum or mean of floating-point
+    numbers, whose last digits vary between runs.
     """
     group = list(group)
     placed = running_position(_value_counts(df, value, group), [value], group, "_weight",

@@ -7,9 +7,10 @@ from pyspark.sql import functions as F
 
 from ledgerlens import schema as S
 from ledgerlens.functions.hashing import fake_ip, int_div, pick, stable_hash
-from ledgerlens.functions.scalar import clip01, flag
+from ledgerlens.functions.scalar import clip01, flag, round_half_even
 from ledgerlens.operators.derive import account_age
 from ledgerlens.operators.ordering import pct_rank_avg
+from ledgerlens.session import cut
 
 
 def _fraud_count() -> Column:
@@ -18,7 +19,7 @@ def _fraud_count() -> Column:
 
 def _rate(digits: int | None = None) -> Column:
     rate = F.col("fraud_txn_count") / F.col("txn_count")
-    return rate if digits is None else F.bround(rate, digits)
+    return rate if digits is None else round_half_even(rate, digits)
 
 
 def _most_common(name: str) -> Column:
@@ -51,8 +52,8 @@ def user_profile(tx: DataFrame) -> DataFrame:
         _most_common("source").alias("source_hint"),
         _most_common("country").alias("home_country"),
     ).withColumns({"observed_fraud_rate": _rate(6), "account_age_days": account_age("user_id")})
-    ranked = pct_rank_avg(agg, "avg_amount", "_rank")
-    score = F.bround(clip01(F.lit(0.75) * F.col("observed_fraud_rate")
+    ranked = pct_rank_avg(cut(agg, "profile"), "avg_amount", "_rank")
+    score = round_half_even(clip01(F.lit(0.75) * F.col("observed_fraud_rate")
                             + F.lit(0.25) * F.col("_rank")), 4)
     return (ranked.withColumn("risk_history_score", score)
             .withColumn("is_black_user", flag((F.col("fraud_txn_count") > 0)
@@ -74,13 +75,13 @@ def merchant_profile(tx: DataFrame) -> DataFrame:
     h = stable_hash("merchant_id", "merchant_noise")
     rate = F.col("observed_fraud_rate")
     agg = agg.withColumns({
-        "chargeback_rate": F.bround(clip01(
+        "chargeback_rate": round_half_even(clip01(
             rate * F.lit(0.6) + (h % 100) / F.lit(10000)), 5),
-        "complaint_rate": F.bround(clip01(
+        "complaint_rate": round_half_even(clip01(
             rate * F.lit(0.4) + (int_div(h, 100) % 100) / F.lit(12000)), 5),
     })
-    ranked = pct_rank_avg(agg, "avg_amount", "_rank")
-    score = F.bround(clip01(
+    ranked = pct_rank_avg(cut(agg, "profile"), "avg_amount", "_rank")
+    score = round_half_even(clip01(
         F.lit(0.55) * rate + F.lit(0.20) * F.col("chargeback_rate")
         + F.lit(0.15) * F.col("complaint_rate") + F.lit(0.10) * F.col("_rank")), 4)
     return (ranked.withColumn("merchant_risk_score", score)
@@ -104,8 +105,8 @@ def device_profile(tx: DataFrame) -> DataFrame:
         "is_emulator": flag(h % 97 < 3),
         "is_proxy_device": flag((F.col("bind_user_count") >= 8) | (h % 211 == 0)),
     })
-    ranked = pct_rank_avg(agg, "bind_user_count", "_rank")
-    score = F.bround(clip01(
+    ranked = pct_rank_avg(cut(agg, "profile"), "bind_user_count", "_rank")
+    score = round_half_even(clip01(
         F.col("_rank") * F.lit(0.45) + F.lit(0.45) * F.col("observed_fraud_rate")
         + F.lit(0.05) * F.col("is_emulator") + F.lit(0.05) * F.col("is_proxy_device")), 4)
     return ranked.withColumn("device_risk_score", score).drop("_rank")
@@ -129,8 +130,8 @@ def ip_profile(tx: DataFrame) -> DataFrame:
         "is_vpn": flag(h % 127 < 5),
         "observed_fraud_rate": _rate(),
     })
-    ranked = pct_rank_avg(agg, "bind_user_count", "_rank")
-    score = F.bround(clip01(
+    ranked = pct_rank_avg(cut(agg, "profile"), "bind_user_count", "_rank")
+    score = round_half_even(clip01(
         F.col("_rank") * F.lit(0.35) + F.lit(0.45) * F.col("observed_fraud_rate")
         + F.lit(0.10) * F.col("is_proxy") + F.lit(0.10) * F.col("is_vpn")), 4)
     return ranked.withColumn("ip_risk_score", score).drop("_rank")

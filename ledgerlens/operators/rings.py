@@ -77,9 +77,13 @@ def resource_stats(tx: DataFrame, max_users: int = 200) -> DataFrame:
 def resource_risk(stats: DataFrame) -> DataFrame:
     """Risk of each resource, scaled by the 90 % quantiles of its kind."""
     stats = cut(stats, "resources")
-    high = exact_quantiles(stats, "amount_sum", {"_amount_q90": 0.9}, ["entity_type"])
-    busy = exact_quantiles(stats, "txn_count", {"_txn_q90": 0.9}, ["entity_type"])
-    scales = F.broadcast(high.join(busy, "entity_type"))  # one row per kind: four at most
+    measures = F.array(*[F.struct(F.lit(m).alias("measure"), F.col(m).cast("double").alias("value"))
+                         for m in ("amount_sum", "txn_count")])
+    long = stats.select("entity_type", F.explode(measures).alias("_m")).select("entity_type", "_m.*")
+    q90 = exact_quantiles(long, "value", {"q": 0.9}, ["entity_type", "measure"])
+    of = lambda m: F.max(F.when(F.col("measure") == m, F.col("q")))
+    scales = F.broadcast(q90.groupBy("entity_type").agg(  # one row per kind: four at most
+        of("amount_sum").alias("_amount_q90"), of("txn_count").alias("_txn_q90")))
     cap = lambda value: F.least(F.lit(1.0), value)
     score = (F.lit(0.38) * cap(F.col("fraud_seed_ratio"))
              + F.lit(0.26) * cap(F.log1p(F.col("shared_user_count").cast("double")) / F.log(F.lit(40.0)))

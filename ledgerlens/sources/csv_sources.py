@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ledgerlens import schema as S
-from ledgerlens.functions.scalar import add_micros, add_seconds
+from ledgerlens.functions.scalar import add_micros, add_seconds, round_half_even
 from ledgerlens.operators.joins import alert_account_flag, node_timestamp_lookup
 
 # Columns of each file, in file order.
@@ -319,7 +319,7 @@ def src_user_relation_graph(edges: DataFrame, users: DataFrame, feature_cap: int
     span = edges.agg(F.min("edge_timestamp").alias("lo"), F.max("edge_timestamp").alias("hi"))
     lo, hi = span.select("lo").scalar(), span.select("hi").scalar()
     share = (F.col("edge_timestamp") - lo) / F.greatest(hi - lo, F.lit(1))
-    seconds = F.bround(share * S.WINDOW_SECONDS, 0).cast("bigint")
+    seconds = round_half_even(share * S.WINDOW_SECONDS, 0).cast("bigint")
     out_edges = edges.select(
         _id("dgraph_u:", "src").alias("src_id"), _id("dgraph_u:", "dst").alias("dst_id"),
         F.lit("user").alias("src_type"), F.lit("user").alias("dst_type"),

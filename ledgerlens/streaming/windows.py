@@ -49,8 +49,10 @@ class _Windows(StatefulProcessor):
         sums = np.concatenate([[0.0], np.cumsum(amount)])
         span = int(batch["span_us"].iloc[0])
         short = SHORT_SECONDS * 1_000_000
+        keeps_short = batch["kind"].iloc[0] == "user"
         seen = Counter(o for o in other[:len(kept)] if o)
-        low, high = 0, len(kept)
+        low, high, start = 0, len(kept), 0
+        ordered = bool(np.all(np.diff(us) >= 0))
         results = []
         for now, own in zip(batch["us"].to_numpy(np.int64), mine):
             if own:
@@ -63,9 +65,16 @@ class _Windows(StatefulProcessor):
                     if not seen[other[low]]:
                         del seen[other[low]]
                 low += 1
-            recent = now - us[low:high] <= short
-            results.append((high - low, sums[high] - sums[low], len(seen), int(recent.sum()),
-                            float(amount[low:high][recent].sum())))
+            if not keeps_short:
+                n_short, total_short = 0, 0.0
+            elif ordered:
+                while start < high and now - us[start] > short:
+                    start += 1
+                n_short, total_short = high - start, sums[high] - sums[start]
+            else:
+                recent = now - us[low:high] <= short
+                n_short, total_short = int(recent.sum()), float(amount[low:high][recent].sum())
+            results.append((high - low, sums[high] - sums[low], len(seen), n_short, total_short))
         if high > low:
             self.recent.put([(int(us[i]), float(amount[i]), other[i]) for i in range(low, high)])
         else:
