@@ -219,9 +219,10 @@ def model_catalog(spark, pattern: str, active: str | None = None) -> DataFrame:
 
 def leaderboard_upsert(board: DataFrame, entry: DataFrame) -> DataFrame:
     """Replace the rows of the same model folder and dataset, best area first."""
-    same = [F.coalesce(board.model_dir, board.model_name) == F.coalesce(entry.model_dir, entry.model_name),
-            board.dataset == entry.dataset]
-    kept = board.join(entry, same, "left_anti")
+    name = F.coalesce("model_dir", "model_name")
+    new = entry.select(name.alias("_name"), F.col("dataset").alias("_dataset")).distinct()
+    kept = board.join(new, [name == F.col("_name"), F.col("dataset") == F.col("_dataset")],
+                      "left_anti")
     return kept.unionByName(entry, allowMissingColumns=True).orderBy(
         F.desc(F.coalesce("pr_auc", F.lit(0.0))), "model_name")
 

@@ -110,10 +110,9 @@ def window_state(events: DataFrame, missing_shards: int = MISSING_SHARDS) -> Dat
             .alias("event_json")))
 
     every = F.flatten(F.array(*[entry(*k) for k in KINDS]))
-    rows = (events.select("transaction_id", "partition", "offset", epoch_micros("timestamp").alias("us"),
-                          F.coalesce("amount", F.lit(0.0)).alias("amount"),
-                          F.explode(every).alias("_k"))
-            .select("*", "_k.*").drop("_k"))
+    rows = events.withColumn("_k", F.explode(every)).select(
+        F.col("_k.*"), F.col("transaction_id"), F.col("partition"), F.col("offset"),
+        epoch_micros("timestamp").alias("us"), F.coalesce("amount", F.lit(0.0)).alias("amount"))
     return rows.groupBy("kind", "entity", "part").transformWithStateInPandas(
         statefulProcessor=_Windows(), outputStructType=T._parse_datatype_string(_OUT),
         outputMode="Append", timeMode="None")
