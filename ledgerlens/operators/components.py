@@ -11,6 +11,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Observation
 from pyspark.sql import functions as F
 
+from ledgerlens.operators.ordering import running_position
 from ledgerlens.session import cut
 
 
@@ -45,11 +46,19 @@ def _written(edges: DataFrame, tag: str) -> tuple[DataFrame, tuple]:
 
 def connected_components(edges: DataFrame, src: str = "src", dst: str = "dst",
                          max_rounds: int = 60) -> DataFrame:
-    """(node, component) for every endpoint; the component is its smallest node id."""
-    pair = edges.where(F.col(src).isNotNull() & F.col(dst).isNotNull()).select(
-        F.greatest(src, dst).alias("a"), F.least(src, dst).alias("b")).distinct()
-    start = cut(pair, "edges")
-    current, seen = start.where(F.col("a") != F.col("b")), None
+    """(node, component) for every endpoint; the component is its smallest node id.
+
+    Ids are replaced by their position in sorted order, so rounds move and compare numbers, and
+    the smallest number is still the smallest id.
+    """
+    pair = cut(edges.where(F.col(src).isNotNull() & F.col(dst).isNotNull()).select(
+        F.col(src).alias("s"), F.col(dst).alias("t")).distinct(), "edges")
+    names = pair.select(F.explode(F.array("s", "t")).alias("node")).distinct()
+    ids = cut(running_position(names, ["node"], out="id"), "nodes")
+    left = ids.select(F.col("node").alias("s"), F.col("id").alias("i"))
+    right = ids.select(F.col("node").alias("t"), F.col("id").alias("j"))
+    current, seen = cut(pair.join(left, "s").join(right, "t").where(F.col("i") != F.col("j")).select(
+        F.greatest("i", "j").alias("a"), F.least("i", "j").alias("b")).distinct(), "round"), None
     for _ in range(max_rounds):
         current, now = _written(_small_star(_large_star(current)), "round")
         if now == seen:
@@ -57,6 +66,8 @@ def connected_components(edges: DataFrame, src: str = "src", dst: str = "dst",
         seen = now
     else:
         raise RuntimeError(f"components not stable after {max_rounds} rounds")
-    nodes = start.select(F.explode(F.array("a", "b")).alias("node")).distinct()
-    return (nodes.join(current, F.col("node") == F.col("a"), "left")
-            .select("node", F.coalesce("b", "node").alias("component")))
+    roots = ids.select(F.col("id").alias("_root"), F.col("node").alias("_name"))
+    low = ids.join(current, F.col("id") == F.col("a"), "left").select(
+        "node", F.coalesce("b", "id").alias("_low"))
+    return low.join(roots, F.col("_low") == F.col("_root")).select(
+        "node", F.col("_name").alias("component"))

@@ -16,6 +16,7 @@ from ledgerlens.functions.scalar import (
     round_half_even,
 )
 from ledgerlens.operators.ordering import pct_rank_avg, running_position
+from ledgerlens.session import cut
 
 # Text patterns of the rules.
 PAYMENT_PATTERNS = (  # the last pattern that matches decides
@@ -64,22 +65,23 @@ def rescale_time(df: DataFrame, order: Sequence[str] = ("transaction_id",)) -> D
     position in ``order``; a source without any time starts at the window start.
     """
     micros = epoch_micros("timestamp")
-    spans = df.groupBy("source").agg(
+    spans = cut(df.groupBy(F.col("source").alias("_source")).agg(
         F.min(micros).alias("_first"), F.max(micros).alias("_last"),
-        F.count(F.lit(1)).alias("_rows"),
-    ).withColumnRenamed("source", "_source")
-    joined = df.join(spans, F.col("source").eqNullSafe(F.col("_source")), "left")
+        F.count(F.lit(1)).alias("_rows")), "spans")
     flat = F.col("_first").isNotNull() & (F.col("_first") == F.col("_last"))
-    spread = running_position(joined.where(flat), order, ["source"], out="_place")
-    share = F.col("_place") / F.greatest(F.col("_rows") - 1, F.lit(1))
-    spread = spread.withColumn("_share", share)
+    joined = df.join(spans, F.col("source").eqNullSafe(F.col("_source")), "left")
     offset = F.coalesce(micros, F.col("_first")) - F.col("_first")
-    moving = joined.where(~flat | F.col("_first").isNull()).withColumn(
-        "_share", F.coalesce(
-            (offset / 1e6) / ((F.col("_last") - F.col("_first")) / 1e6), F.lit(0.0)))
-    both = spread.select(*df.columns, "_share").unionByName(moving.select(*df.columns, "_share"))
+    share = F.coalesce((offset / 1e6) / ((F.col("_last") - F.col("_first")) / 1e6), F.lit(0.0))
+    if spans.where(flat).isEmpty():
+        shared = joined.withColumn("_share", share)
+    else:
+        spread = running_position(joined.where(flat), order, ["source"], out="_place").withColumn(
+            "_share", F.col("_place") / F.greatest(F.col("_rows") - 1, F.lit(1)))
+        moving = joined.where(~F.coalesce(flat, F.lit(False))).withColumn("_share", share)
+        shared = spread.select(*df.columns, "_share").unionByName(
+            moving.select(*df.columns, "_share"))
     seconds = round_half_even(F.col("_share") * S.WINDOW_SECONDS, 0).cast("bigint")
-    return (both.withColumn("timestamp", add_seconds(F.lit(S.WINDOW_START), seconds))
+    return (shared.withColumn("timestamp", add_seconds(F.lit(S.WINDOW_START), seconds))
             .select(*df.columns))
 
 

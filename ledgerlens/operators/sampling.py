@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from ledgerlens.functions.hashing import stable_hash
 from ledgerlens.functions.scalar import _c, number_or
-from ledgerlens.operators.ordering import running_position
+from ledgerlens.operators.ordering import running_position, running_totals
 
 _HASH_BITS = 60
 _HISTOGRAM_BITS = 12
@@ -34,6 +34,18 @@ def time_splits(df: DataFrame, train: float = 0.70, valid: float = 0.85) -> Data
             .unionByName(rest.withColumn("split", F.lit("unlabeled"))))
 
 
+def order_log(df: DataFrame, train: float = 0.70, valid: float = 0.85) -> DataFrame:
+    """``dense_row_id`` and ``time_splits`` from a single sort of the log."""
+    labelled = F.coalesce(F.col("is_fraud").isin(0, 1), F.lit(False))
+    marked = df.drop("row_id", "split").withColumn("_labelled", labelled.cast("bigint"))
+    placed = running_totals(marked, ("timestamp", "transaction_id"),
+                            {"row_id": None, "_at": "_labelled"}, whole={"_n": "_at"})
+    cut_train, cut_valid = (F.floor(F.col("_n") * F.lit(share)) for share in (train, valid))
+    split = (F.when(F.col("_labelled") == 0, "unlabeled").when(F.col("_at") < cut_train, "train")
+             .when(F.col("_at") < cut_valid, "valid").otherwise("test"))
+    return placed.withColumn("split", split).drop("_labelled", "_at", "_n")
+
+
 def hash_sample(df: DataFrame, quotas: Mapping[str, int], key: Column | str, seed: int,
                 stratum: Column | None = None) -> DataFrame:
     """The ``quotas[stratum]`` rows with the smallest salted hash of ``key`` in each stratum.

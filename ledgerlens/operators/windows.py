@@ -79,19 +79,18 @@ def sliding_features(
         if f.kind == "distinct" and f.seconds != spans[0]:
             raise ValueError("distinct counts must use the longest span of the call")
     columns = sorted({f.column for f in features if f.column})
-    sources = df.select(
-        F.struct(*df.columns).alias("_row"),
-        F.coalesce(F.col(key).cast("string"), F.lit("")).alias("_key"),
-        epoch_micros(time).alias("_us"),
-        F.struct(*order).alias("_seq"),
-        *[F.col(c).alias(f"_c_{c}") for c in columns],
-    )
     shifts = F.array(*[F.lit(s * 1_000_000).cast("bigint") for s in (0, *spans)])
     records = (
-        sources.withColumn("_after", F.explode(shifts))
+        df.select(
+            "*", F.coalesce(F.col(key).cast("string"), F.lit("")).alias("_key"),
+            epoch_micros(time).alias("_us"), F.struct(*order).alias("_seq"),
+            *[F.col(c).alias(f"_c_{c}") for c in columns], F.explode(shifts).alias("_after"))
         .withColumn("_at", F.col("_us") + F.col("_after"))
         .withColumn("_start", F.col("_at") - F.pmod(F.col("_at"), F.lit(width)))
-        .withColumn("_row", F.when(F.col("_after") == 0, F.col("_row")))
+        # Expiries carry no payload.
+        .withColumns({c: F.when(F.col("_after") == 0, F.col(c)) for c in df.columns})
+        # Both sorts below work inside this one partitioning.
+        .repartition("_key", "_start")
     )
     arrival = F.col("_after") == 0
     longest = F.col("_after") == width
@@ -141,8 +140,7 @@ def sliding_features(
             carry = F.when(expires & (F.col("_us") < F.col("_start")), amount).otherwise(none)
         result = F.sum(step).over(running) + F.sum(carry).over(whole)
         outputs.append(result.alias(prefix + f.name))
-    return (records.select("_row", "_after", *outputs).where(arrival)
-            .select("_row.*", *[prefix + f.name for f in features]))
+    return (records.select(*df.columns, "_after", *outputs).where(arrival).drop("_after"))
 
 
 def window_features(

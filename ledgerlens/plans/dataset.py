@@ -11,7 +11,7 @@ from ledgerlens.operators import graph as G
 from ledgerlens.operators.derive import common_fields, project_log_columns, risk_fields
 from ledgerlens.operators.merge import union_sources, union_widen
 from ledgerlens.operators.profiles import all_profiles
-from ledgerlens.operators.sampling import dense_row_id, stratified_cap, time_splits
+from ledgerlens.operators.sampling import dense_row_id, order_log, stratified_cap
 from ledgerlens.session import cut
 from ledgerlens.sources import tables
 
@@ -26,7 +26,7 @@ def build_log(parts: Sequence[DataFrame], caps: dict[str, int | None] | None = N
         cap = caps.get(name.source) if name else None
         capped.append(stratified_cap(part, cap, seed + i * 10))
     log = common_fields(union_sources(capped), assign_ids)
-    return project_log_columns(time_splits(dense_row_id(risk_fields(log))))
+    return project_log_columns(order_log(risk_fields(log)))
 
 
 def augment(log: DataFrame, injected: DataFrame) -> DataFrame:

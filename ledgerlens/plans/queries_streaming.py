@@ -11,7 +11,7 @@ from ledgerlens.operators import windows as W
 from ledgerlens.operators.ordering import running_position
 from ledgerlens.operators.profiles import device_profile
 from ledgerlens.plans.queries_order import window_sql
-from ledgerlens.plans.registry import WITH_D, WITH_TX, d, query, rounded, tx
+from ledgerlens.plans.registry import WITH_D, WITH_TX, d, query, rounded, sql_hash, tx
 from ledgerlens.session import scratch_path
 from ledgerlens.sources.tables import source_stream_events
 from ledgerlens.streaming import events as V
@@ -20,7 +20,8 @@ from ledgerlens.streaming import windows as K
 
 EVENT = ST.StructType([f for f in S.STREAM_SCHEMA if f.name not in (
     "channel", "payment_method", "fraud_type", "risk_level", "rule_score", "currency", "txn_type")])
-_LATE_SHIFT = F.make_dt_interval(secs=F.when(F.col("k") % 4 == 0, 120).otherwise(0))
+CONSUMERS = 8
+_PART = f"{sql_hash('payer_id')} % {CONSUMERS}"
 _EVENTS = [f.name for f in EVENT]
 _ALL = [f for group in W.BY_KEY.values() for f in group]
 _SUMS = [W.PREFIX + f.name for f in _ALL if f.kind == "sum"]
@@ -29,16 +30,20 @@ _SUMS = [W.PREFIX + f.name for f in _ALL if f.kind == "sum"]
 def messages(spark, sf, late: bool = False, marker_every: int | None = None) -> str:
     """The transactions as message files in arrival order; returns the folder."""
     base = d(spark, sf)
-    arrives = F.col("timestamp") + _LATE_SHIFT if late else F.col("timestamp")
-    placed = running_position(base.select(*_EVENTS, "event_id", "k", arrives.alias("arrives")),
-                              ["arrives", "event_id"], out="offset")
+    delay = F.make_dt_interval(secs=F.when(F.col("k") % 4 == 0, 120).otherwise(0))
+    arrives = F.col("timestamp") + delay if late else F.col("timestamp")
+    placed = running_position(
+        base.select(*_EVENTS, "event_id", "k", arrives.alias("arrived"),
+                    V.consumer_of("payer_id", CONSUMERS).alias("partition")),
+        ["arrived", "event_id"], ["partition"], out="offset")
     text = F.to_json(F.struct(*_EVENTS), {
         "ignoreNullFields": "false", "timestampNTZFormat": "yyyy-MM-dd'T'HH:mm:ss.SSSSSS"})
     if marker_every:
         text = F.when(F.col("offset") % marker_every == 0, F.lit('{"__flush": true}')).when(
             F.col("offset") % marker_every == 1, F.lit("not json")).otherwise(text)
     path = scratch_path(spark, "messages")
-    placed.select(text.alias("value"), F.lit(0).alias("partition"), "offset").write.json(path)
+    placed.select(text.alias("value"), "partition", "offset", "arrived").write.option(
+        "timestampNTZFormat", "yyyy-MM-dd'T'HH:mm:ss.SSSSSS").json(path)
     return path
 
 
@@ -57,24 +62,26 @@ def parsed(spark, sf, **how) -> DataFrame:
     return V.parse_events(source_stream_events(spark, messages(spark, sf, **how)), EVENT)
 
 
-@query("source_stream_events", WITH_TX + """
-SELECT transaction_id AS key, row_number() OVER (ORDER BY timestamp, event_id) - 1 AS "offset" FROM tx""")
+@query("source_stream_events", WITH_TX + f"""
+SELECT transaction_id AS key, {_PART} AS partition, row_number() OVER (PARTITION BY {_PART}
+    ORDER BY timestamp, event_id) - 1 AS "offset" FROM tx""")
 def _source(spark, sf):
     raw = source_stream_events(spark, messages(spark, sf))
-    return collected(raw).select(F.get_json_object("value", "$.transaction_id").alias("key"), "offset")
+    return collected(raw).select(F.get_json_object("value", "$.transaction_id").alias("key"),
+                                  "partition", "offset")
 
 
-@query("st_parse_filter", WITH_D + """, a AS (SELECT *, row_number() OVER (ORDER BY timestamp, event_id) - 1
-    AS place FROM d)
+@query("st_parse_filter", WITH_D + f""", a AS (SELECT *, row_number() OVER (PARTITION BY {_PART}
+    ORDER BY timestamp, event_id) - 1 AS place FROM d)
 SELECT transaction_id, timestamp, amount, merchant_id FROM a WHERE place % 50 > 1""")
 def _parse(spark, sf):
     return collected(parsed(spark, sf, marker_every=50)).select(
         "transaction_id", "timestamp", "amount", "merchant_id")
 
 
-_ARRIVAL = """, a AS (SELECT *, row_number() OVER (ORDER BY timestamp + INTERVAL 1 SECOND
+_ARRIVAL = f""", a AS (SELECT *, {_PART} AS part, row_number() OVER (ORDER BY timestamp + INTERVAL 1 SECOND
     * (CASE WHEN k % 4 = 0 THEN 120 ELSE 0 END), event_id) AS arrival FROM d),
-late AS (SELECT transaction_id, amount, timestamp < max(timestamp) OVER (ORDER BY arrival)
+late AS (SELECT transaction_id, amount, timestamp < max(timestamp) OVER (PARTITION BY part ORDER BY arrival)
     - INTERVAL 60 SECOND AS is_late_event FROM a)"""
 
 
@@ -92,13 +99,14 @@ def _windows(spark, sf):
     return rounded(out, *_SUMS, digits=4)
 
 
-@query("st_replay", WITH_D + """
-SELECT transaction_id, row_number() OVER (ORDER BY timestamp, transaction_id) - 1 AS "offset" FROM d""")
+@query("st_replay", WITH_D + f"""
+SELECT transaction_id, {_PART} AS partition, row_number() OVER (PARTITION BY {_PART}
+    ORDER BY timestamp, transaction_id) - 1 AS "offset" FROM d""")
 def _replay(spark, sf):
     path = scratch_path(spark, "replay")
-    V.replay(d(spark, sf).select(*_EVENTS), path, chunks=3)
-    raw = source_stream_events(spark, path, max_files=1)
-    return collected(V.parse_events(raw, EVENT)).select("transaction_id", "offset")
+    V.replay(d(spark, sf).select(*_EVENTS), path, chunks=3, consumers=CONSUMERS)
+    raw = source_stream_events(spark, path, max_files=CONSUMERS)
+    return collected(V.parse_events(raw, EVENT)).select("transaction_id", "partition", "offset")
 
 
 def _by_amount(df: DataFrame) -> DataFrame:

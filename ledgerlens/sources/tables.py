@@ -129,12 +129,14 @@ def tail_topic(messages: DataFrame, limit: int = 20) -> DataFrame:
 def source_stream_events(spark: SparkSession, path: str | None = None,
                          bootstrap: str | None = None, topic: str = "transaction_events",
                          max_files: int | None = None) -> DataFrame:
-    """Raw messages (value, partition, offset) from a topic, or from text files in tests."""
+    """Raw messages (value, partition, offset, arrived) from a topic, or from files in tests."""
     if bootstrap:
         raw = (spark.readStream.format("kafka").option("kafka.bootstrap.servers", bootstrap)
                .option("subscribe", topic).option("startingOffsets", "earliest").load())
-        return raw.select(F.col("value").cast("string").alias("value"), "partition", "offset")
-    reader = spark.readStream.schema("value string, partition int, offset bigint")
+        return raw.select(F.col("value").cast("string").alias("value"), "partition", "offset",
+                          F.col("timestamp").cast("timestamp_ntz").alias("arrived"))
+    reader = spark.readStream.schema(
+        "value string, partition int, offset bigint, arrived timestamp_ntz")
     if max_files:
         reader = reader.option("maxFilesPerTrigger", max_files)
     return reader.json(path)

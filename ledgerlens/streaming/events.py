@@ -5,13 +5,16 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
 from ledgerlens import schema as S
+from ledgerlens.functions.hashing import stable_hash
 from ledgerlens.functions.scalar import epoch_micros
+from ledgerlens.operators.ordering import running_totals
+from ledgerlens.session import cut
 
 ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 MARKER = "__flush"  # key of a control message
@@ -56,6 +59,11 @@ class _LateTagger(StatefulProcessor):
         pass
 
 
+def consumer_of(key: str, consumers: int) -> Column:
+    """The partition a topic keyed by ``key`` would put a message in."""
+    return (stable_hash(F.coalesce(F.col(key), F.lit(""))) % consumers).cast("int")
+
+
 def late_tag(events: DataFrame, allowed_seconds: int = 60, consumer: str = "partition") -> DataFrame:
     """Tag events older than their consumer's latest time minus the allowance; none is dropped.
 
@@ -70,19 +78,19 @@ def late_tag(events: DataFrame, allowed_seconds: int = 60, consumer: str = "part
         .withColumn("event_time_unix", F.col("event_us") / 1e6))
 
 
-def replay(df: DataFrame, path: str, chunks: int = 4, order=("timestamp", "transaction_id")) -> None:
+def replay(df: DataFrame, path: str, chunks: int = 4, consumers: int = 8,
+           order=("timestamp", "transaction_id")) -> None:
     """Write ``df`` as message files in arrival order, to be read as a stream.
 
-    Each chunk is a later write, so that a file source takes them in order.
+    Messages go to consumers by payer, as a topic keyed by payer would send them. Each chunk is a
+    later write with one file per consumer, so a file source takes the chunks in order.
     """
-    from ledgerlens.operators.ordering import running_position
-    from ledgerlens.session import cut
-
-    placed = running_position(df, order, out="offset", total="_n")
+    keyed = df.withColumn("partition", consumer_of("payer_id", consumers))
+    placed = running_totals(keyed, order, {"offset": None}, ["partition"], whole={"_n": "offset"})
     message = F.to_json(F.struct(*df.columns), {"ignoreNullFields": "false"})
     messages = cut(placed.select(
-        message.alias("value"), F.lit(0).alias("partition"), "offset",
+        message.alias("value"), "partition", "offset", F.col(order[0]).alias("arrived"),
         F.floor(F.col("offset") * chunks / F.col("_n")).cast("int").alias("chunk")), "replay")
     for i in range(chunks):
-        (messages.where(F.col("chunk") == i).drop("chunk").orderBy("offset").coalesce(1)
-         .write.mode("append").json(path))
+        (messages.where(F.col("chunk") == i).drop("chunk").repartition(consumers, "partition")
+         .sortWithinPartitions("partition", "offset").write.mode("append").json(path))

@@ -40,7 +40,8 @@ class _Windows(StatefulProcessor):
 
     def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
         batch = pd.concat(list(rows), ignore_index=True)
-        batch = batch.sort_values(["partition", "offset"], kind="stable", ignore_index=True)
+        batch = batch.sort_values(["arrived", "partition", "offset"], kind="stable",
+                                  ignore_index=True)
         kept = list(self.recent.get()) if self.recent.exists() else []
         mine = batch["own"].to_numpy(bool)
         us = np.array([r[0] for r in kept] + batch["us"][mine].tolist(), dtype=np.int64)
@@ -93,6 +94,9 @@ class _Windows(StatefulProcessor):
 def window_state(events: DataFrame, missing_shards: int = MISSING_SHARDS) -> DataFrame:
     """Partial features per (event, kind, part); put together with ``join_back`` per micro-batch.
 
+    Needs ``arrived``, ``partition`` and ``offset``: events of a micro-batch are taken in order
+    of arrival, across partitions by arrival time.
+
     Events without an id form one group, which may be a large part of the stream. It is split by
     the counted value: every event asks all parts and is stored in one, and the parts' counts,
     sums and distinct counts add up.
@@ -111,7 +115,7 @@ def window_state(events: DataFrame, missing_shards: int = MISSING_SHARDS) -> Dat
 
     every = F.flatten(F.array(*[entry(*k) for k in KINDS]))
     rows = events.withColumn("_k", F.explode(every)).select(
-        F.col("_k.*"), F.col("transaction_id"), F.col("partition"), F.col("offset"),
+        F.col("_k.*"), "transaction_id", "partition", "offset", "arrived",
         epoch_micros("timestamp").alias("us"), F.coalesce("amount", F.lit(0.0)).alias("amount"))
     return rows.groupBy("kind", "entity", "part").transformWithStateInPandas(
         statefulProcessor=_Windows(), outputStructType=T._parse_datatype_string(_OUT),
