@@ -8,7 +8,7 @@ written to the shared folder, which bounds lineage and survives lost executors.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Observation
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ledgerlens.operators.ordering import running_position
@@ -37,11 +37,10 @@ def _small_star(edges: DataFrame) -> DataFrame:
 
 
 def _written(edges: DataFrame, tag: str) -> tuple[DataFrame, tuple]:
-    """The written edges, with a count and hash taken while writing."""
-    seen = Observation()
-    table = cut(edges.observe(seen, F.count(F.lit(1)).alias("n"),
-                              F.bit_xor(F.xxhash64("a", "b")).alias("x")), tag)
-    return table, (seen.get["n"], seen.get["x"])
+    """The written edges, with their count and hash."""
+    table = cut(edges, tag)
+    seen = table.agg(F.count(F.lit(1)).alias("n"), F.bit_xor(F.xxhash64("a", "b")).alias("x"))
+    return table, tuple(seen.first())
 
 
 def connected_components(edges: DataFrame, src: str = "src", dst: str = "dst",

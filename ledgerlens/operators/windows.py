@@ -96,14 +96,16 @@ def sliding_features(
     longest = F.col("_after") == width
 
     distinct = sorted({f.column for f in features if f.kind == "distinct"})
+    if distinct:
+        records = records.withColumn("_brief", ~arrival & ~longest)
     for c in distinct:
         value = F.col(f"_c_{c}").cast("string")
-        same = (Window.partitionBy("_key", "_start", f"_c_{c}", (~arrival & ~longest))
+        same = (Window.partitionBy("_key", "_start", f"_c_{c}", "_brief")
                 .orderBy("_us", "_seq", "_after"))
         held = (arrival | longest) & value.isNotNull() & (value != "")
         earlier, later = F.lag("_us").over(same), F.lead("_us").over(same)
         records = (
-            records.withColumn("_earlier", earlier).withColumn("_later", later)
+            records.withColumns({"_earlier": earlier, "_later": later})
             .withColumn(
                 f"_step_{c}",
                 F.when(held & arrival & (F.col("_earlier").isNull()

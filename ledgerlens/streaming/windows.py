@@ -28,6 +28,32 @@ _OUT = ("kind string, transaction_id string, part int, n bigint, total double, o
         "n_short bigint, total_short double, event_json string")
 
 
+def in_order(us, other, mine, now, kept: int, span: int, short: int) -> list[np.ndarray]:
+    """Window figures when times never go back: counts, distinct counts and window starts.
+
+    ``us`` and ``other`` are the stored events (``kept`` old ones, then the batch's own), ``now``
+    the times of all batch rows, ``mine`` which of them are stored. A value's presence begins at
+    an event without an equal one in the span before it, and ends one span after an event
+    without an equal one in the span after it.
+    """
+    high = kept + np.cumsum(mine)
+    low = np.searchsorted(us, now - span, side="left")
+    low_short = np.searchsorted(us, now - short, side="left")
+    codes = pd.factorize(pd.Series(other, dtype=object))[0]
+    valid = (codes >= 0) & np.array([bool(o) for o in other], dtype=bool)
+    order = np.argsort(codes, kind="stable")
+    same = codes[order][1:] == codes[order][:-1]
+    gap = us[order][1:] - us[order][:-1]
+    begins = np.ones(len(us), dtype=bool)
+    ends = np.ones(len(us), dtype=bool)
+    begins[order[1:]] = ~(same & (gap <= span))
+    ends[order[:-1]] = ~(same & (gap <= span))
+    begun = np.concatenate([[0], np.cumsum(begins & valid)])
+    over = us[ends & valid] + span
+    distinct = begun[high] - np.searchsorted(over, now, side="left")
+    return [high, low, low_short, distinct]
+
+
 class _Windows(StatefulProcessor):
     """Recent events of one entity (or of one shard of the events without an id).
 
@@ -44,48 +70,52 @@ class _Windows(StatefulProcessor):
                                   ignore_index=True)
         kept = list(self.recent.get()) if self.recent.exists() else []
         mine = batch["own"].to_numpy(bool)
-        us = np.array([r[0] for r in kept] + batch["us"][mine].tolist(), dtype=np.int64)
-        amount = np.array([r[1] for r in kept] + batch["amount"][mine].tolist(), dtype=float)
+        now = batch["us"].to_numpy(np.int64)
+        us = np.concatenate([np.array([r[0] for r in kept], dtype=np.int64), now[mine]])
+        amount = np.concatenate([np.array([r[1] for r in kept], dtype=float),
+                                 batch["amount"].to_numpy(float)[mine]])
         other = [r[2] for r in kept] + batch["other"][mine].tolist()
         sums = np.concatenate([[0.0], np.cumsum(amount)])
-        span = int(batch["span_us"].iloc[0])
-        short = SHORT_SECONDS * 1_000_000
-        keeps_short = batch["kind"].iloc[0] == "user"
-        seen = Counter(o for o in other[:len(kept)] if o)
-        low, high, start = 0, len(kept), 0
-        ordered = bool(np.all(np.diff(us) >= 0))
-        results = []
-        for now, own in zip(batch["us"].to_numpy(np.int64), mine):
+        span, short = int(batch["span_us"].iloc[0]), SHORT_SECONDS * 1_000_000
+        times = np.concatenate([us[:len(kept)], now])
+        if np.all(times[1:] >= times[:-1]):
+            high, low, low_short, distinct = in_order(us, other, mine, now, len(kept), span, short)
+            out = pd.DataFrame({
+                "n": high - low, "total": sums[high] - sums[low], "others": distinct,
+                "n_short": high - low_short, "total_short": sums[high] - sums[low_short]})
+            first, last = int(low[-1]), int(high[-1])
+        else:
+            out, first, last = self._as_queue(us, amount, other, sums, mine, now, len(kept), span, short)
+        if last > first:
+            self.recent.put([(int(us[i]), float(amount[i]), other[i]) for i in range(first, last)])
+        else:
+            self.recent.clear()
+        for at, name in enumerate(("kind", "transaction_id", "part")):
+            out.insert(at, name, batch[name].to_numpy())
+        out["event_json"] = batch["event_json"].to_numpy()
+        yield out
+
+    @staticmethod
+    def _as_queue(us, amount, other, sums, mine, now, kept, span, short):
+        """The same figures row by row, for batches in which some event is late."""
+        seen = Counter(o for o in other[:kept] if o)
+        low, high, results = 0, kept, []
+        for at, own in zip(now, mine):
             if own:
                 if other[high]:
                     seen[other[high]] += 1
                 high += 1
-            while low < high and now - us[low] > span:
+            while low < high and at - us[low] > span:
                 if other[low]:
                     seen[other[low]] -= 1
                     if not seen[other[low]]:
                         del seen[other[low]]
                 low += 1
-            if not keeps_short:
-                n_short, total_short = 0, 0.0
-            elif ordered:
-                while start < high and now - us[start] > short:
-                    start += 1
-                n_short, total_short = high - start, sums[high] - sums[start]
-            else:
-                recent = now - us[low:high] <= short
-                n_short, total_short = int(recent.sum()), float(amount[low:high][recent].sum())
-            results.append((high - low, sums[high] - sums[low], len(seen), n_short, total_short))
-        if high > low:
-            self.recent.put([(int(us[i]), float(amount[i]), other[i]) for i in range(low, high)])
-        else:
-            self.recent.clear()
-        out = pd.DataFrame(results, columns=["n", "total", "others", "n_short", "total_short"])
-        out.insert(0, "kind", batch["kind"].to_numpy())
-        out.insert(1, "transaction_id", batch["transaction_id"].to_numpy())
-        out.insert(2, "part", batch["part"].to_numpy())
-        out["event_json"] = batch["event_json"].to_numpy()
-        yield out
+            recent = at - us[low:high] <= short
+            results.append((high - low, sums[high] - sums[low], len(seen), int(recent.sum()),
+                            float(amount[low:high][recent].sum())))
+        names = ["n", "total", "others", "n_short", "total_short"]
+        return pd.DataFrame(results, columns=names), low, high
 
     def close(self) -> None:
         pass
