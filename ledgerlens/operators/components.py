@@ -36,11 +36,14 @@ def _small_star(edges: DataFrame) -> DataFrame:
     return moved.where(F.col("a") != F.col("b")).distinct()
 
 
-def _written(edges: DataFrame, tag: str) -> tuple[DataFrame, tuple]:
-    """The written edges, with their count and hash."""
-    table = cut(edges, tag)
-    seen = table.agg(F.count(F.lit(1)).alias("n"), F.bit_xor(F.xxhash64("a", "b")).alias("x"))
-    return table, tuple(seen.first())
+def _settled(edges: DataFrame) -> bool:
+    """Whether every node points at one root and no root points anywhere."""
+    ends = edges.select(F.explode(F.array(
+        F.struct(F.col("a").alias("node"), F.lit(1).alias("points")),
+        F.struct(F.col("b").alias("node"), F.lit(0).alias("points")))).alias("_e")).select("_e.*")
+    nodes = ends.groupBy("node").agg(F.sum("points").alias("up"),
+                                     F.count_if(F.col("points") == 0).alias("down"))
+    return nodes.where((F.col("up") > 1) | ((F.col("up") > 0) & (F.col("down") > 0))).isEmpty()
 
 
 def connected_components(edges: DataFrame, src: str = "src", dst: str = "dst",
@@ -56,13 +59,12 @@ def connected_components(edges: DataFrame, src: str = "src", dst: str = "dst",
     ids = cut(running_position(names, ["node"], out="id"), "nodes")
     left = ids.select(F.col("node").alias("s"), F.col("id").alias("i"))
     right = ids.select(F.col("node").alias("t"), F.col("id").alias("j"))
-    current, seen = cut(pair.join(left, "s").join(right, "t").where(F.col("i") != F.col("j")).select(
-        F.greatest("i", "j").alias("a"), F.least("i", "j").alias("b")).distinct(), "round"), None
+    current = cut(pair.join(left, "s").join(right, "t").where(F.col("i") != F.col("j")).select(
+        F.greatest("i", "j").alias("a"), F.least("i", "j").alias("b")).distinct(), "round")
     for _ in range(max_rounds):
-        current, now = _written(_small_star(_large_star(current)), "round")
-        if now == seen:
+        current = cut(_small_star(_large_star(current)), "round")
+        if _settled(current):
             break
-        seen = now
     else:
         raise RuntimeError(f"components not stable after {max_rounds} rounds")
     roots = ids.select(F.col("id").alias("_root"), F.col("node").alias("_name"))

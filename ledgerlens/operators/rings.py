@@ -53,10 +53,14 @@ def payer_resource_pairs(tx: DataFrame) -> DataFrame:
         F.sum("is_fraud").alias("fraud_seed_count"), F.sum("is_injected").alias("injected_count"))
 
 
-def resource_stats(tx: DataFrame, max_users: int = 200) -> DataFrame:
-    """Totals of every resource whose number of payers lies within its kind's bounds."""
+def resource_stats(tx: DataFrame, max_users: int = 200, pairs: DataFrame | None = None) -> DataFrame:
+    """Totals of every resource whose number of payers lies within its kind's bounds.
+
+    ``pairs`` passes in ``payer_resource_pairs(tx)`` where it is already written.
+    """
     key = ["kind_order", "entity_type", "entity_id"]
-    totals = payer_resource_pairs(tx).groupBy(*key).agg(
+    pairs = payer_resource_pairs(tx) if pairs is None else pairs
+    totals = pairs.groupBy(*key).agg(
         F.count(F.lit(1)).alias("shared_user_count"),
         *[F.sum(c).alias(c) for c in ("txn_count", "amount_sum", "fraud_seed_count",
                                       "injected_count")])
@@ -94,7 +98,8 @@ def resource_risk(stats: DataFrame) -> DataFrame:
             .select(*stats.columns, "resource_risk_score"))
 
 
-def candidate_resources(tx: DataFrame, max_users: int = 200) -> DataFrame:
+def candidate_resources(tx: DataFrame, max_users: int = 200,
+                        pairs: DataFrame | None = None) -> DataFrame:
     """Resources with enough fraud, or risky and busy enough."""
     kind = F.col("entity_type")
     risky = (F.col("resource_risk_score") >= 0.45) & (
@@ -102,7 +107,7 @@ def candidate_resources(tx: DataFrame, max_users: int = 200) -> DataFrame:
     column = F.lit(None).cast("string")
     for spec in RESOURCE_KINDS:
         column = F.when(kind == spec[0], F.lit(spec[1])).otherwise(column)
-    return (resource_risk(resource_stats(tx, max_users))
+    return (resource_risk(resource_stats(tx, max_users, pairs))
             .where((F.col("fraud_seed_count") >= _per_kind(kind, 3)) | risky)
             .withColumn("resource_col", column))
 
@@ -119,16 +124,16 @@ def chain_rows(tx: DataFrame) -> DataFrame:
     return pairs.join(payers, F.col("payee_id") == F.col("_p"), "left_semi")
 
 
-def resource_edges(tx: DataFrame, candidates: DataFrame) -> DataFrame:
+def resource_edges(pairs: DataFrame, candidates: DataFrame) -> DataFrame:
     ids = candidates.select("entity_type", "entity_id")
-    return (payer_resource_pairs(tx).join(ids, ["entity_type", "entity_id"], "left_semi")
+    return (pairs.join(ids, ["entity_type", "entity_id"], "left_semi")
             .select(F.col("payer_id").alias("src"), F.col("entity_id").alias("dst")))
 
 
 def ring_edges(tx: DataFrame, candidates: DataFrame) -> DataFrame:
     """Payer-resource edges over candidates, and payer-payer edges of chains."""
     chains = chain_rows(tx).select(F.col("payer_id").alias("src"), F.col("payee_id").alias("dst"))
-    return resource_edges(tx, candidates).unionByName(chains).distinct()
+    return resource_edges(payer_resource_pairs(tx), candidates).unionByName(chains).distinct()
 
 
 def distinct_payers(tx: DataFrame) -> DataFrame:
@@ -287,9 +292,10 @@ class RingTables:
 
 def mine_rings(tx: DataFrame, max_users: int = 200, min_risk: float = 0.35) -> RingTables:
     """Candidates, components and numbered rings of a transaction table."""
-    candidates = cut(candidate_resources(tx, max_users), "candidates")
+    pairs = cut(payer_resource_pairs(tx), "pairs")
+    candidates = cut(candidate_resources(tx, max_users, pairs), "candidates")
     chains = cut(chain_rows(tx), "chains")
-    edges = resource_edges(tx, candidates).unionByName(
+    edges = resource_edges(pairs, candidates).unionByName(
         chains.select(F.col("payer_id").alias("src"), F.col("payee_id").alias("dst")))
     labels = connected_components(edges)
     members = cut(ring_members(labels, distinct_payers(tx)), "members")
