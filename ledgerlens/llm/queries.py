@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from ledgerlens.llm import simhash
+from ledgerlens.llm import blocknames, decontaminate, linededup, sharding, simhash
 from ledgerlens.llm.tables import documents
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -22,6 +22,44 @@ def query(name: str, sql: str | None = None):
     return register
 
 
+@query("op2_sharding")
+def op2(spark: SparkSession, folder: str) -> DataFrame:
+    return sharding.shuffle_to_shards(documents(spark, folder))
+
+
+@query("op4_exact_dedup", """
+SELECT doc_id, max(doc_id) OVER same AS keep_id, count(*) OVER same AS group_size,
+       doc_id = max(doc_id) OVER same AS kept, sha256(coalesce(text, '')) AS text_sha256
+FROM documents WINDOW same AS (PARTITION BY coalesce(text, ''))""")
+def op4(spark: SparkSession, folder: str) -> DataFrame:
+    return blocknames.exact_duplicates(documents(spark, folder))
+
+
+@query("op5_line_dedup", """
+WITH lines AS (SELECT doc_id, source, trim(u.line) AS line
+               FROM documents, unnest(string_split(text, chr(10))) AS u(line)),
+spread AS (SELECT line FROM lines WHERE length(line) > 0 GROUP BY line HAVING count(DISTINCT source) >= 10),
+hit AS (SELECT doc_id FROM lines GROUP BY doc_id
+        HAVING sum(CASE WHEN line IN (SELECT line FROM spread) THEN strlen(line) ELSE 0 END)
+               BETWEEN 1 AND sum(strlen(line)) * 0.5),
+bad AS (SELECT list(line) AS lines FROM spread),
+cut AS (SELECT doc_id, string_split(text, chr(10)) AS all_lines,
+               CASE WHEN doc_id IN (SELECT doc_id FROM hit)
+                    THEN list_filter(string_split(text, chr(10)), x -> NOT list_contains(bad.lines, trim(x)))
+                    ELSE string_split(text, chr(10)) END AS kept
+        FROM documents, bad)
+SELECT doc_id, coalesce(len(all_lines), 0) AS n_lines,
+       coalesce(len(all_lines) - len(kept), 0) AS n_removed, array_to_string(kept, chr(10)) AS text FROM cut""")
+def op5(spark: SparkSession, folder: str) -> DataFrame:
+    docs = documents(spark, folder).select("doc_id", "source", "text")
+    return linededup.remove_spread_lines(docs, counts=True).select("doc_id", "n_lines", "n_removed", "text")
+
+
+@query("op9_decontamination")
+def op9(spark: SparkSession, folder: str) -> DataFrame:
+    return decontaminate.report(documents(spark, folder), documents(spark, folder, "benchmark"))
+
+
 @query("op10_simhash_neardup")
 def op10(spark: SparkSession, folder: str) -> DataFrame:
     return simhash.near_duplicates(documents(spark, folder))
