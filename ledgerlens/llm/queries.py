@@ -4,9 +4,10 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from ledgerlens.llm import blocknames, decontaminate, linededup, sharding, simhash
+from ledgerlens.llm import blocknames, decontaminate, linededup, packing, sharding, simhash, tokenfile, toxicity
 from ledgerlens.llm.tables import documents
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -22,11 +23,21 @@ def query(name: str, sql: str | None = None):
     return register
 
 
+@query("op1_best_fit_packing")
+def op1(spark: SparkSession, folder: str) -> DataFrame:
+    return packing.pack(documents(spark, folder), public_tokenizers.path("byte_bpe_50k.json"))
+
+
 @query("op2_sharding")
 def op2(spark: SparkSession, folder: str) -> DataFrame:
     return sharding.shuffle_to_shards(documents(spark, folder))
 
 
+@query("op3_toxicity")
+def op3(spark: SparkSession, folder: str) -> DataFrame:
+    return toxicity.classify(documents(spark, folder), documents(spark, folder, "labels"))
+
+
 @query("op4_exact_dedup", """
 SELECT doc_id, max(doc_id) OVER same AS keep_id, count(*) OVER same AS group_size,
        doc_id = max(doc_id) OVER same AS kept, sha256(coalesce(text, '')) AS text_sha256
@@ -55,6 +66,12 @@ def op5(spark: SparkSession, folder: str) -> DataFrame:
     return linededup.remove_spread_lines(docs, counts=True).select("doc_id", "n_lines", "n_removed", "text")
 
 
+@query("op6_token_files")
+def op6(spark: SparkSession, folder: str) -> DataFrame:
+    manifest = tokenfile.write_token_files(documents(spark, folder), public_tokenizers.path("word_bpe_49k.json"), 1)
+    return tokenfile.read_token_files(manifest)
+
+
 @query("op9_decontamination")
 def op9(spark: SparkSession, folder: str) -> DataFrame:
     return decontaminate.report(documents(spark, folder), documents(spark, folder, "benchmark"))
