@@ -133,8 +133,8 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text: str =
 def score(docs: DataFrame, model: tuple[dict[int, float], float], text: str = "text", out: str = "score") -> DataFrame:
     """``docs`` with the column ``out``, the chance in [0, 1] that the text is toxic.
 
-    Null and empty texts get the chance of a text without known features. A model without weights
-    (no labels, or labels of one kind) gives every row the share of toxic labels.
+    Texts without words, null and empty ones included, get the share of toxic labels: nothing is
+    known of them. So does every row where the labels are of one kind; without labels it is 0.
     """
     if out in docs.columns:
         raise ValueError(f"column {out} exists")
@@ -149,13 +149,14 @@ def score(docs: DataFrame, model: tuple[dict[int, float], float], text: str = "t
         w = shared.value
         for batch in batches:
             total = np.full(len(batch), w[SLOTS], dtype=np.float64)
-            found = []
+            found, known = [], np.zeros(len(batch), dtype=bool)
             for row, slot in features(batch.column(text)):
+                known[row] = True
                 live = w[slot] != 0
                 found.append(row[live] * SLOTS + slot[live])
             both = np.unique(np.concatenate(found))
             np.add.at(total, both // SLOTS, w[both % SLOTS])
-            chance = 1 / (1 + np.exp(-np.clip(total, -35, 35))) if fitted else np.full(len(batch), share)
+            chance = np.where(known & fitted, 1 / (1 + np.exp(-np.clip(total, -35, 35))), share)
             yield pa.RecordBatch.from_arrays(batch.columns + [pa.array(chance)], names=names + [out])
 
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema)
