@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from ledgerlens.llm import blocknames, decontaminate, linededup, packing, sharding, simhash, tokenfile, toxicity
+from ledgerlens.llm import blocknames, decontaminate, linededup, packing, sharding, simhash, substrings, tokenfile, toxicity
 from ledgerlens.llm.tables import documents
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -72,6 +72,11 @@ def op6(spark: SparkSession, folder: str) -> DataFrame:
     return tokenfile.read_token_files(manifest)
 
 
+@query("op7_substring_dedup")
+def op7(spark: SparkSession, folder: str) -> DataFrame:
+    return substrings.remove_repeats(documents(spark, folder))
+
+
 @query("op9_decontamination")
 def op9(spark: SparkSession, folder: str) -> DataFrame:
     return decontaminate.report(documents(spark, folder), documents(spark, folder, "benchmark"))
