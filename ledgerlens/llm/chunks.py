@@ -18,7 +18,7 @@ import numpy as np
 import pyarrow as pa
 import zstandard
 from pyspark import TaskContext
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ledgerlens.llm.tables import arrow_map, cut
@@ -87,6 +87,7 @@ class Chunk:
     vocabulary: bytes
     ends: np.ndarray
     has_end: bool
+    marks: np.ndarray
 
     @property
     def hashes(self) -> np.ndarray:
@@ -107,10 +108,11 @@ class Chunk:
         return [self.vocabulary[a:b] for a, b in zip(starts, self.ends.tolist())]
 
 
-def write_chunks(docs: DataFrame, id_col: str, text: str, lower: bool, end: bool) -> DataFrame:
+def write_chunks(docs: DataFrame, id_col: str, text: str, lower: bool, end: bool,
+                 mark: Column | None = None) -> DataFrame:
     """(chunk, body): every text as word numbers, with ``end`` an end token after each.
 
-    Ids must be whole numbers; null texts have no words.
+    Ids must be whole numbers; null texts have no words. ``mark`` is a flag kept per document.
     """
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         number = TaskContext.get().partitionId() << 32
@@ -124,7 +126,8 @@ def write_chunks(docs: DataFrame, id_col: str, text: str, lower: bool, end: bool
                                       names=["chunk", "body"])
                 number, low = number + 1, to
 
-    chosen = docs.select(F.col(id_col).cast("bigint").alias("id"), F.col(text).alias("text"))
+    chosen = docs.select(F.col(id_col).cast("bigint").alias("id"), F.col(text).alias("text"),
+                         F.lit(False).alias("mark") if mark is None else F.coalesce(mark, F.lit(False)).alias("mark"))
     return cut(arrow_map(chosen, run, "chunk bigint, body binary"), "chunks")
 
 
@@ -141,13 +144,14 @@ def _body(part: pa.RecordBatch, lower: bool, end: bool) -> bytes:
     total = np.cumsum(lengths)
     take = np.arange(int(total[-1]) if len(total) else 0) + np.repeat(starts - (total - lengths), lengths)
     ids = part.column("id").fill_null(int(NO_ID)).to_numpy()
-    return pack(ids, sizes, tokens, words.data[take], np.concatenate(([0], lengths)) if end else lengths)
+    return pack(ids, sizes, tokens, words.data[take], np.concatenate(([0], lengths)) if end else lengths,
+                part.column("mark").to_numpy(zero_copy_only=False).astype(np.uint8))
 
 
 def read_chunk(number: int, body: bytes, end: bool) -> Chunk:
-    ids, sizes, tokens, vocabulary, lengths = unpack(body)
+    ids, sizes, tokens, vocabulary, lengths, marks = unpack(body)
     return Chunk(number, ids.astype(np.int64), np.concatenate(([0], np.cumsum(sizes, dtype=np.int64))),
-                 tokens.astype(np.int64), vocabulary.tobytes(), np.cumsum(lengths, dtype=np.int64), end)
+                 tokens.astype(np.int64), vocabulary.tobytes(), np.cumsum(lengths, dtype=np.int64), end, marks.astype(bool))
 
 
 def chunk_map(chunks: DataFrame, end: bool, work: Callable[..., Iterator[pa.RecordBatch]], schema: str) -> DataFrame:

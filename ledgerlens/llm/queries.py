@@ -6,8 +6,9 @@ from collections.abc import Callable
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from ledgerlens.llm import blocknames, decontaminate, linededup, packing, sharding, simhash, substrings, tokenfile, toxicity
+from ledgerlens.llm import blocknames, decontaminate, linededup, packing, pitmanyor, sharding, simhash, substrings, tokenfile, toxicity
 from ledgerlens.llm.tables import documents
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -77,6 +78,12 @@ def op7(spark: SparkSession, folder: str) -> DataFrame:
     return substrings.remove_repeats(documents(spark, folder))
 
 
+@query("op8_pitman_yor")
+def op8(spark: SparkSession, folder: str) -> DataFrame:
+    held_out = F.crc32(F.col("doc_id").cast("string").cast("binary")) % 7 == 2
+    return pitmanyor.score_texts(documents(spark, folder), held_out)
+
+
 @query("op9_decontamination")
 def op9(spark: SparkSession, folder: str) -> DataFrame:
     return decontaminate.report(documents(spark, folder), documents(spark, folder, "benchmark"))
