@@ -164,10 +164,12 @@ def fit_gbt(train: DataFrame, valid: DataFrame, contract: FeatureContract,
 
 def fit_trees(train: DataFrame, contract: FeatureContract, trees: int = 220, depth: int = 28,
               min_leaf: int = 4, sample: float = 0.45, seed: int = 20260511) -> RiskModel:
-    """A forest of randomised trees with balanced classes."""
+    """A forest of randomised trees with balanced classes; Spark ML's trees are at most 30 deep."""
+    if depth > 30:
+        raise ValueError("depth must be at most 30")
     rows, categories = _prepare(train, contract)
     model = RandomForestClassifier(
-        featuresCol="features", weightCol="weight", numTrees=trees, maxDepth=min(depth, 30),
+        featuresCol="features", weightCol="weight", numTrees=trees, maxDepth=depth,
         minInstancesPerNode=min_leaf, subsamplingRate=sample, featureSubsetStrategy="sqrt",
         seed=seed).fit(rows.select("features", "label", "weight"))
     return RiskModel("trees", contract, categories, (model,))

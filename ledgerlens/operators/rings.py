@@ -53,8 +53,8 @@ def payer_resource_pairs(tx: DataFrame) -> DataFrame:
         F.sum("is_fraud").alias("fraud_seed_count"), F.sum("is_injected").alias("injected_count"))
 
 
-def resource_stats(tx: DataFrame, max_users: int = 200, pairs: DataFrame | None = None) -> DataFrame:
-    """Totals of every resource whose number of payers lies within its kind's bounds.
+def resource_stats(tx: DataFrame, max_users: int | None = None, pairs: DataFrame | None = None) -> DataFrame:
+    """Totals of every resource with enough payers for its kind; with ``max_users``, not too many.
 
     ``pairs`` passes in ``payer_resource_pairs(tx)`` where it is already written.
     """
@@ -68,7 +68,9 @@ def resource_stats(tx: DataFrame, max_users: int = 200, pairs: DataFrame | None
                  .select(*key, "injection_scenario").distinct()
                  .groupBy(*key).agg(F.count(F.lit(1)).alias("scenario_count")))
     users = F.col("shared_user_count")
-    kept = totals.where((users >= _per_kind(F.col("entity_type"), 2)) & (users <= max_users))
+    kept = totals.where(users >= _per_kind(F.col("entity_type"), 2))
+    if max_users is not None:
+        kept = kept.where(users <= max_users)
     rows = F.greatest(F.col("txn_count"), F.lit(1))
     return kept.join(scenarios, key, "left").select(
         *key, "shared_user_count", "txn_count", "amount_sum", "fraud_seed_count", "injected_count",
@@ -98,7 +100,7 @@ def resource_risk(stats: DataFrame) -> DataFrame:
             .select(*stats.columns, "resource_risk_score"))
 
 
-def candidate_resources(tx: DataFrame, max_users: int = 200,
+def candidate_resources(tx: DataFrame, max_users: int | None = None,
                         pairs: DataFrame | None = None) -> DataFrame:
     """Resources with enough fraud, or risky and busy enough."""
     kind = F.col("entity_type")
@@ -290,7 +292,7 @@ class RingTables:
     evidence: DataFrame
 
 
-def mine_rings(tx: DataFrame, max_users: int = 200, min_risk: float = 0.35) -> RingTables:
+def mine_rings(tx: DataFrame, max_users: int | None = None, min_risk: float = 0.35) -> RingTables:
     """Candidates, components and numbered rings of a transaction table."""
     pairs = cut(payer_resource_pairs(tx), "pairs")
     candidates = cut(candidate_resources(tx, max_users, pairs), "candidates")
@@ -338,17 +340,23 @@ def top_evidence(evidence: DataFrame, k: int = 20) -> DataFrame:
         F.transform(rows, lambda e: e["row"]).alias("evidence"))
 
 
-def _count_kind(evidence: Column, kind: str) -> Column:
-    return F.size(F.filter(evidence, lambda e: e["evidence_kind"] == kind))
+def evidence_kinds(evidence: DataFrame) -> DataFrame:
+    """Evidence rows of each kind per ring, over all of them."""
+    return evidence.groupBy("component").agg(*[
+        F.count_if(F.col("evidence_kind") == f"shared_{kind}").alias(f"{kind}_evidence")
+        for kind, *_ in RESOURCE_KINDS])
 
 
 def ring_explain(rings: DataFrame) -> DataFrame:
-    """Explanation codes, evidence summary and text of rings that carry an ``evidence`` array."""
+    """Explanation codes, evidence summary and text of rings.
+
+    ``rings`` carries the listed ``evidence`` and the counts of ``evidence_kinds``.
+    """
     ev = F.coalesce(F.col("evidence"), F.array().cast(rings.schema["evidence"].dataType))
     n = lambda c: F.coalesce(F.col(c), F.lit(0))
     score = F.coalesce(F.col("graph_mining_group_risk_score"), F.lit(0.0))
     names = F.coalesce(F.map_keys("top_scenarios"), F.array().cast("array<string>"))
-    kinds = {k: _count_kind(ev, f"shared_{k}") for k in ("device", "ip", "merchant", "payee")}
+    kinds = {kind: n(f"{kind}_evidence") for kind, *_ in RESOURCE_KINDS}
     rules = [
         ("high_confidence_ring", score >= 0.75),
         ("shared_device_ring", (n("shared_device_count") >= 2) | (kinds["device"] >= 2)),
@@ -427,6 +435,7 @@ def ring_subgraph(rings: DataFrame) -> DataFrame:
 def ring_detail(tables: RingTables) -> DataFrame:
     """Rings with evidence, members, explanation and subgraph."""
     full = (tables.rings.join(top_evidence(tables.evidence), "component", "left")
+            .join(evidence_kinds(tables.evidence), "component", "left")
             .join(sample_members(tables.members), "component", "left"))
     empty = F.array().cast(full.schema["evidence"].dataType)
     full = full.withColumn("evidence", F.coalesce("evidence", empty))
@@ -494,7 +503,7 @@ def ring_threshold_sweep(tx: DataFrame, entity_risk: DataFrame,
 def ring_summary(tx: DataFrame, tables: RingTables, dataset: str = "dataset",
                  mining_splits: Sequence[str] = ("train",),
                  evaluation_splits: Sequence[str] = ("train", "valid", "test"),
-                 max_users: int = 200, min_risk: float = 0.35) -> DataFrame:
+                 max_users: int | None = None, min_risk: float = 0.35) -> DataFrame:
     """One row: evaluation, sweep, high-confidence block, counts and parameters."""
     entities = entity_ring_risk(tables)
     # The sweep has one row per threshold; min() stands for "no threshold".
@@ -516,4 +525,4 @@ def ring_summary(tx: DataFrame, tables: RingTables, dataset: str = "dataset",
                     count(tables.rings).alias("detected_group_count"),
                     count(entities).alias("detected_entity_count"),
                     F.lit(min_risk).alias("min_group_risk_score"),
-                    F.lit(max_users).alias("max_users_per_resource")))
+                    F.lit(max_users).cast("int").alias("max_users_per_resource")))

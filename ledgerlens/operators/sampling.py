@@ -93,6 +93,11 @@ def cap_quotas(fraud: int, normal: int, unlabeled: int, cap: int) -> dict[str, i
 
 def stratified_cap(df: DataFrame, cap: int | None, seed: int,
                    key: str = "transaction_id") -> DataFrame:
+    """At most ``cap`` rows, a feature the caller must ask for: None keeps every row.
+
+    A table that already has ``cap`` rows or fewer stays as it is; the shares of ``cap_quotas``
+    hold only where rows must go.
+    """
     if cap is None:
         return df
     stratum = stratum_of_label()
@@ -155,9 +160,9 @@ def top_groups(rings: DataFrame, limit: int = 20) -> DataFrame:
     return rings.orderBy(F.desc("graph_mining_group_risk_score"), "fraud_group_mining_id").limit(limit)
 
 
-def top_risk_entities(profile: DataFrame, score: str, key: str) -> DataFrame:
-    """The riskiest entities: all of a small table, at most 5,000 of a large one."""
-    return profile.orderBy(F.desc(score), key).limit(5000)
+def top_risk_entities(profile: DataFrame, score: str, key: str, k: int) -> DataFrame:
+    """The ``k`` riskiest entities."""
+    return profile.orderBy(F.desc(score), key).limit(k)
 
 
 # ---------------------------------------------------------------- paging of user profiles

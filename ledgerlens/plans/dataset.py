@@ -42,9 +42,9 @@ def build_graph(log: DataFrame, extra_edges: Sequence[DataFrame] = (),
     return nodes, edges
 
 
-def write_dataset(log: DataFrame, folder: str, stream_limit: int = 100_000,
+def write_dataset(log: DataFrame, folder: str, stream_limit: int | None = None,
                   extra_edges: Sequence[DataFrame] = (), extra_nodes: Sequence[DataFrame] = ()) -> None:
-    """All output tables of a dataset under ``folder``."""
+    """All output tables of a dataset under ``folder``; the stream holds the first ``stream_limit`` events, or all."""
     tables.sink_splits(log, f"{folder}/transaction_log")
     log = log.sparkSession.read.parquet(f"{folder}/transaction_log")
     for kind, profile in all_profiles(log).items():

@@ -407,7 +407,7 @@ def _dq_stream(spark, sf):
                     F.lit("low").alias("risk_level"))
     line = (F.when(F.col("k") % 20 == 3, "{broken").when(F.col("k") % 20 == 4, '{"source": "x"}')
             .otherwise(F.to_json(keys, {"ignoreNullFields": "false"})))
-    return Q.dq_stream(tx(spark, sf).select(line.alias("value")), sample=None)
+    return Q.dq_stream(tx(spark, sf).select(line.alias("value")))
 
 
 @query("dq_manifest_counts", WITH_TX + """

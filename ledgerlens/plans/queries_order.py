@@ -176,7 +176,7 @@ def _sorted(spark, sf):
 SELECT device_id, device_risk_score FROM device_profile
 ORDER BY device_risk_score DESC, device_id LIMIT 5000""")
 def _top_entities(spark, sf):
-    return X.top_risk_entities(P.device_profile(d(spark, sf)), "device_risk_score", "device_id").select(
+    return X.top_risk_entities(P.device_profile(d(spark, sf)), "device_risk_score", "device_id", 5000).select(
         "device_id", "device_risk_score")
 
 

@@ -212,8 +212,8 @@ stats AS (SELECT kind_order, entity_type, entity_id, count(DISTINCT payer_id) AS
     count(*) AS txn_count, sum(amount) AS amount_sum, CAST(sum(is_fraud) AS BIGINT) AS
     fraud_seed_count, CAST(sum(is_injected) AS BIGINT) AS injected_count,
     count(DISTINCT injection_scenario) AS scenario_count FROM touch GROUP BY ALL
-    HAVING count(DISTINCT payer_id) BETWEEN CASE entity_type WHEN 'device' THEN 2 WHEN 'merchant'
-        THEN 4 ELSE 3 END AND 200),
+    HAVING count(DISTINCT payer_id) >= CASE entity_type WHEN 'device' THEN 2 WHEN 'merchant'
+        THEN 4 ELSE 3 END),
 q AS (SELECT entity_type, quantile_cont(amount_sum, 0.9) AS aq, quantile_cont(txn_count, 0.9) AS tq
     FROM stats GROUP BY entity_type),
 risk AS (SELECT stats.*, least(1.0, 0.38 * least(1.0, fraud_seed_count / txn_count)
@@ -467,15 +467,22 @@ _CODES = """array_to_string(list_filter([
 @query("ring_explain", WITH_RINGS + f""", t AS (SELECT component, entity_id, row_number() OVER (
     PARTITION BY component ORDER BY resource_risk_score DESC, kind_order, entity_id) AS place FROM (
         SELECT *, row_number() OVER (PARTITION BY component ORDER BY kind_order, entity_id) AS p1
-        FROM proof) AS z WHERE p1 <= 20)
+        FROM proof) AS z WHERE p1 <= 20),
+kinds AS (SELECT component, string_agg(kind || '=' || n, ',' ORDER BY kind) AS by_kind FROM (
+    SELECT component, evidence_kind AS kind, count(*) AS n FROM (
+        SELECT *, 'shared_' || entity_type AS evidence_kind FROM proof) AS p GROUP BY ALL) AS g
+    GROUP BY component)
 SELECT ring_id, CASE WHEN score >= 0.75 THEN 'high' WHEN score >= 0.65 THEN 'medium' ELSE 'watch' END
     AS risk_level, {_CODES} AS codes, (SELECT string_agg(entity_id, ',' ORDER BY place) FROM t
-    WHERE t.component = rings.component AND place <= 5) AS top_resources FROM rings""")
+    WHERE t.component = rings.component AND place <= 5) AS top_resources,
+    (SELECT by_kind FROM kinds WHERE kinds.component = rings.component) AS by_kind FROM rings""")
 def _explain(spark, sf):
     return R.ring_detail(mined(spark, sf)).select(
         F.col("fraud_group_mining_id").alias("ring_id"), "risk_level",
         F.array_join("explanation_codes", ",").alias("codes"),
-        F.array_join(F.transform("top_resources", lambda e: e["entity_id"]), ",").alias("top_resources"))
+        F.array_join(F.transform("top_resources", lambda e: e["entity_id"]), ",").alias("top_resources"),
+        F.array_join(F.transform(F.array_sort(F.map_entries("evidence_by_kind")), lambda e: F.concat(
+            e["key"], F.lit("="), e["value"].cast("string"))), ",").alias("by_kind"))
 
 
 @query("ring_subgraph", WITH_RINGS + """, u AS (SELECT component, is_user, count(*) AS n FROM members

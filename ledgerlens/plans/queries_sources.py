@@ -328,7 +328,7 @@ def _kv(spark, sf):
     PARTITION BY u % 3 ORDER BY event_id) - 1 AS "offset", k, transaction_id,
     count(*) OVER (PARTITION BY u % 3) AS n FROM tx)
 SELECT partition, "offset", transaction_id AS key, k % 5 <> 0 AS is_json FROM m
-WHERE n - "offset" <= 20 // 3 + 2 ORDER BY partition DESC, "offset" DESC LIMIT 20""")
+ORDER BY partition DESC, "offset" DESC LIMIT 20""")
 def _tail(spark, sf):
     base = tx(spark, sf).select("transaction_id", "k", "event_id", (F.col("u") % 3).alias("partition"))
     placed = running_position(base, ["event_id"], ["partition"], out="offset")

@@ -79,6 +79,14 @@ def _parse(spark, sf):
         "transaction_id", "timestamp", "amount", "merchant_id")
 
 
+@query("st_dead_letters", WITH_D + f""", a AS (SELECT {_PART} AS part, row_number() OVER (
+    PARTITION BY {_PART} ORDER BY timestamp, event_id) - 1 AS place FROM d)
+SELECT part AS partition, place AS "offset", 'not json' AS reason FROM a WHERE place % 50 = 1""")
+def _dead(spark, sf):
+    raw = source_stream_events(spark, messages(spark, sf, marker_every=50))
+    return collected(V.dead_letters(raw, EVENT)).select("partition", "offset", "reason")
+
+
 _ARRIVAL = f""", a AS (SELECT *, {_PART} AS part, row_number() OVER (ORDER BY timestamp + INTERVAL 1 SECOND
     * (CASE WHEN k % 4 = 0 THEN 120 ELSE 0 END), event_id) AS arrival FROM d),
 late AS (SELECT transaction_id, amount, timestamp < max(timestamp) OVER (PARTITION BY part ORDER BY arrival)

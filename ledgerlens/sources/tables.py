@@ -54,15 +54,18 @@ def first_by_time(tx: DataFrame, limit: int) -> DataFrame:
     return placed.where(F.col("_at") < limit).drop("_at")
 
 
-def event_stream_rows(tx: DataFrame, limit: int) -> DataFrame:
-    """The first ``limit`` rows by time, as stream columns."""
-    return first_by_time(tx.select(*S.STREAM_COLUMNS), limit)
+def event_stream_rows(tx: DataFrame, limit: int | None) -> DataFrame:
+    """The first ``limit`` rows by time (None: all), as stream columns."""
+    rows = tx.select(*S.STREAM_COLUMNS)
+    return rows if limit is None else first_by_time(rows, limit)
 
 
-def event_stream_rows_mixed(tx: DataFrame, limit: int) -> DataFrame:
+def event_stream_rows_mixed(tx: DataFrame, limit: int | None) -> DataFrame:
     """Injected rows claim the limit first; the earliest other rows fill what is left."""
     rows = tx.select(*S.STREAM_COLUMNS, *S.AUGMENTED_COLUMNS).withColumn(
         "_injected", F.coalesce(F.col("is_injected") == 1, F.lit(False)))
+    if limit is None:
+        return rows.drop("_injected")
     claimed = rows.agg(F.count_if("_injected").alias("n")).scalar()
     placed = running_position(rows, ("timestamp", "transaction_id"), ["_injected"], out="_at")
     room = F.greatest(F.lit(limit) - claimed, F.lit(0))
@@ -111,28 +114,28 @@ def sink_profile_kv(tables: Mapping[str, DataFrame], path: str) -> None:
 
 
 def tail_topic(messages: DataFrame, limit: int = 20) -> DataFrame:
-    """Last ``limit`` messages by (partition, offset), each partition giving its tail.
+    """Last ``limit`` messages by (partition, offset).
 
     ``messages``: partition, offset, key, value (text), as a batch read of a topic returns them.
     """
     if not 1 <= limit <= 200:
         raise ValueError("limit must be between 1 and 200")
-    parts = messages.agg(F.countDistinct("partition").alias("n")).scalar()
-    place = "_place"
-    tails = top_per_group(messages, ["partition"], [F.desc("offset")], limit + 2, place)
-    share = F.floor(F.lit(limit) / F.greatest(parts, F.lit(1))) + 2
-    kept = tails.where(F.col(place) <= share).drop(place)
-    last = kept.orderBy(F.desc("partition"), F.desc("offset")).limit(limit)
+    tails = top_per_group(messages, ["partition"], [F.desc("offset")], limit, "_place").drop("_place")
+    last = tails.orderBy(F.desc("partition"), F.desc("offset")).limit(limit)
     return last.withColumn("is_json", F.try_parse_json("value").isNotNull())
 
 
 def source_stream_events(spark: SparkSession, path: str | None = None,
                          bootstrap: str | None = None, topic: str = "transaction_events",
-                         max_files: int | None = None) -> DataFrame:
-    """Raw messages (value, partition, offset, arrived) from a topic, or from files in tests."""
+                         max_files: int | None = None, max_offsets: int = 1_000_000) -> DataFrame:
+    """Raw messages (value, partition, offset, arrived) from a topic, or from files in tests.
+
+    A micro-batch takes at most ``max_offsets`` messages of a topic, or ``max_files`` files.
+    """
     if bootstrap:
         raw = (spark.readStream.format("kafka").option("kafka.bootstrap.servers", bootstrap)
-               .option("subscribe", topic).option("startingOffsets", "earliest").load())
+               .option("subscribe", topic).option("startingOffsets", "earliest")
+               .option("maxOffsetsPerTrigger", max_offsets).load())
         return raw.select(F.col("value").cast("string").alias("value"), "partition", "offset",
                           F.col("timestamp").cast("timestamp_ntz").alias("arrived"))
     reader = spark.readStream.schema(

@@ -12,7 +12,8 @@ from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
 from ledgerlens import schema as S
 from ledgerlens.functions.hashing import stable_hash
-from ledgerlens.functions.scalar import epoch_micros
+from ledgerlens.functions.scalar import add_micros, epoch_micros
+from ledgerlens.operators.derive import ts_coerce
 from ledgerlens.operators.ordering import running_totals
 from ledgerlens.session import cut
 
@@ -25,15 +26,34 @@ def use_state_store(spark) -> None:
     spark.conf.set("spark.sql.streaming.stateStore.providerClass", ROCKSDB)
 
 
+def _readable(event: Column) -> Column:
+    return F.try_parse_json("value").isNotNull() & event["transaction_id"].isNotNull()
+
+
 def parse_events(raw: DataFrame, schema: T.StructType = S.STREAM_SCHEMA, marker: str = MARKER) -> DataFrame:
-    """Events of raw messages; control markers and unreadable lines are dropped."""
-    event = F.from_json("value", schema)
-    parsed = raw.withColumn("_e", event).where(
-        F.get_json_object("value", f"$.{marker}").isNull()
-        & F.try_parse_json("value").isNotNull()
-        & F.col("_e.transaction_id").isNotNull())
+    """Events of raw messages; control markers are left out, unreadable lines go to ``dead_letters``.
+
+    A time may be ISO text with or without a zone; one that is missing or unreadable is the time of
+    arrival.
+    """
+    as_text = T.StructType([T.StructField(f.name, T.StringType() if f.name == "timestamp" else f.dataType)
+                            for f in schema])
+    arrived = F.col("arrived") if "arrived" in raw.columns else F.lit(None).cast("timestamp_ntz")
+    parsed = raw.withColumn("_e", F.from_json("value", as_text)).where(
+        F.get_json_object("value", f"$.{marker}").isNull() & _readable(F.col("_e")))
     others = [c for c in raw.columns if c != "value"]
-    return parsed.select(*others, "_e.*")
+    micros = F.round(ts_coerce(F.col("_e.timestamp"), arrived) * 1e6).cast("bigint")
+    fields = [add_micros(F.lit("1970-01-01 00:00:00"), micros).alias(f.name) if f.name == "timestamp"
+              else F.col("_e")[f.name].alias(f.name) for f in schema]
+    return parsed.select(*others, *fields)
+
+
+def dead_letters(raw: DataFrame, schema: T.StructType = S.STREAM_SCHEMA, marker: str = MARKER) -> DataFrame:
+    """Messages that are neither events nor control markers, as they came, with the reason."""
+    reason = F.when(F.try_parse_json("value").isNull(), "not json").otherwise("no transaction_id")
+    event = F.from_json("value", schema)
+    return raw.where(F.coalesce(F.get_json_object("value", f"$.{marker}").isNull(), F.lit(True))
+                     & ~F.coalesce(_readable(event), F.lit(False))).withColumn("reason", reason)
 
 
 class _LateTagger(StatefulProcessor):
@@ -48,11 +68,12 @@ class _LateTagger(StatefulProcessor):
     def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
         batch = pd.concat(list(rows), ignore_index=True).sort_values("offset", kind="stable")
         seen = self.top.get()[0] if self.top.exists() else None
-        high = batch["event_us"].cummax()
+        high = batch["event_us"].cummax().ffill()  # an event without a time is not late
         if seen is not None:
-            high = high.clip(lower=seen)
-        self.top.update((int(high.iloc[-1]),))
-        batch["is_late_event"] = batch["event_us"] < high - self.allowed_us
+            high = high.fillna(seen).clip(lower=seen)
+        if high.notna().iloc[-1]:
+            self.top.update((int(high.iloc[-1]),))
+        batch["is_late_event"] = (batch["event_us"] < high - self.allowed_us).astype(bool)
         yield batch
 
     def close(self) -> None:

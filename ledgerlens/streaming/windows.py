@@ -24,7 +24,7 @@ KINDS = (
 SHORT_SECONDS = 300
 MISSING_SHARDS = 4  # how many ways events without an id are split; raise with their share
 
-_OUT = ("kind string, transaction_id string, part int, n bigint, total double, others bigint, "
+_OUT = ("kind string, transaction_id string, partition int, offset bigint, part int, n bigint, total double, others bigint, "
         "n_short bigint, total_short double, event_json string")
 
 
@@ -90,7 +90,7 @@ class _Windows(StatefulProcessor):
             self.recent.put([(int(us[i]), float(amount[i]), other[i]) for i in range(first, last)])
         else:
             self.recent.clear()
-        for at, name in enumerate(("kind", "transaction_id", "part")):
+        for at, name in enumerate(("kind", "transaction_id", "partition", "offset", "part")):
             out.insert(at, name, batch[name].to_numpy())
         out["event_json"] = batch["event_json"].to_numpy()
         yield out
@@ -153,7 +153,10 @@ def window_state(events: DataFrame, missing_shards: int = MISSING_SHARDS) -> Dat
 
 
 def join_back(partials: DataFrame, event_schema: T.StructType) -> DataFrame:
-    """One row per event of a micro-batch with its ``window_features`` struct."""
+    """One row per message of a micro-batch with its ``window_features`` struct.
+
+    Messages are told apart by partition and offset; the same event may come twice.
+    """
     def add(kind: str, column: str, zero) -> Column:
         return F.coalesce(F.sum(F.when(F.col("kind") == kind, F.col(column))), F.lit(zero))
 
@@ -168,7 +171,7 @@ def join_back(partials: DataFrame, event_schema: T.StructType) -> DataFrame:
         add("merchant", "n", 0).alias("merchant_txn_count_1h"),
         add("merchant", "total", 0.0).alias("merchant_amount_sum_1h"),
         add("merchant", "others", 0).alias("merchant_unique_user_count_1h"))
-    rows = partials.groupBy("transaction_id").agg(
+    rows = partials.groupBy("transaction_id", "partition", "offset").agg(
         features.alias("window_features"), F.max("event_json").alias("_json"))
     return rows.select(F.from_json("_json", event_schema).alias("_e"), "window_features").select(
         "_e.*", "window_features")

@@ -109,7 +109,8 @@ def ring_row(spark):
         "top_scenarios map<string,bigint>, evidence array<struct<entity_id:string,entity_type:string,"
         "evidence_kind:string,shared_user_count:bigint,txn_count:bigint,fraud_seed_count:bigint,"
         "resource_risk_score:double>>, sample_users array<string>, sample_resources array<string>")
-    return df
+    return df.withColumns({"device_evidence": F.lit(1), "ip_evidence": F.lit(1)}).withColumns(
+        {"merchant_evidence": F.lit(0), "payee_evidence": F.lit(0)})
 
 
 def test_ring_explanation(spark):

@@ -12,6 +12,7 @@ from ledgerlens.operators import ordering as O
 from ledgerlens.operators import rings as R
 from ledgerlens.operators import sampling as X
 from ledgerlens.operators import windows as W
+from ledgerlens.sources import tables as S
 
 T0 = dt.datetime(2026, 1, 1)
 
@@ -108,6 +109,29 @@ def test_late_tag_over_slices_equals_running_maximum(spark):
         assert got[i] == (ts < top - dt.timedelta(seconds=60))
 
 
+def test_a_resource_of_many_payers_is_kept(spark):
+    rows = [(f"t{i}", T0, 5.0, int(i < 3), 0, None, f"u{i}", "p", None, "D_hub", f"i{i}", None) for i in range(500)]
+    tx = spark.createDataFrame(rows, "transaction_id string, timestamp timestamp_ntz, amount double, is_fraud int, "
+                               "is_injected int, injection_scenario string, payer_id string, payee_id string, "
+                               "merchant_id string, device_id string, ip_id string, fraud_group_id string")
+    assert {r.entity_id: r.shared_user_count for r in R.resource_stats(tx).collect()} == {"D_hub": 500, "p": 500}
+    hub = R.mine_rings(tx).candidates.where("entity_id = 'D_hub'").first()
+    assert hub.shared_user_count == 500
+
+
+def test_tail_of_a_topic_with_one_busy_partition(spark):
+    rows = [(0, i, str(i), "{}") for i in range(91)] + [(p, 0, "k", "x") for p in range(1, 10)]
+    messages = spark.createDataFrame(rows, "partition int, offset long, key string, value string")
+    got = [(r.partition, r.offset) for r in S.tail_topic(messages, 20).collect()]
+    assert got == [(p, 0) for p in range(9, 0, -1)] + [(0, i) for i in range(90, 79, -1)]
+
+
+def test_evidence_beyond_the_listed_rows_counts(spark):
+    rows = [("c", f"e{i:02d}", "shared_ip" if i < 22 else "shared_payee") for i in range(30)]
+    counted = R.evidence_kinds(spark.createDataFrame(rows, "component string, entity_id string, evidence_kind string")).first()
+    assert (counted.ip_evidence, counted.payee_evidence, counted.device_evidence) == (22, 8, 0)
+
+
 def test_hot_resource_beyond_the_limit_is_left_out_whole(spark):
     rows = [(f"t{i}", T0, 5.0, 1, 0, None, f"u{i}", "p", None, "D_hot" if i < 30 else "D_small", f"i{i}")
             for i in range(33)]

@@ -55,6 +55,38 @@ def test_markers_and_broken_lines_are_dropped(spark, tmp_path):
     assert [r.transaction_id for r in out.collect()] == ["t1"]
 
 
+def test_broken_lines_come_back_as_dead_letters(spark, tmp_path):
+    lines = ['{"__flush": true}', "nonsense", event(1, 0), '{"amount": 3}']
+    raw = source_stream_events(spark, write(tmp_path / "in", [lines]), max_files=1)
+    out = collected(V.dead_letters(raw, EVENT))
+    assert {(r.value, r.reason) for r in out.collect()} == {("nonsense", "not json"), ('{"amount": 3}', "no transaction_id")}
+
+
+def test_times_with_zone_missing_or_unreadable(spark, tmp_path):
+    zoned, missing, odd = event(1, 0), event(2, 0), event(3, 0)
+    zoned["timestamp"], missing["timestamp"], odd["timestamp"] = "2026-01-01T00:00:09.250000Z", None, "soon"
+    out = collected(V.late_tag(stream(spark, tmp_path / "in", [[zoned, missing, odd]]))).collect()
+    assert {r.transaction_id: r.timestamp for r in out} == {
+        "t1": T0 + dt.timedelta(seconds=9, milliseconds=250), "t2": T0 + dt.timedelta(seconds=1), "t3": T0 + dt.timedelta(seconds=2)}
+
+
+def test_a_consumer_whose_last_event_has_no_time(spark, tmp_path):
+    V.use_state_store(spark)
+    batches = [[event(0, 100), event(1, 30)], [event(2, 100)], [event(3, 41), event(4, 39)]]
+    source = stream(spark, tmp_path / "in", batches)
+    holes = source.withColumn("timestamp", F.when(F.col("transaction_id") != "t2", F.col("timestamp")))
+    out = collected(V.late_tag(holes)).collect()
+    assert {r.transaction_id for r in out if r.is_late_event} == {"t1", "t4"}
+
+
+def test_redelivered_events_are_messages_of_their_own(spark, tmp_path):
+    batches = [[event(1, 0, amount=1.0), event(1, 0, amount=1.0), event(2, 10, amount=1.0)], [event(1, 20, amount=1.0)]]
+    source = stream(spark, tmp_path / "in", batches)
+    rows = K.join_back(collected(K.window_state(source)), source.schema).collect()
+    assert sorted((r.offset, r.transaction_id, r.window_features.user_txn_count_1h) for r in rows) == [
+        (0, "t1", 1), (1, "t1", 2), (2, "t2", 3), (3, "t1", 4)]
+
+
 def by_state(spark, folder, batches):
     source = stream(spark, folder, batches)
     rows = K.join_back(collected(K.window_state(source)), source.schema).collect()
