@@ -11,7 +11,7 @@ occurrence, and buckets grow in number with the corpus, so each stays of bounded
 from __future__ import annotations
 
 import struct
-from collections.abc import Callable, Iterator
+from collections.abc import Callable, Iterable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -24,8 +24,8 @@ from pyspark.sql import functions as F
 from ledgerlens.llm.tables import arrow_map, cut
 from ledgerlens.llm.words import SPACED, span_hashes, text_bytes, words_of
 
-CHUNK_BYTES = 16 << 20
-BUCKET_KEYS = 2_000_000
+CHUNK_BYTES = 4 << 20
+BUCKET_KEYS = 1_500_000
 NO_ID = np.iinfo(np.int64).max  # stands for a null id: larger than all others
 END_HASH = np.uint64(0x5BD1E9955BD1E995)
 
@@ -166,15 +166,17 @@ def chunk_map(chunks: DataFrame, end: bool, work: Callable[..., Iterator[pa.Reco
     return arrow_map(chunks, run, schema)
 
 
-def message(bucket: int, chunk: int, payload: bytes) -> pa.RecordBatch:
-    return pa.record_batch([pa.array([bucket], pa.int32()), pa.array([chunk], pa.int64()), pa.array([payload], pa.binary())],
-                           names=["bucket", "chunk", "payload"])
+def messages(chunk: int, sent: Iterable[tuple[int, bytes]]) -> pa.RecordBatch:
+    """What one chunk sends: (bucket, payload) pairs."""
+    sent = list(sent)
+    return pa.record_batch([pa.array([b for b, _ in sent], pa.int32()), pa.array([chunk] * len(sent), pa.int64()),
+                            pa.array([p for _, p in sent], pa.binary())], names=["bucket", "chunk", "payload"])
 
 
 MESSAGE = "bucket int, chunk bigint, payload binary"
 
 
-def answered(messages: DataFrame, answer: Callable[[int, list[int], list[bytes]], Iterator[tuple[int, bytes]]]) -> DataFrame:
+def answered(asked: DataFrame, answer: Callable[[int, list[int], list[bytes]], Iterator[tuple[int, bytes]]]) -> DataFrame:
     """(chunk, bucket, answer): ``answer(bucket, chunks, payloads)`` gives (chunk, bytes) pairs."""
     def run(table: pa.Table) -> pa.Table:
         bucket = table.column("bucket")[0].as_py()
@@ -182,7 +184,7 @@ def answered(messages: DataFrame, answer: Callable[[int, list[int], list[bytes]]
         return pa.table([pa.array([c for c, _ in out], pa.int64()), pa.array([bucket] * len(out), pa.int32()),
                          pa.array([a for _, a in out], pa.binary())], names=["chunk", "bucket", "answer"])
 
-    return messages.groupBy("bucket").applyInArrow(run, "chunk bigint, bucket int, answer binary")
+    return asked.groupBy("bucket").applyInArrow(run, "chunk bigint, bucket int, answer binary")
 
 
 def with_answers(chunks: DataFrame, **answers: DataFrame) -> DataFrame:

@@ -191,12 +191,12 @@ class _Pairs:
             yield bucket, part, slice(int(ends[part.start]), int(ends[part.stop]))
 
 
-def _send_pairs(pairs: _Pairs, number: int) -> Iterator[pa.RecordBatch]:
+def _pair_messages(pairs: _Pairs) -> Iterator[tuple[int, bytes]]:
     for bucket, pieces, types in pairs.by_bucket():
         short = pairs.short[types]
-        yield C.message(bucket, number, C.pack(
+        yield bucket, C.pack(
             C.gaps(pairs.name[pieces]), pairs.parts[pieces], pairs.sizes[pieces],
-            (short >> np.uint64(8)).astype(np.uint32), (short & np.uint64(255)).astype(np.uint8), pairs.count[types]))
+            (short >> np.uint64(8)).astype(np.uint32), (short & np.uint64(255)).astype(np.uint8), pairs.count[types])
 
 
 def _seat_bucket(bucket: int, numbers: list[int], payloads: list[bytes]) -> Iterator[tuple[int, bytes]]:
@@ -297,21 +297,20 @@ def score_texts(docs: DataFrame, held_out: Column, id_col: str = "doc_id", text:
     hot = _hot_contexts(chunks, total, buckets)
 
     def ask_pairs(chunk: C.Chunk, _) -> Iterator[pa.RecordBatch]:
-        yield from _send_pairs(_Pairs(chunk, hot, buckets), chunk.number)
+        yield C.messages(chunk.number, _pair_messages(_Pairs(chunk, hot, buckets)))
 
     seated = cut(C.answered(C.chunk_map(chunks, True, ask_pairs, C.MESSAGE), _seat_bucket), "restaurants")
 
     def ask_words(chunk: C.Chunk, _) -> Iterator[pa.RecordBatch]:
-        for bucket, _, payload in _send_words(chunk, word_buckets)[1]:
-            yield C.message(bucket, chunk.number, payload)
+        yield C.messages(chunk.number, ((b, payload) for b, _, payload in _send_words(chunk, word_buckets)[1]))
 
     def tables(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for number, raw in zip(batch.column("chunk").to_pylist(), batch.column("answer").to_pylist()):
                 steps, count = C.unpack(raw)
                 dishes = C.ungaps(steps)
-                for bucket, part in C.split_sorted(_word_bucket(dishes, word_buckets, 40), word_buckets):
-                    yield C.message(bucket, number, C.pack(C.gaps(dishes[part]), count[part]))
+                yield C.messages(number, ((bucket, C.pack(C.gaps(dishes[part]), count[part])) for bucket, part in
+                                          C.split_sorted(_word_bucket(dishes, word_buckets, 40), word_buckets)))
 
     sent = seated.where("chunk < 0").select("chunk", "answer").mapInArrow(tables, C.MESSAGE)
     counted = cut(C.answered(C.chunk_map(chunks, True, ask_words, C.MESSAGE).unionByName(sent), _count_words), "words")

@@ -113,9 +113,9 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text: str = "text",
 
     def probe(chunk: C.Chunk, _) -> Iterator[pa.RecordBatch]:
         anchors = _Anchors(chunk, block, bits)
-        for bucket, part in by_value(anchors):
-            yield C.message(bucket, chunk.number, C.pack(
-                C.gaps(anchors.values[part]), C.pack_flags(anchors.block[part]), C.pack_flags(anchors.several[part])))
+        yield C.messages(chunk.number, ((bucket, C.pack(
+            C.gaps(anchors.values[part]), C.pack_flags(anchors.block[part]), C.pack_flags(anchors.several[part])))
+            for bucket, part in by_value(anchors)))
 
     def meet(_, numbers: list[int], payloads: list[bytes]) -> Iterator[tuple[int, bytes]]:
         parts = [C.unpack(p) for p in payloads]
@@ -144,8 +144,8 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text: str = "text",
 
     def ask(chunk: C.Chunk, row: dict) -> Iterator[pa.RecordBatch]:
         found = windows_of(chunk, row)
-        for bucket, part in by_key(found):
-            yield C.message(bucket, chunk.number, C.pack(C.gaps(found.key[part]), found.check[part], found.low[part]))
+        yield C.messages(chunk.number, ((bucket, C.pack(C.gaps(found.key[part]), found.check[part], found.low[part]))
+                                        for bucket, part in by_key(found)))
 
     def smallest(_, numbers: list[int], payloads: list[bytes]) -> Iterator[tuple[int, bytes]]:
         parts = [C.unpack(p) for p in payloads]
