@@ -2,7 +2,8 @@
 
 A single blank between two plain characters is always a border of the tokenizer's own pieces, and
 merges never cross it. Texts are therefore cut there, each distinct stretch of a batch is encoded
-once, and ids are put together again; ``tests/llm`` compare this with encoding whole texts.
+once, and ids are put together again; ``tests/llm`` compare this with encoding whole texts. A
+worker remembers stretches, up to a limit, from one batch to the next.
 Strings that look like special tokens are ordinary text.
 """
 
@@ -11,6 +12,7 @@ from __future__ import annotations
 import os
 from dataclasses import dataclass
 from functools import lru_cache
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -67,14 +69,13 @@ def _stretches(data: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np.nda
 
 def encode(column: pa.Array, path: str, end_id: int) -> Ids:
     """Ids of every text with ``end_id`` after each; null counts as empty."""
-    tokenizer = load(path)
     data, bounds = text_bytes(column)
     parts, counts = [], []
     row = 0
     while row < len(bounds) - 1:
         to = max(row + 1, int(np.searchsorted(bounds, bounds[row] + _SLICE, side="right")) - 1)
         here = bounds[row:to + 1] - bounds[row]
-        ids, first = _encode_slice(data[bounds[row]:bounds[to]], here, tokenizer)
+        ids, first = _encode_slice(data[bounds[row]:bounds[to]], here, path)
         size = np.diff(first)
         out = np.full(len(ids) + len(size), end_id, dtype=np.uint32)
         place = np.arange(len(ids)) + np.repeat(np.arange(len(size)), size)
@@ -86,19 +87,61 @@ def encode(column: pa.Array, path: str, end_id: int) -> Ids:
     return Ids(ids, np.concatenate(([0], np.cumsum(np.concatenate(counts) if counts else []))).astype(np.int64))
 
 
-def _encode_slice(data: np.ndarray, bounds: np.ndarray, tokenizer) -> tuple[np.ndarray, np.ndarray]:
+class _Known:
+    """Ids of stretches seen by this worker, by hash; emptied when ``LIMIT`` is passed."""
+
+    LIMIT = 600_000
+
+    def __init__(self):
+        self.clear()
+
+    def clear(self) -> None:
+        self.hashes = np.zeros(0, np.uint64)
+        self.begin = np.zeros(0, np.int64)
+        self.size = np.zeros(0, np.int64)
+        self.flat = np.zeros(0, np.uint32)
+
+    def find(self, hashes: np.ndarray) -> np.ndarray:
+        """Place of each hash, -1 where unknown."""
+        if not len(self.hashes):
+            return np.full(len(hashes), -1)
+        at = np.minimum(np.searchsorted(self.hashes, hashes), len(self.hashes) - 1)
+        return np.where(self.hashes[at] == hashes, at, -1)
+
+    def add(self, hashes: np.ndarray, size: np.ndarray, flat: np.ndarray) -> None:
+        begin = len(self.flat) + np.cumsum(size) - size
+        every = np.concatenate((self.hashes, hashes))
+        order = np.argsort(every, kind="stable")
+        self.hashes = every[order]
+        self.begin = np.concatenate((self.begin, begin))[order]
+        self.size = np.concatenate((self.size, size))[order]
+        self.flat = np.concatenate((self.flat, flat))
+
+
+@lru_cache(maxsize=2)
+def _known(path: str) -> _Known:
+    return _Known()
+
+
+def _encode_slice(data: np.ndarray, bounds: np.ndarray, path: str) -> tuple[np.ndarray, np.ndarray]:
     start, of_row = _stretches(data, bounds)
     if not len(start):
         return np.zeros(0, np.uint32), np.zeros(len(bounds), np.int64)
     end = np.append(start[1:], len(data))
-    _, spot, which = np.unique(span_hashes(data, start, end), return_index=True, return_inverse=True)
-    raw = data.tobytes()
-    distinct = [raw[s:e].decode() for s, e in zip(start[spot].tolist(), end[spot].tolist())]
-    encoded = [e.ids for e in tokenizer.encode_batch_fast(distinct, add_special_tokens=False)]
-    size = np.fromiter(map(len, encoded), dtype=np.int64, count=len(encoded))
-    flat = np.fromiter((i for ids in encoded for i in ids), dtype=np.uint32, count=int(size.sum()))
-    begin = np.cumsum(size) - size
-    lengths = size[which]
+    hashes, spot, which = np.unique(span_hashes(data, start, end), return_index=True, return_inverse=True)
+    known = _known(path)
+    if len(known.hashes) > known.LIMIT:
+        known.clear()
+    place = known.find(hashes)
+    fresh = np.flatnonzero(place < 0)
+    if len(fresh):
+        raw = data.tobytes()
+        distinct = [raw[s:e].decode() for s, e in zip(start[spot[fresh]].tolist(), end[spot[fresh]].tolist())]
+        encoded = [e.ids for e in load(path).encode_batch_fast(distinct, add_special_tokens=False)]
+        size = np.fromiter(map(len, encoded), dtype=np.int64, count=len(encoded))
+        known.add(hashes[fresh], size, np.fromiter(chain.from_iterable(encoded), dtype=np.uint32, count=int(size.sum())))
+        place = known.find(hashes)
+    lengths = known.size[place][which]
     ends = np.cumsum(lengths)
-    take = np.arange(int(ends[-1])) + np.repeat(begin[which] - (ends - lengths), lengths)
-    return flat[take], np.concatenate(([0], ends))[of_row]
+    take = np.arange(int(ends[-1])) + np.repeat(known.begin[place][which] - (ends - lengths), lengths)
+    return known.flat[take], np.concatenate(([0], ends))[of_row]
