@@ -1,7 +1,8 @@
 """Token ids of text columns with the tokenizers library, each distinct word encoded once a batch.
 
-A single blank between two plain characters is always a border of the tokenizer's own pieces, and
-merges never cross it. Texts are therefore cut there, each distinct stretch of a batch is encoded
+A single blank or line end between two plain characters, and the change between a letter and a
+punctuation mark other than the apostrophe, are always borders of the tokenizers' own pieces, and
+merges never cross them. Texts are therefore cut there, each distinct stretch of a batch is encoded
 once, and ids are put together again; ``tests/llm`` compare this with encoding whole texts. A
 worker remembers stretches, up to a limit, from one batch to the next.
 Strings that look like special tokens are ordinary text.
@@ -19,14 +20,20 @@ import pyarrow as pa
 
 from ledgerlens.llm.words import span_hashes, text_bytes
 
-_SLICE = 12 << 20  # bytes of text encoded at once
+_SLICE = 4 << 20  # bytes of text encoded at once
 
-# First and following bytes of the characters next to which a blank is a border
-# (visible ASCII, and U+00C0 to U+017F).
+# Bytes of plain characters, which are visible ASCII and U+00C0 to U+017F. All of
+# the latter are letters but U+00D7 and U+00F7 (C3 97 and C3 B7); U+0130 (C4 B0) ends in a mark
+# once it is in lower case, so it does not count as one.
 _PLAIN = np.zeros(256, dtype=bool)
 _PLAIN[0x21:0x7F] = True
 _LEAD = np.zeros(256, dtype=bool)
 _LEAD[0xC3:0xC6] = True
+_LETTER = np.zeros(256, dtype=bool)
+_LETTER[[*range(0x41, 0x5B), *range(0x61, 0x7B)]] = True
+_MARK = _PLAIN & ~_LETTER
+_MARK[[*range(0x30, 0x3A), 0x27]] = False
+_NO_LETTERS = ((0xC3, 0x97), (0xC3, 0xB7), (0xC4, 0xB0))
 
 
 @lru_cache(maxsize=2)
@@ -52,17 +59,29 @@ class Ids:
 
 def _stretches(data: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Starts of the stretches, and for each row its first stretch."""
-    plain_before = _PLAIN[data]
-    plain_before[1:] |= _LEAD[data[:-1]]
-    plain_after = _PLAIN[data] | _LEAD[data]
-    border = np.zeros(len(data), dtype=bool)
-    if len(data) > 2:
-        border[1:-1] = (data[1:-1] == 32) & plain_before[:-2] & plain_after[2:]
+    n = len(data)
+    border = np.zeros(n, dtype=bool)
+    if n > 2:
+        lead = _LEAD[data]
+        before, after = data[:-1], data[1:]
+        sign = np.logical_or.reduce([(before == a) & (after == b) for a, b in _NO_LETTERS])
+        plain_end, plain_start = _PLAIN[data], _PLAIN[data] | lead
+        plain_end[1:] |= lead[:-1]
+        letter_end, letter_start = _LETTER[data], _LETTER[data] | lead
+        letter_end[1:] |= lead[:-1] & ~sign
+        letter_start[:-1] &= ~sign
+        mark = _MARK[data]
+        between = plain_end[:-2] & plain_start[2:]
+        line = (data[1:-1] == 10) & between
+        border[1:-1] = ((data[1:-1] == 32) & between) | line
+        border[2:] |= line
+        border[1:] |= (mark[1:] & letter_end[:-1]) | (letter_start[1:] & mark[:-1])
     full = bounds[:-1] < bounds[1:]
     inner = bounds[:-1][full]
     border[inner] = True
-    last = bounds[1:][full] - 1  # a blank that ends a row has its neighbour in another row
-    border[last[last > inner]] = False
+    last = bounds[1:][full] - 1  # a blank or line end that ends a row has its neighbour in another row
+    last = last[(last > inner) & ((data[last] == 32) | (data[last] == 10))]
+    border[last] = False
     start = np.flatnonzero(border)
     return start, np.searchsorted(start, bounds)
 

@@ -9,18 +9,19 @@ import pyarrow as pa
 import public_tokenizers
 import pytest
 import zstandard
-from hypothesis import given, settings
+from hypothesis import example, given, settings
 from hypothesis import strategies as st
 
 from ledgerlens.llm import tokenfile, tokens
 
 ALPHABET = list("ab Z09.,'-|$%\n\t\r  éüßñ") + ["'s", " 't", " ", " ", "́", "　", "中", "😀", "\x1c", "\x85",
-                                                "<|endoftext|>", "Σ", "İ", "​", "ſ", "K", "\x00", " "]
+                                                "<|endoftext|>", "×", "÷", "=\u0338", ".", "!", "'", "s", "Σ", "İ", "​", "ſ", "K", "\x00", " "]
 
 
 @pytest.mark.parametrize("name", ["byte_bpe_50k.json", "word_bpe_49k.json"])
+@example(texts=["İ|", "a×.", "é.b", "x=\u0338", "don't.'s"])
 @given(texts=st.lists(st.one_of(st.none(), st.lists(st.sampled_from(ALPHABET), max_size=40).map("".join), st.text(max_size=30)), max_size=8))
-@settings(max_examples=150, deadline=None)
+@settings(max_examples=400, deadline=None)
 def test_stretches_give_the_ids_of_whole_texts(name, texts):
     path = public_tokenizers.path(name)
     texts = [t if t is None else t.encode("utf-8", "ignore").decode() for t in texts]
