@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ledgerlens.llm.tables import arrow_map, cut, free_name
+from ledgerlens.llm.tables import arrow_map, cut, free_name, slices
 from ledgerlens.llm.words import ALNUM, Words, covered, rolling, row_sums, window_starts, words_of
 
 SLICE = 1_000_000
@@ -95,7 +95,7 @@ def _scan(docs: DataFrame, text: str, piece) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         found = piece.value
-        for batch in batches:
+        for batch in slices(batches, text):
             words = words_of(batch.column(text), ALNUM, lower=True)
             hit, items = found.hits(words)
             some = row_sums(hit, words.first) > 0

@@ -32,7 +32,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ledgerlens.llm import golay
-from ledgerlens.llm.tables import arrow_map, cut, free_name
+from ledgerlens.llm.tables import arrow_map, cut, free_name, slices
 from ledgerlens.llm.words import Words, words_of
 from ledgerlens.operators.components import connected_components
 
@@ -298,7 +298,7 @@ def fingerprint_table(docs: DataFrame, text: str, shingle: int, seeds: tuple[int
     width = len(seeds)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in slices(batches, text):
             prints = fingerprints(batch.column(text), shingle, seeds)
             yield pa.record_batch(
                 [batch.column(c) for c in others]

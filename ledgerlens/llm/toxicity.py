@@ -20,11 +20,11 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ledgerlens.llm.tables import arrow_map, cut, free_name
+from ledgerlens.llm.tables import arrow_map, cut, free_name, slices
 from ledgerlens.llm.words import ALNUM, mix, span_hashes, words_of
 
 SLOTS = 1 << 20
-PER_CLASS = 6_000
+PER_CLASS = 4_000
 THRESHOLD = 0.3
 _ALPHA, _BETA, _L1, _L2, _PASSES = 0.3, 1.0, 6.0, 0.1, 4
 STEMS = range(5, 10)
@@ -112,7 +112,7 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text: str =
     chosen = cut(chosen, "sample")
 
     def extract(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in slices(batches, "text"):
             if len(batch):
                 yield pa.record_batch([pa.array([s.tobytes() for s in _row_slots(batch.column("text"))], pa.binary()),
                                        batch.column("label"), batch.column("order")], names=["slots", "label", "order"])
@@ -147,7 +147,7 @@ def score(docs: DataFrame, model: tuple[dict[int, float], float], text: str = "t
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         w = shared.value
-        for batch in batches:
+        for batch in slices(batches, text):
             total = np.full(len(batch), w[SLOTS], dtype=np.float64)
             found, known = [], np.zeros(len(batch), dtype=bool)
             for row, slot in features(batch.column(text)):
