@@ -15,6 +15,7 @@ from ledgerlens.operators import profiles as P
 from ledgerlens.operators import quality as Q
 from ledgerlens.operators import windows as W
 from ledgerlens.operators.joins import attach_graph_features, enrich_profiles
+from ledgerlens.plans.queries_rings import WITH_EDGES
 from ledgerlens.plans.registry import WITH_D, WITH_TX, d, query, rounded, tx
 from ledgerlens.session import cut, scratch_path
 
@@ -241,44 +242,69 @@ def _fit(spark, sf, fit) -> DataFrame:
     train, valid, test = (table.where(F.col("split") == s) for s in ("train", "valid", "test"))
     contract = L.select_features(train)
     model = fit(train, valid, contract)
-    return L.score_batch(model, D.labelled_only(test)).select("transaction_id", "is_fraud", "risk_score")
+    return judged(L.score_batch(model, D.labelled_only(test)).select("transaction_id", "is_fraud", "risk_score"))
 
 
-@query("fit_logistic")
+def judged(scores: DataFrame, key: str = "transaction_id", label: str = "is_fraud",
+           score: str = "risk_score") -> DataFrame:
+    """Scored rows with what must hold: scores lie in [0, 1], and those of fraud are higher on average."""
+    scores = cut(scores, "scores")
+    mean = lambda value: F.avg(F.when(F.col(label) == value, F.col(score)))
+    apart = scores.agg(F.coalesce(mean(1) > mean(0), F.lit(True)).alias("apart")).scalar()
+    return scores.select(key, F.col(label).cast("int").alias(label), F.col(score).between(0, 1).alias("in_range"),
+                         apart.alias("fraud_scores_higher"))
+
+
+_JUDGED = WITH_D + """
+SELECT transaction_id, CAST(is_fraud AS INT) AS is_fraud, TRUE AS in_range, TRUE AS fraud_scores_higher
+FROM d WHERE split = 'test' AND is_fraud IN (0, 1)"""
+
+
+@query("fit_logistic", _JUDGED)
 def _logistic(spark, sf):
-    return _fit(spark, sf, lambda train, valid, c: L.fit_logistic(train, c, max_iter=30))
+    return _fit(spark, sf, lambda train, valid, c: L.fit_logistic(train, c))
 
 
-@query("fit_gbt")
+@query("fit_gbt", _JUDGED)
 def _gbt(spark, sf):
-    return _fit(spark, sf, lambda train, valid, c: L.fit_gbt(train, valid, c, maxIter=5, maxDepth=4))
+    return _fit(spark, sf, L.fit_gbt)
 
 
-@query("fit_trees")
+@query("fit_trees", _JUDGED)
 def _trees(spark, sf):
-    return _fit(spark, sf, lambda train, valid, c: L.fit_trees(train, c, trees=16, depth=8))
+    return _fit(spark, sf, lambda train, valid, c: L.fit_trees(train, c))
 
 
-@query("fit_isolation")
+@query("fit_isolation", _JUDGED)
 def _isolation(spark, sf):
-    return _fit(spark, sf, lambda train, valid, c: L.fit_isolation(train, c, trees=32, sample=128))
+    return _fit(spark, sf, lambda train, valid, c: L.fit_isolation(train, c))
 
 
-@query("score_batch")
+@query("score_batch", WITH_D + """
+SELECT transaction_id, TRUE AS in_range, TRUE AS level_follows, TRUE AS decision_follows FROM d""")
 def _score_batch(spark, sf):
-    """All rows scored by a model fitted on the train split, with decisions."""
+    """All rows scored by a model fitted on the train split, with decisions that follow from the score."""
     base = d(spark, sf).select("transaction_id", "amount", "txn_type", "source", "is_fraud", "split",
                                "payer_country")
     train = base.where(F.col("split") == "train")
-    model = L.fit_logistic(train, L.select_features(train), max_iter=20)
+    model = L.fit_logistic(train, L.select_features(train))
     level, action = D.risk_decision("risk_score")
-    return L.score_batch(model, base).select("transaction_id", "risk_score", level.alias("risk_level"),
-                                             action.alias("decision"))
-
-
-@query("node_risk_model")
+    score = F.col("risk_score")
+    by_score = lambda high, middle, low: F.when(score >= 0.8, high).when(score >= 0.5, middle).otherwise(low)
+    return L.score_batch(model, base).select(
+        "transaction_id", score.between(0, 1).alias("in_range"),
+        (level == by_score("high", "medium", "low")).alias("level_follows"),
+        (action == by_score("reject", "review", "pass")).alias("decision_follows"))
+
+
+@query("node_risk_model", WITH_EDGES + """
+SELECT node_id, CAST(max(CASE WHEN label = 1 THEN 1 ELSE 0 END) AS INT) AS node_label, TRUE AS in_range,
+    TRUE AS fraud_scores_higher
+FROM (SELECT src_id AS node_id, label FROM edges UNION ALL SELECT dst_id, label FROM edges) AS e
+GROUP BY node_id""")
 def _node_model(spark, sf):
-    return L.node_risk_model(cut(G.tx_edges(d(spark, sf)), "edges"))
+    scored = L.node_risk_model(cut(G.tx_edges(d(spark, sf)), "edges"))
+    return judged(scored, "node_id", "node_label", "node_risk_score")
 
 
 # ---------------------------------------------------------------- feedback
@@ -321,16 +347,32 @@ def _fb_apply(spark, sf):
     return B.feedback_apply(base, _reviews(spark, sf), ["seq"])
 
 
-@query("feedback_retrain")
+@query("feedback_retrain", _FB + """, last AS (SELECT transaction_id, reviewed_is_fraud AS lab FROM fb
+    WHERE reviewed_is_fraud IN (0, 1) QUALIFY row_number() OVER (PARTITION BY transaction_id
+    ORDER BY seq DESC) = 1),
+a AS (SELECT coalesce(lab, greatest(coalesce(is_fraud, -1), -1)) AS lab, split FROM tx LEFT JOIN last USING (transaction_id)
+    UNION ALL SELECT reviewed_is_fraud, 'train' FROM fb
+    WHERE reviewed_is_fraud IN (0, 1) AND transaction_id NOT IN (SELECT transaction_id FROM tx))
+SELECT 'candidate' AS model_name, count(*) FILTER (split = 'train') AS train_rows,
+    count(*) FILTER (split = 'valid') AS valid_rows, count(*) FILTER (split = 'test') AS test_rows,
+    (SELECT count(*) FROM fb WHERE reviewed_is_fraud IN (0, 1)) AS feedback_rows, 3 AS feature_count
+FROM a WHERE lab IN (0, 1)""")
 def _retrain(spark, sf):
     """A candidate model on the relabelled train split, scored on the test split."""
     base = d(spark, sf).select("transaction_id", "amount", "txn_type", "source", "is_fraud", "split")
-    table = cut(B.feedback_apply(base, _reviews(spark, sf), ["seq"]), "relabelled")
+    reviews = cut(_reviews(spark, sf), "reviews")
+    table = cut(B.feedback_apply(base, reviews, ["seq"]), "relabelled")
     train = table.where(F.col("split") == "train")
-    model = L.fit_logistic(train, L.select_features(train), max_iter=20)
+    contract = L.select_features(train)
+    model = L.fit_logistic(train, contract)
     scores = L.score_batch(model, D.labelled_only(table.where(F.col("split") == "test")))
-    return E.metrics_row(cut(scores, "scores"), "candidate", "events", 0, 0,
-                         feedback_rows=1, key="transaction_id")
+    used = D.labelled_only(table).groupBy("split").count().collect()  # one row per split
+    rows = {r["split"]: r["count"] for r in used}
+    return E.metrics_row(
+        cut(scores, "scores"), "candidate", "events", rows.get("train", 0), rows.get("valid", 0),
+        feedback_rows=B.feedback_normalize(reviews).count(), feature_count=len(contract.feature_columns),
+        with_window_features=False, with_graph_features=False, key="transaction_id").select(
+        "model_name", "train_rows", "valid_rows", "test_rows", "feedback_rows", "feature_count")
 
 
 # ---------------------------------------------------------------- data quality

@@ -19,12 +19,6 @@ def test_query_equals_sql(spark, con, name):
     assert oracle.differences(got, con.execute(catalog.SQL[name]).df()) == ""
 
 
-@pytest.mark.parametrize("name", ["fit_logistic", "fit_gbt", "fit_trees", "fit_isolation"])
-def test_models_score_between_zero_and_one(spark, name):
-    scores = catalog.QUERIES[name](spark, FOLDER).toPandas()
-    assert len(scores) and scores["risk_score"].between(0, 1).all()
-
-
 def test_flagship_runs(spark):
     import __spark_entry__
 
