@@ -17,6 +17,7 @@ from ledgerlens.plans.queries_profiles import DEVICE_CTE, USER_SQL
 from ledgerlens.plans.registry import (
     WITH_D, WITH_TX, d, query, rounded, sql_hash, sql_pct_rank, tx,
 )
+from ledgerlens.session import cut
 
 _EXPRESSIONS = {
     "user_txn_count_5min": f"count(*) {_win('payer_id', 300)}",
@@ -92,12 +93,26 @@ def _win_tie(spark, sf):
     FROM rule)
 SELECT * FROM w ORDER BY rule_score DESC, transaction_id LIMIT 100""")
 def _riskiest(spark, sf):
-    """The 100 riskiest transactions by rule, with their window features."""
+    """The 100 riskiest transactions by rule, with their window features.
+
+    The order does not need the windows, so windows are built only over what lies in the span
+    before one of the 100 rows and has its key.
+    """
     scored = D.risk_fields(D.calendar_fields(d(spark, sf))).select(
         *S.CORE_COLUMNS, "device_id", "ip_id", "rule_score", "risk_level")
-    out = W.window_features(scored).select(
+    top = cut(scored.orderBy(F.desc("rule_score"), "transaction_id").limit(100), "top")
+    near = None
+    for key, features in W.BY_KEY.items():
+        since = F.expr(f"INTERVAL {max(f.seconds for f in features)} SECOND")
+        wanted = F.broadcast(top.select(F.coalesce(key, F.lit("")).alias("_k"), F.col("timestamp").alias("_t")))
+        part = scored.join(wanted, (F.coalesce(key, F.lit("")) == F.col("_k"))
+                           & F.col("timestamp").between(F.col("_t") - since, F.col("_t")), "left_semi")
+        near = part if near is None else near.unionByName(part)
+    near = cut(near.dropDuplicates(["transaction_id"]), "near")
+    chosen = F.broadcast(top.select("transaction_id"))  # 100 rows
+    out = W.window_features(near).join(chosen, "transaction_id", "left_semi").select(
         "transaction_id", "timestamp", "amount", "rule_score", "risk_level", *W.FEATURE_COLUMNS)
-    return rounded(out.orderBy(F.desc("rule_score"), "transaction_id").limit(100), *_SUMS, digits=4)
+    return rounded(out.orderBy(F.desc("rule_score"), "transaction_id"), *_SUMS, digits=4)
 
 
 @query("win_trades_1h", f"""WITH tx AS ({adapter.TRADES_SQL})

@@ -277,26 +277,30 @@ _STREAM = WITH_RULE + f""", ord AS (SELECT *, {_FRAUD_TYPE} AS fraud_type, {_LEV
 
 @query("scan_jsonl_events", _STREAM + """
 SELECT transaction_id, date_trunc('millisecond', timestamp) AS timestamp, amount, payer_id,
-    merchant_id, is_fraud, risk_level FROM ord WHERE place <= 4000""")
+    merchant_id, is_fraud, risk_level FROM ord""")
 def _jsonl(spark, sf):
     path = scratch_path(spark, "jsonl")
-    T.sink_event_stream(T.event_stream_rows(stream_log(spark, sf), 4000), path)
+    T.sink_event_stream(T.event_stream_rows(stream_log(spark, sf), None), path)
     return T.scan_jsonl_events(spark, path).select(
         "transaction_id", "timestamp", "amount", "payer_id", "merchant_id", "is_fraud", "risk_level")
 
 
 @query("sink_event_stream", _STREAM + """
-SELECT transaction_id, timestamp, fraud_type, rule_score FROM ord WHERE place <= 3000""")
+SELECT transaction_id, timestamp, fraud_type, rule_score FROM ord
+WHERE place <= (SELECT count(*) * 3 // 10 FROM tx)""")
 def _stream_rows(spark, sf):
-    return T.event_stream_rows(stream_log(spark, sf), 3000).select(
+    share = tx(spark, sf).count() * 3 // 10
+    return T.event_stream_rows(stream_log(spark, sf), share).select(
         "transaction_id", "timestamp", "fraud_type", "rule_score")
 
 
 @query("sink_event_stream_mixed", _STREAM + """
 SELECT transaction_id, is_injected, scenario_step FROM ord WHERE CASE WHEN is_injected = 1
-    THEN part_place <= 2000 ELSE part_place <= greatest(2000 - n_inj, 0) END""")
+    THEN part_place <= (SELECT count(*) // 5 FROM tx)
+    ELSE part_place <= greatest((SELECT count(*) // 5 FROM tx) - n_inj, 0) END""")
 def _mixed(spark, sf):
-    return T.event_stream_rows_mixed(stream_log(spark, sf), 2000).select(
+    share = tx(spark, sf).count() // 5
+    return T.event_stream_rows_mixed(stream_log(spark, sf), share).select(
         "transaction_id", "is_injected", "scenario_step")
 
 

@@ -36,7 +36,7 @@ def shared_folder(spark: SparkSession) -> str:
     configured = sc.getCheckpointDir() or sc.getConf().get("spark.checkpoint.dir")
     if configured:
         return configured.rstrip("/")
-    if not sc.master.startswith("local"):
+    if sc.master != "local" and not sc.master.startswith("local["):
         raise RuntimeError("set spark.checkpoint.dir to a folder shared by all executors")
     local = tempfile.mkdtemp(prefix="ledgerlens-")
     sc.setCheckpointDir(local)
