@@ -57,7 +57,7 @@ hit AS (SELECT doc_id FROM lines GROUP BY doc_id
 bad AS (SELECT list(line) AS lines FROM spread),
 cut AS (SELECT doc_id, string_split(text, chr(10)) AS all_lines,
                CASE WHEN doc_id IN (SELECT doc_id FROM hit)
-                    THEN list_filter(string_split(text, chr(10)), x -> NOT list_contains(bad.lines, trim(x)))
+                    THEN list_filter(string_split(text, chr(10)), lambda x: NOT list_contains(bad.lines, trim(x)))
                     ELSE string_split(text, chr(10)) END AS kept
         FROM documents, bad)
 SELECT doc_id, coalesce(len(all_lines), 0) AS n_lines,
