@@ -37,6 +37,7 @@ from ledgerlens.llm.words import Words, words_of
 from ledgerlens.operators.components import connected_components
 
 BUCKET = 2048
+EDGES = 400_000
 _SEEDS = (42, 43)
 _CHUNK = 1 << 16  # shingles whose bits are counted at once
 
@@ -135,7 +136,7 @@ def _forest(prints: np.ndarray, radius: int) -> list[tuple[int, int]]:
         if not front:
             front, todo = [todo[0]], todo[1:]
             continue
-        here = front.pop()
+        here = front.pop(0)  # nearest to the smallest first
         near = _distance(prints[todo], prints[here]) <= radius
         edges += [(here, other) for other in todo[near]]
         front += todo[near].tolist()
@@ -166,6 +167,13 @@ def _bucket_edges(width: int, radius: int, leaders: bool):
             near = _distance(prints[rows], prints[rows + shift]) <= radius
             left.append(rows[near])
             right.append(rows[near] + shift)
+        if left:
+            a, b = np.concatenate(left), np.concatenate(right)
+            first = np.full(n, n, dtype=np.int64)
+            np.minimum.at(first, b, a)
+            # A link to a row that links to the first neighbour as well connects nothing new.
+            needed = (a == first[b]) | (_distance(prints[first[b]], prints[a]) > radius)
+            left, right = [a[needed]], [b[needed]]
         for at, size in zip(edge[sizes > 16], sizes[sizes > 16]):
             found = _forest(prints[at:at + size], radius)
             if found:
@@ -273,17 +281,50 @@ def _far_links(far: DataFrame) -> DataFrame:
     return mids.join(owner, "mid").where("p0 != low").select("low", "p0").distinct()
 
 
+def _spanning(width: int):
+    """Task: of its edges, those that join two parts of what it has seen so far."""
+    names = [f"{side}{i}" for side in "ab" for i in range(width)]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        parent: dict[tuple, tuple] = {}
+
+        def root(node: tuple) -> tuple:
+            while (above := parent.setdefault(node, node)) != node:
+                parent[node] = parent[above]
+                node = above
+            return node
+
+        for batch in batches:
+            columns = [batch.column(c).to_pylist() for c in names]
+            kept = []
+            for row, ends in enumerate(zip(*columns)):
+                a, b = root(ends[:width]), root(ends[width:])
+                if a != b:
+                    parent[max(a, b)] = min(a, b)
+                    kept.append(row)
+            yield batch.take(pa.array(kept, pa.int64()))
+
+    return run, ", ".join(f"{c} bigint" for c in names)
+
+
+def spanning(edges: DataFrame, width: int) -> DataFrame:
+    """Fewer edges with the same components: each task keeps a forest of at most ``EDGES`` edges."""
+    task, schema = _spanning(width)
+    return arrow_map(edges.repartition(max(1, -(-edges.count() // EDGES))), task, schema)
+
+
 def links(prints: DataFrame, radius: int, exact: bool) -> DataFrame:
     """Edges (a0.., b0..) that connect the distinct fingerprints of ``prints`` (p0..)."""
     width = len(prints.columns)
     names = [f"{side}{i}" for side in "ab" for i in range(width)]
     rows, key_schema = _key_rows(width, exact)
+    key_order = ["key", *prints.columns]  # equal order in all buckets makes equal stars, and few distinct edges
     task, edge_schema = _bucket_edges(width, radius, leaders=not exact)
     found, todo = None, prints
     while True:
-        keyed = arrow_map(todo, rows, key_schema).repartition("key").sortWithinPartitions("key")
+        keyed = arrow_map(todo, rows, key_schema).repartition("key").sortWithinPartitions(*key_order)
         edges = cut(arrow_map(keyed, task, edge_schema), "links")
-        near = edges.where("NOT far").select(*names).distinct()
+        near = spanning(cut(edges.where("NOT far").select(*names).distinct(), "near"), width)
         found = near if found is None else found.unionByName(near)
         todo = cut(edges.where("far").select(*[F.col(f"a{i}").alias(f"p{i}") for i in range(width)]).distinct(), "far")
         if todo.isEmpty():
