@@ -385,24 +385,23 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text: str = "text",
 
 
 def keep_one(docs: DataFrame, id_col: str = "doc_id", text: str = "text", shingle: int = 5,
-             radius: int = 26, similarity: float = 0.8) -> DataFrame:
+             similarity: float = 0.8) -> DataFrame:
     """``docs`` with one row of each group of near-duplicates: the one with the smallest id.
 
     Texts link if they share ``similarity`` of their distinct shingles (Jaccard), which is verified
-    on the texts. Candidates are groups of 128-bit fingerprints within ``radius`` bits. Rows
+    on the texts. Candidates come from minimum hashes, made for a similarity of 0.8 or more. Rows
     without words are one group. Of repeated rows with the smallest id one stays; a group whose ids
     are all null keeps one row.
     """
     from ledgerlens.llm import jaccard  # which takes its spanning forests from here
 
+    if similarity < jaccard.LEAST:
+        raise ValueError(f"the candidate keys are made for a similarity of {jaccard.LEAST} or more")
     a, b, place = (free_name(docs, n) for n in ("_row_a", "_row_b", "_row_place"))
     keyed = docs.withColumns({a: F.xxhash64(F.lit(0), text), b: F.xxhash64(F.lit(1), id_col)})
     rows = keyed.select(F.struct(F.col(id_col).isNull().alias("none"), F.col(id_col).alias("id"),
                                  F.col(a).alias("a"), F.col(b).alias("b")).alias("_id"), F.col(text).alias("_text"))
-    groups = cut(near_duplicates(rows, "_id", "_text", shingle, radius, exact=False).select(
-        "_id", F.to_json("component_id").alias("component")), "groups")
-    several = groups.groupBy("component").count().where("count > 1").select("component")
-    gone = jaccard.linked(rows, groups.join(several, "component", "left_semi"), shingle, similarity).where(
+    gone = jaccard.linked(rows, jaccard.candidates(rows, shingle), shingle, similarity).where(
         "_id != component_id").select(F.col("_id.a").alias(a), F.col("_id.b").alias(b)).distinct()
     once = Window.partitionBy(a, b).orderBy(F.lit(0))
     return (keyed.join(gone, [a, b], "left_anti").withColumn(place, F.row_number().over(once))
