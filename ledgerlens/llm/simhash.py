@@ -4,20 +4,15 @@ Fingerprints are cut into 23-bit segments and each segment is decoded to the num
 codewords, which gives several keys; fingerprints within the wanted distance share a key by the
 pigeonhole principle. Equal keys meet in one bucket, where distances are verified.
 
-Links inside 64 bits and 4 differences (``exact=True``) are all found. Segments A and B have 23
+Links inside 64 bits and 4 differences are all found. Segments A and B have 23
 bits, C has 18. Of four differences, either some segment has none and another at most two (key:
 one segment as it is, the codeword names of another), or two segments have exactly one each
 (key: the decoded number of one with the names of the other, from both sides).
 
-Wider distances (``exact=False``) take two hashes per shingle, 128 bits, of which 115 make five
-segments; each of the ten segment pairs gives keys. That finds most, not all, of the links.
-
 A bucket of up to ``BUCKET`` fingerprints is compared at once and gives a spanning forest, so no
 list of all pairs is made. A larger bucket leaves its fingerprints to a second exact way that is
 linear in them: two 64-bit fingerprints differ in at most four bits if and only if some value is
 within two bits of both, so each of its 2,081 neighbours is named after its smallest owner.
-In a larger wide bucket, rows link to leaders as they stream past; rows that are near none and
-find the list of leaders full come back in a further round.
 """
 
 from __future__ import annotations
@@ -38,7 +33,7 @@ from ledgerlens.operators.components import connected_components
 
 BUCKET = 2048
 EDGES = 400_000
-_SEEDS = (42, 43)
+_SEEDS = (42,)
 _CHUNK = 1 << 16  # shingles whose bits are counted at once
 
 
@@ -111,18 +106,6 @@ def exact_keys(prints: np.ndarray) -> np.ndarray:
     return np.concatenate(keys, axis=1)
 
 
-def wide_keys(prints: np.ndarray) -> np.ndarray:
-    """Keys of two-column fingerprints: each pair of five segments, every name with every name."""
-    low, high = prints[:, 0], prints[:, 1]
-    mask = np.uint64((1 << 23) - 1)
-    segments = [low & mask, low >> np.uint64(23) & mask, high & mask, high >> np.uint64(23) & mask,
-                (low >> np.uint64(46)) & np.uint64(0xFFF) | ((high >> np.uint64(46)) & np.uint64(0x7FF)) << np.uint64(12)]
-    many = [golay.names(s.astype(np.int64)) for s in segments]
-    keys = [_pack((family, 8), (many[x][:, :, None], 12), (many[y][:, None, :], 12)).reshape(len(prints), -1)
-            for family, (x, y) in enumerate(combinations(range(5), 2))]
-    return np.concatenate(keys, axis=1)
-
-
 def _distance(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     """Differing bits between fingerprints; the last axis holds their 64-bit parts."""
     return np.bitwise_count(a ^ b).sum(axis=-1, dtype=np.int64)
@@ -144,11 +127,10 @@ def _forest(prints: np.ndarray, radius: int) -> list[tuple[int, int]]:
     return edges
 
 
-def _bucket_edges(width: int, radius: int, leaders: bool):
+def _bucket_edges(width: int, radius: int):
     """Task: rows sorted by key in, edges out; ``far`` marks a member of a bucket left aside.
 
-    At most ``BUCKET`` rows of one key and one Arrow batch are held. With ``leaders`` a large
-    bucket links rows to leaders and leaves aside only what finds no place.
+    At most ``BUCKET`` rows of one key and one Arrow batch are held.
     """
     columns = [f"p{i}" for i in range(width)]
     schema = pa.schema([pa.field(f"{side}{i}", pa.int64()) for side in "ab" for i in range(width)]
@@ -189,38 +171,17 @@ def _bucket_edges(width: int, radius: int, leaders: bool):
             parts = [np.ascontiguousarray(x[:, i]).view(np.int64) for x in (a, b) for i in range(width)]
             yield pa.record_batch([pa.array(p) for p in parts] + [pa.array(np.full(len(a), far))], schema=schema)
 
-    def aside(prints: np.ndarray, heads: list[np.ndarray]) -> Iterator[pa.RecordBatch]:
-        """Rows of a large bucket; ``heads`` are its leaders so far."""
-        if not leaders:
-            yield from emit(prints, prints, True)
-            return
-        for start in range(0, len(prints), BUCKET):
-            rest = prints[start:start + BUCKET]
-            lone = np.ones(len(rest), dtype=bool)
-            for head in heads:
-                near = _distance(rest, head) <= radius
-                lone &= ~near
-                yield from emit(np.broadcast_to(head, rest[near].shape), rest[near], False)
-            rest = rest[lone]
-            while len(rest) and len(heads) < BUCKET:
-                head, rest = rest[0], rest[1:]
-                heads.append(head)
-                near = _distance(rest, head) <= radius
-                yield from emit(np.broadcast_to(head, rest[near].shape), rest[near], False)
-                rest = rest[~near]
-            yield from emit(rest, rest, True)
-
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         kept_keys = np.zeros(0, dtype=np.int64)
         kept = np.zeros((0, width), dtype=np.uint64)
-        large, heads = None, []  # the key of a bucket that has outgrown the limit, its leaders
+        large = None  # the key of a bucket that has outgrown the limit
         for batch in batches:
             keys = batch.column("key").to_numpy()
             prints = np.stack([batch.column(c).to_numpy().view(np.uint64) for c in columns], axis=1)
             keys, prints = np.concatenate((kept_keys, keys)), np.concatenate((kept, prints))
             if large is not None:
                 more = keys == large
-                yield from aside(prints[more], heads)
+                yield from emit(prints[more], prints[more], True)
                 keys, prints = keys[~more], prints[~more]
             if not len(keys):
                 kept_keys, kept = keys, prints
@@ -232,13 +193,13 @@ def _bucket_edges(width: int, radius: int, leaders: bool):
                 sizes = np.diff(np.append(starts, last))
                 over = np.repeat(sizes > BUCKET, sizes)
                 for at, size in zip(starts[sizes > BUCKET], sizes[sizes > BUCKET]):
-                    yield from aside(done[at:at + size], [])
+                    yield from emit(done[at:at + size], done[at:at + size], True)
                 if not over.all():
                     yield from edges_of(done_keys[~over], done[~over])
             kept_keys, kept = keys[last:], prints[last:]
             if len(kept) > BUCKET:
-                large, heads = kept_keys[0], []
-                yield from aside(kept, heads)
+                large = kept_keys[0]
+                yield from emit(kept, kept, True)
                 kept_keys, kept = kept_keys[:0], kept[:0]
         if len(kept_keys):
             yield from edges_of(kept_keys, kept)
@@ -246,13 +207,13 @@ def _bucket_edges(width: int, radius: int, leaders: bool):
     return run, ", ".join(f"{side}{i} bigint" for side in "ab" for i in range(width)) + ", far boolean"
 
 
-def _key_rows(width: int, exact: bool):
+def _key_rows(width: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for at in range(0, len(batch), 4096):
                 piece = batch.slice(at, 4096)
                 prints = np.stack([piece.column(f"p{i}").to_numpy().view(np.uint64) for i in range(width)], axis=1)
-                keys = np.sort((exact_keys if exact else wide_keys)(prints), axis=1)
+                keys = np.sort(exact_keys(prints), axis=1)
                 fresh = keys >= 0
                 fresh[:, 1:] &= keys[:, 1:] != keys[:, :-1]
                 row = np.nonzero(fresh)[0]
@@ -313,24 +274,20 @@ def spanning(edges: DataFrame, width: int) -> DataFrame:
     return arrow_map(edges.repartition(max(1, -(-edges.count() // EDGES))), task, schema)
 
 
-def links(prints: DataFrame, radius: int, exact: bool) -> DataFrame:
-    """Edges (a0.., b0..) that connect the distinct fingerprints of ``prints`` (p0..)."""
+def links(prints: DataFrame, radius: int, exact: bool = True) -> DataFrame:
+    """Edges (a0.., b0..) that connect the distinct fingerprints of ``prints`` (p0..); all are found."""
+    if not exact or radius > 4:
+        raise ValueError("the keys are exact and cover 4 differing bits")
     width = len(prints.columns)
     names = [f"{side}{i}" for side in "ab" for i in range(width)]
-    rows, key_schema = _key_rows(width, exact)
+    rows, key_schema = _key_rows(width)
     key_order = ["key", *prints.columns]  # equal order in all buckets makes equal stars, and few distinct edges
-    task, edge_schema = _bucket_edges(width, radius, leaders=not exact)
-    found, todo = None, prints
-    while True:
-        keyed = arrow_map(todo, rows, key_schema).repartition("key").sortWithinPartitions(*key_order)
-        edges = cut(arrow_map(keyed, task, edge_schema), "links")
-        near = spanning(cut(edges.where("NOT far").select(*names).distinct(), "near"), width)
-        found = near if found is None else found.unionByName(near)
-        todo = cut(edges.where("far").select(*[F.col(f"a{i}").alias(f"p{i}") for i in range(width)]).distinct(), "far")
-        if todo.isEmpty():
-            return found
-        if exact:
-            return found.unionByName(_far_links(todo).toDF(*names))
+    task, edge_schema = _bucket_edges(width, radius)
+    keyed = arrow_map(prints, rows, key_schema).repartition("key").sortWithinPartitions(*key_order)
+    edges = cut(arrow_map(keyed, task, edge_schema), "links")
+    near = spanning(cut(edges.where("NOT far").select(*names).distinct(), "near"), width)
+    far = cut(edges.where("far").select(*[F.col(f"a{i}").alias(f"p{i}") for i in range(width)]).distinct(), "far")
+    return near if far.isEmpty() else near.unionByName(_far_links(far).toDF(*names))
 
 
 def fingerprint_table(docs: DataFrame, text: str, shingle: int, seeds: tuple[int, ...]) -> DataFrame:
@@ -352,28 +309,23 @@ def fingerprint_table(docs: DataFrame, text: str, shingle: int, seeds: tuple[int
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text: str = "text", shingle: int = 4,
-                    radius: int = 4, exact: bool = True) -> DataFrame:
+                    radius: int = 4) -> DataFrame:
     """(id, fingerprint, component_id) of every row of ``docs``.
 
-    ``exact``: 64-bit fingerprints and all links of up to 4 bits (``radius`` may be less).
-    Otherwise 128-bit fingerprints and most links of up to ``radius`` bits. ``component_id`` is
+    64-bit fingerprints and all links of up to 4 bits (``radius`` may be less). ``component_id`` is
     the smallest id that links reach. Null and empty texts, and texts without words, have
     fingerprint zero and link like others. Repeated rows are separate rows of one component.
     Rows with a null id keep their fingerprint and never lend their id to a component unless all
     its ids are null. Other columns are not read.
     """
-    if exact and radius > 4:
-        raise ValueError("the exact keys cover 4 differing bits")
-    seeds = _SEEDS[:1] if exact else _SEEDS
-    parts = [f"p{i}" for i in range(len(seeds))]
+    if radius > 4:
+        raise ValueError("the keys cover 4 differing bits")
+    parts = ["p0"]
     table = cut(fingerprint_table(docs.select(F.col(id_col).alias("_id"), F.col(text).alias("_text")),
-                                  "_text", shingle, seeds), "prints")
+                                  "_text", shingle, _SEEDS), "prints")
     own = cut(table.groupBy(*parts).agg(F.min("_id").alias("_low")), "distinct")
-    edges = links(own.select(*parts), radius, exact)
-    if exact:
-        node = lambda side: F.col(f"{side}0")
-    else:
-        node = lambda side: F.concat_ws(",", *[F.col(f"{side}{i}").cast("string") for i in range(len(seeds))])
+    edges = links(own.select(*parts), radius)
+    node = lambda side: F.col(f"{side}0")
     groups = connected_components(edges.select(node("a").alias("src"), node("b").alias("dst")))
     named = own.withColumn("_node", node("p")).join(
         groups.select(F.col("node").alias("_node"), "component"), "_node", "left").select(

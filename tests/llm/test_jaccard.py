@@ -85,3 +85,14 @@ def test_recall_at_the_similarity_equals_brute_force(spark):
 
 def brute_pairs(rows):
     return {b[0] for a, b in zip(rows[::2], rows[1::2]) if similar(a[1], b[1])}
+
+
+def test_thousands_of_copies_of_one_template_are_one_group(spark):
+    rng = random.Random(9)
+    template = [f"w{i}" for i in range(60)]
+    rows = [(5000, " ".join(template))]
+    for i in range(2500):  # near the template and those with the same place changed, not near the others
+        place = rng.randrange(4, 56)
+        rows.append((i, " ".join(template[:place] + [f"own{i}"] + template[place + 1:])))
+    kept = simhash.keep_one(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert [r.doc_id for r in kept] == [0]
