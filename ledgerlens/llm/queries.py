@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ledgerlens.llm import blocknames, decontaminate, linededup, packing, pitmanyor, sharding, simhash, substrings, tokenfile, toxicity
+from ledgerlens.llm import blocknames, decontaminate, linededup, packing, periodic, pitmanyor, sharding, simhash, substrings, tokenfile, toxicity
 from ledgerlens.llm.tables import documents
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -92,3 +92,8 @@ def op9(spark: SparkSession, folder: str) -> DataFrame:
 @query("op10_simhash_neardup")
 def op10(spark: SparkSession, folder: str) -> DataFrame:
     return simhash.near_duplicates(documents(spark, folder))
+
+
+@query("op11_periodic_runs")
+def op11(spark: SparkSession, folder: str) -> DataFrame:
+    return periodic.digests(periodic.find_runs(periodic.repeat_tails(documents(spark, folder))))

@@ -17,6 +17,7 @@ COLUMNS = {
     "op8": {"doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score"},
     "op9": {"doc_id", "n_words", "n_hit", "n_items", "items_sha256", "contaminated"},
     "op10": {"doc_id", "fingerprint", "component_id"},
+    "op11": {"doc_id", "n_runs", "start", "length", "period", "exponent_milli", "runs_sha256", "collapsed_sha256"},
 }
 
 
