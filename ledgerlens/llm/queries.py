@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ledgerlens.llm import blocknames, decontaminate, linededup, packing, periodic, pitmanyor, sharding, simhash, substrings, tokenfile, toxicity
+from ledgerlens.llm import blocknames, decontaminate, linededup, packing, periodic, phrases, pitmanyor, sharding, simhash, substrings, tokenfile, toxicity
 from ledgerlens.llm.tables import documents
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -97,3 +97,36 @@ def op10(spark: SparkSession, folder: str) -> DataFrame:
 @query("op11_periodic_runs")
 def op11(spark: SparkSession, folder: str) -> DataFrame:
     return periodic.digests(periodic.find_runs(periodic.repeat_tails(documents(spark, folder))))
+
+
+@query("op12_phrase_collocations", """
+WITH texts AS (
+    SELECT doc_id, row_number() OVER () AS row_no, coalesce(lang, 'und') AS lang,
+           translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS text
+    FROM documents),
+pieces AS (SELECT lang, unnest(string_split_regex(text, '[.,;:!?\\x0A-\\x0D]')) AS piece FROM texts),
+lists AS (SELECT lang, list_filter(string_split_regex(piece, '[ \\t]+'), lambda x: x <> '') AS words FROM pieces),
+sizes AS (SELECT lang, words, len(words) AS size FROM lists WHERE len(words) > 0),
+totals AS (SELECT lang, sum(size)::BIGINT AS n FROM sizes GROUP BY lang),
+starts AS (SELECT lang, words, size, k, unnest(range(1, size - k + 2)) AS i
+           FROM sizes, (VALUES (1), (2), (3), (4)) AS lengths(k) WHERE size >= k),
+counts AS (SELECT lang, k, array_to_string(list_slice(words, i, i + k - 1), ' ') AS phrase, count(*) AS f
+           FROM starts GROUP BY ALL HAVING count(*) >= 30),
+parts AS (SELECT lang, phrase, k, f, string_split(phrase, ' ') AS words FROM counts WHERE k > 1),
+cuts AS (SELECT p.lang, p.phrase, p.f AS a, j, x.f AS l, y.f AS r,
+                (2000000::HUGEINT * p.f // (x.f::HUGEINT + y.f))::BIGINT AS score
+         FROM (SELECT *, unnest(range(1, k)) AS j FROM parts) p
+         JOIN counts x ON x.lang = p.lang AND x.phrase = array_to_string(list_slice(p.words, 1, j), ' ')
+         JOIN counts y ON y.lang = p.lang AND y.phrase = array_to_string(list_slice(p.words, j + 1, p.k), ' ')),
+lowest AS (SELECT * FROM cuts QUALIFY row_number() OVER (PARTITION BY lang, phrase ORDER BY score, j) = 1),
+spots AS (SELECT lang, words, f, k, m, unnest(range(1, k - m + 2)) AS i
+          FROM parts, (VALUES (2), (3)) AS inner_lengths(m) WHERE m < k),
+longer AS (SELECT lang, array_to_string(list_slice(words, i, i + m - 1), ' ') AS phrase, max(f) AS best
+           FROM spots GROUP BY ALL),
+ranked AS (SELECT c.lang, row_number() OVER (PARTITION BY c.lang ORDER BY c.score DESC, c.a DESC, c.phrase) AS rank,
+                  c.phrase, c.a, c.l, c.r, c.score
+           FROM lowest c LEFT JOIN longer g ON g.lang = c.lang AND g.phrase = c.phrase
+           WHERE g.best IS NULL OR 100::HUGEINT * g.best < 80::HUGEINT * c.a)
+SELECT lang, rank, phrase, a, l, r, n, score FROM ranked JOIN totals USING (lang) WHERE rank <= 2000""")
+def op12(spark: SparkSession, folder: str) -> DataFrame:
+    return phrases.collocations(*phrases.frequent_phrases(documents(spark, folder)))
