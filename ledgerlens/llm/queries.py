@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ledgerlens.llm import blocknames, decontaminate, linededup, packing, periodic, phrases, pitmanyor, sharding, simhash, substrings, tokenfile, toxicity
+from ledgerlens.llm import blocknames, decontaminate, linededup, packing, periodic, phrases, pitmanyor, sharding, simhash, substrings, suffixgroups, tokenfile, toxicity
 from ledgerlens.llm.tables import documents
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -130,3 +130,11 @@ ranked AS (SELECT c.lang, row_number() OVER (PARTITION BY c.lang ORDER BY c.scor
 SELECT lang, rank, phrase, a, l, r, n, score FROM ranked JOIN totals USING (lang) WHERE rank <= 2000""")
 def op12(spark: SparkSession, folder: str) -> DataFrame:
     return phrases.collocations(*phrases.frequent_phrases(documents(spark, folder)))
+
+
+@query("op13_suffix_dedup")
+def op13(spark: SparkSession, folder: str) -> DataFrame:
+    found = suffixgroups.remove_repeats(documents(spark, folder))
+    removed = F.aggregate("spans", F.lit(0).cast("bigint"), lambda total, span: total + span["length"])
+    return found.select("doc_id", "n_bytes", removed.alias("n_removed"), F.size("spans").cast("bigint").alias("n_spans"),
+                        F.sha2("kept", 256).alias("kept_sha256"))

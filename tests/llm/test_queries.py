@@ -18,6 +18,7 @@ COLUMNS = {
     "op9": {"doc_id", "n_words", "n_hit", "n_items", "items_sha256", "contaminated"},
     "op10": {"doc_id", "fingerprint", "component_id"},
     "op11": {"doc_id", "n_runs", "start", "length", "period", "exponent_milli", "runs_sha256", "collapsed_sha256"},
+    "op13": {"doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256"},
     "op12": {"lang", "rank", "phrase", "a", "l", "r", "n", "score"},
 }
 
