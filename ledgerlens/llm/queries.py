@@ -52,8 +52,8 @@ WITH lines AS (SELECT doc_id, source, trim(u.line) AS line
                FROM documents, unnest(string_split(text, chr(10))) AS u(line)),
 spread AS (SELECT line FROM lines WHERE length(line) > 0 GROUP BY line HAVING count(DISTINCT source) >= 10),
 hit AS (SELECT doc_id FROM lines GROUP BY doc_id
-        HAVING sum(CASE WHEN line IN (SELECT line FROM spread) THEN strlen(line) ELSE 0 END)
-               BETWEEN 1 AND sum(strlen(line)) * 0.5),
+        HAVING count(*) FILTER (line IN (SELECT line FROM spread)) > 0
+           AND count(*) FILTER (length(line) > 0 AND line NOT IN (SELECT line FROM spread)) > 0),
 bad AS (SELECT list(line) AS lines FROM spread),
 cut AS (SELECT doc_id, string_split(text, chr(10)) AS all_lines,
                CASE WHEN doc_id IN (SELECT doc_id FROM hit)
