@@ -84,6 +84,9 @@ class _Slice:
         return hit, items
 
 
+ADDED = ("_n_words", "_runs", "_items", "_all")
+
+
 def _runs(hit: np.ndarray) -> list[int]:
     """Bounds of the runs of True: start, end, start, end, ..."""
     return np.flatnonzero(np.diff(np.concatenate(([False], hit, [False])).astype(np.int8))).tolist()
@@ -176,8 +179,15 @@ def remove_contaminated(docs: DataFrame, items: DataFrame, text: str = "text", i
     """``docs`` without the rows that hit, or (``spans``) without the hit words only.
 
     With ``spans`` the rest of a hit row is joined as it stands: each run of hit words goes with
-    the characters between its words. Rows without a hit are unchanged, null texts included.
+    the characters between its words. Rows without a hit are unchanged, null texts included. Columns
+    named like those of ``find_hits`` keep their names and values. Repeated rows are judged alike;
+    very long texts are read whole.
     """
+    aside = {c: free_name(docs, f"{c}_") for c in docs.columns if c.lower() in ADDED}
+    if aside:
+        given = docs.columns
+        out = remove_contaminated(docs.withColumnsRenamed(aside), items, aside.get(text, text), item_id, item_text, window, spans)
+        return out.withColumnsRenamed({new: old for old, new in aside.items()}).select(*given)
     found = find_hits(docs, items, text=text, item_id=item_id, item_text=item_text, window=window)
     if not spans:
         return found.where(F.size("_runs") == 0).select(*docs.columns)

@@ -80,3 +80,17 @@ def test_empty_tables(spark):
     none = spark.createDataFrame([], "item_id long, text string")
     assert decontaminate.report(docs, none).first().contaminated is False
     assert decontaminate.report(docs.limit(0), none).count() == 0
+
+
+@pytest.mark.parametrize("spans", [False, True])
+def test_removal_keeps_columns_with_clashing_names(spark, tables, spans):
+    docs, items = tables
+    bench = spark.createDataFrame([(*r, 1) for r in items], "item_id long, text string, _runs int")
+    df = spark.createDataFrame(docs, "doc_id long, text string")
+    plain = {r.doc_id: r.text for r in decontaminate.remove_contaminated(df, bench, spans=spans).collect()}
+    clash = df.selectExpr("doc_id", "7 AS _runs", "'x' AS _ITEMS", "text", "doc_id AS _n_words", "1 AS item_id", "2 AS _all")
+    out = decontaminate.remove_contaminated(clash, bench, spans=spans)
+    assert out.columns == clash.columns
+    rows = out.collect()
+    assert {r.doc_id: r.text for r in rows} == plain
+    assert all((r._runs, r._ITEMS, r._n_words, r._all) == (7, "x", r.doc_id, 2) for r in rows)
