@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 
 from ledgerlens.session import cut
 
+SLICES_PER_TASK = 8
 _PARTITION_SHIFT = 33  # fixed value: bits below the partition number in monotonically_increasing_id
 
 
@@ -22,23 +23,31 @@ def _as_columns(order: Sequence[Column | str]) -> list[Column]:
     return [F.col(o) if isinstance(o, str) else o for o in order]
 
 
+def _sliced(df: DataFrame, by: Sequence[Column]) -> DataFrame:
+    """``df`` sorted into more slices than there are tasks, so that tasks can take equal numbers."""
+    tasks = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return df.repartitionByRange(SLICES_PER_TASK * tasks, *by).sortWithinPartitions(*by)
+
+
 def running_totals(
     df: DataFrame,
     order: Sequence[Column | str],
     totals: Mapping[str, str | None],
     group: Sequence[str] = (),
     whole: Mapping[str, str] | None = None,
+    few_groups: bool = False,
 ) -> DataFrame:
     """Totals over the rows before each row of its group in ``order``; 0 for the first.
 
     ``totals`` maps each output to the column it adds up, or to None to count rows; ``whole``
     maps further outputs to entries of ``totals`` whose complete group total is wanted.
-    ``order`` should end in a unique column.
+    ``order`` should end in a unique column. ``few_groups`` says that the number of groups is
+    bounded: totals of slices are then broadcast, and slices dealt evenly over the tasks.
     """
     group, whole = list(group), dict(whole or {})
+    by = [*[F.col(g) for g in group], *_as_columns(order)]
     stored = cut(
-        df.orderBy(*[F.col(g) for g in group], *_as_columns(order))
-        .withColumn("_rt_slot", F.monotonically_increasing_id()),
+        (_sliced(df, by) if few_groups else df.orderBy(*by)).withColumn("_rt_slot", F.monotonically_increasing_id()),
         "sorted",
     ).withColumn("_rt_part", F.shiftright("_rt_slot", _PARTITION_SHIFT))
     piece = ["_rt_part", *group]
@@ -53,8 +62,10 @@ def running_totals(
           for name in totals],
         *[F.sum(f"_rt_size_{name}").over(by_group).alias(out) for out, name in whole.items()],
     )
-    if not group:
-        sizes = F.broadcast(sizes)  # one row per partition of the sort
+    if few_groups or not group:
+        sizes = F.broadcast(sizes)  # one row per partition of the sort, and per group
+    if few_groups:
+        stored = stored.repartitionByRange("_rt_part")
     match = [F.col(c).eqNullSafe(F.col(f"_rt_k_{c}")) for c in piece]
     local = (Window.partitionBy(*piece).orderBy("_rt_slot")
              .rowsBetween(Window.unboundedPreceding, -1))
@@ -79,6 +90,38 @@ def running_position(
     return running_totals(df, order, {out: weight}, group, {total: out} if total else None)
 
 
+def neighbours(df: DataFrame, group: Sequence[str], order: Sequence[Column | str], value: str,
+               before: str, after: str) -> DataFrame:
+    """Add the ``value`` of the previous and of the next row of the same group; null at its ends.
+
+    The table is range-sorted into slices and written. Inside a slice a row looks at its neighbour;
+    at its edges it gets what the adjoining slice passes on, through a table of one row per slice.
+    So a group is cut wherever the sort cuts it, and no task holds more than a slice. ``order``
+    should end in a unique column.
+    """
+    stored = cut(
+        _sliced(df, [*[F.col(g) for g in group], *_as_columns(order)]).withColumn("_nb_slot", F.monotonically_increasing_id()),
+        "sorted",
+    ).withColumn("_nb_part", F.shiftright("_nb_slot", _PARTITION_SHIFT))
+    own = F.struct(*[F.col(g).alias(f"g{i}") for i, g in enumerate(group)], F.col(value).alias("v"))
+    slices = Window.orderBy("_nb_part")  # one row per slice
+    edges = F.broadcast(stored.groupBy("_nb_part").agg(F.min_by(own, "_nb_slot").alias("first"), F.max_by(own, "_nb_slot").alias("last"))
+                        .select(F.col("_nb_part").alias("_nb_key"), F.lag("last").over(slices).alias("_nb_left"),
+                                F.lead("first").over(slices).alias("_nb_right")))
+    inside = Window.partitionBy("_nb_part").orderBy("_nb_slot")
+    seen = stored.repartitionByRange("_nb_part").join(edges, F.col("_nb_part") == F.col("_nb_key")).withColumns({
+        "_nb_left": F.coalesce(F.lag(own).over(inside), F.col("_nb_left")),
+        "_nb_right": F.coalesce(F.lead(own).over(inside), F.col("_nb_right"))})
+
+    def same(side: str) -> Column:
+        alike = F.col(side).isNotNull()
+        for i, g in enumerate(group):
+            alike &= F.col(g).eqNullSafe(F.col(f"{side}.g{i}"))
+        return F.when(alike, F.col(f"{side}.v"))
+
+    return seen.select(*df.columns, same("_nb_left").alias(before), same("_nb_right").alias(after))
+
+
 def _value_counts(df: DataFrame, value: str, group: Sequence[str]) -> DataFrame:
     return (df.where(F.col(value).isNotNull()).groupBy(*group, value)
             .agg(F.count(F.lit(1)).alias("_weight")))

@@ -5,9 +5,13 @@ sum is a running total of +v and -v. A distinct count is the number of values wh
 begun and not yet run out: a row begins a presence when the same value was not seen in the W
 seconds before it, and its expiry ends one when the value does not come again within W seconds.
 
-Work is partitioned by (key, time bucket of the longest window), so a hot key is spread over its
+Work is partitioned by (key, time bucket of the longest window), so a busy key is spread over its
 buckets; the expiries of a bucket's rows fall into the same or the next bucket, which is all the
 history a bucket needs. Everything is one shuffle per key and linear in the rows.
+
+A bucket that is too large for one task, such as an hour of all rows without a key, is sorted into
+slices of equal size over many tasks. A slice hands over its total to the later ones, and the last
+time it saw of a value to the next one, so figures are the same and no task reads a whole bucket.
 """
 
 from __future__ import annotations
@@ -19,8 +23,12 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ledgerlens.functions.scalar import epoch_micros
+from ledgerlens.operators.ordering import neighbours, running_totals
+from ledgerlens.session import cut
 
 PREFIX = "window_features_"
+HOT_RECORDS = 500_000  # arrivals and expiries that one task takes of one key and bucket
+MOST_LARGE = 100_000  # buckets that are sliced, at most; each holds more than this part of all records
 
 
 @dataclass(frozen=True)
@@ -67,11 +75,13 @@ def sliding_features(
     order: Sequence[str] = ("transaction_id",),
     ties: str = "exact",
     prefix: str = PREFIX,
+    hot_records: int = HOT_RECORDS,
 ) -> DataFrame:
     """Add ``features`` over rows sharing ``key`` (missing keys form one group).
 
     ``ties="exact"`` lets a row see only the equal-time rows that precede it in ``order``;
-    ``ties="peers"`` lets it see all of them.
+    ``ties="peers"`` lets it see all of them. Buckets of more than ``hot_records`` arrivals and
+    expiries are sliced over several tasks.
     """
     spans = sorted({f.seconds for f in features}, reverse=True)
     width = spans[0] * 1_000_000
@@ -89,60 +99,113 @@ def sliding_features(
         .withColumn("_start", F.col("_at") - F.pmod(F.col("_at"), F.lit(width)))
         # Expiries carry no payload.
         .withColumns({c: F.when(F.col("_after") == 0, F.col(c)) for c in df.columns})
-        # Both sorts below work inside this one partitioning.
-        .repartition("_key", "_start")
     )
-    arrival = F.col("_after") == 0
-    longest = F.col("_after") == width
+    names = [prefix + f.name for f in features]
+    large = _large_buckets(df, records, len(spans) + 1, hot_records)
+    if large is None:
+        return _in_tasks(records, features, width, ties, prefix).select(*df.columns, *names)
+    cold = records.join(large, _BUCKET, "left_anti")
+    hot = records.join(large, _BUCKET, "left_semi")
+    return (_in_tasks(cold, features, width, ties, prefix).select(*df.columns, *names)
+            .unionAll(_in_slices(hot, features, width, ties, prefix).select(*df.columns, *names)))
+
+
+_BUCKET = ["_key", "_start"]
+
+
+def _large_buckets(df: DataFrame, records: DataFrame, per_row: int, hot_records: int) -> DataFrame | None:
+    """(_key, _start) of the buckets with more than ``hot_records`` records, or None.
+
+    At most ``MOST_LARGE`` buckets, so the table may be broadcast: among more of them, only those
+    count that hold more than that part of all records.
+    """
+    sizes = cut(records.groupBy(*_BUCKET).agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > hot_records), "large")
+    found = sizes.count()
+    if not found:
+        return None
+    if found > MOST_LARGE:
+        sizes = sizes.where(F.col("n") > df.count() * per_row / MOST_LARGE)
+    return F.broadcast(sizes.select(*_BUCKET))
+
+
+def _presence(records: DataFrame, column: str, width: int) -> DataFrame:
+    """Steps and carry of the distinct count of a column, from its neighbours of the same value."""
+    value = F.col(f"_c_{column}").cast("string")
+    arrival, longest = F.col("_after") == 0, F.col("_after") == width
+    held = (arrival | longest) & value.isNotNull() & (value != "")
+    return records.withColumns({
+        f"_step_{column}": F.when(held & arrival & (F.col("_earlier").isNull()
+                                  | (F.col("_earlier") < F.col("_us") - width)), F.lit(1))
+        .when(held & longest & (F.col("_later").isNull() | (F.col("_later") > F.col("_at"))), F.lit(-1)).otherwise(F.lit(0)),
+        f"_carry_{column}": F.when(held & longest & (F.col("_later").isNull()
+                                   | (F.col("_later") >= F.col("_start"))), F.lit(1)).otherwise(F.lit(0)),
+    }).drop("_earlier", "_later")
+
+
+def _distinct_columns(features: Sequence[Feature]) -> list[str]:
+    return sorted({f.column for f in features if f.kind == "distinct"})
+
+
+def _step(f: Feature) -> tuple[Column, Column]:
+    """What a record adds to a feature, and what it has added before its bucket began."""
+    if f.kind == "distinct":
+        return F.col(f"_step_{f.column}"), F.col(f"_carry_{f.column}")
+    if f.kind == "count":
+        amount, none = F.lit(1), F.lit(0)
+    else:
+        amount, none = F.coalesce(F.col(f"_c_{f.column}"), F.lit(0.0)), F.lit(0.0)
+    expires = F.col("_after") == f.seconds * 1_000_000
+    step = F.when(F.col("_after") == 0, amount).when(expires, -amount).otherwise(none)
+    return step, F.when(expires & (F.col("_us") < F.col("_start")), amount).otherwise(none)
 
-    distinct = sorted({f.column for f in features if f.kind == "distinct"})
+
+def _in_tasks(records: DataFrame, features: Sequence[Feature], width: int, ties: str, prefix: str) -> DataFrame:
+    """Features of buckets that fit a task: one shuffle, and the sorts work inside it."""
+    records = records.repartition(*_BUCKET)
+    distinct = _distinct_columns(features)
     if distinct:
-        records = records.withColumn("_brief", ~arrival & ~longest)
+        records = records.withColumn("_brief", (F.col("_after") != 0) & (F.col("_after") != width))
     for c in distinct:
-        value = F.col(f"_c_{c}").cast("string")
-        same = (Window.partitionBy("_key", "_start", f"_c_{c}", "_brief")
-                .orderBy("_us", "_seq", "_after"))
-        held = (arrival | longest) & value.isNotNull() & (value != "")
-        earlier, later = F.lag("_us").over(same), F.lead("_us").over(same)
-        records = (
-            records.withColumns({"_earlier": earlier, "_later": later})
-            .withColumn(
-                f"_step_{c}",
-                F.when(held & arrival & (F.col("_earlier").isNull()
-                       | (F.col("_earlier") < F.col("_us") - width)), F.lit(1))
-                .when(held & longest & (F.col("_later").isNull()
-                      | (F.col("_later") > F.col("_at"))), F.lit(-1))
-                .otherwise(F.lit(0)))
-            .withColumn(
-                f"_carry_{c}",
-                F.when(held & longest & (F.col("_later").isNull()
-                       | (F.col("_later") >= F.col("_start"))), F.lit(1)).otherwise(F.lit(0)))
-            .drop("_earlier", "_later")
-        )
-
-    ordered = Window.partitionBy("_key", "_start").orderBy("_at", "_after", "_seq")
+        same = Window.partitionBy(*_BUCKET, f"_c_{c}", "_brief").orderBy("_us", "_seq", "_after")
+        records = _presence(records.withColumns({"_earlier": F.lag("_us").over(same), "_later": F.lead("_us").over(same)}), c, width)
+    ordered = Window.partitionBy(*_BUCKET).orderBy("_at", "_after", "_seq")
     if ties == "peers":
-        running = (Window.partitionBy("_key", "_start").orderBy("_at", "_after")
+        running = (Window.partitionBy(*_BUCKET).orderBy("_at", "_after")
                    .rangeBetween(Window.unboundedPreceding, Window.currentRow))
     else:
         running = ordered.rowsBetween(Window.unboundedPreceding, Window.currentRow)
     whole = ordered.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
-
-    outputs: list[Column] = []
+    outputs = []
     for f in features:
-        if f.kind == "distinct":
-            step, carry = F.col(f"_step_{f.column}"), F.col(f"_carry_{f.column}")
-        else:
-            if f.kind == "count":
-                amount, none = F.lit(1), F.lit(0)
-            else:
-                amount, none = F.coalesce(F.col(f"_c_{f.column}"), F.lit(0.0)), F.lit(0.0)
-            expires = F.col("_after") == f.seconds * 1_000_000
-            step = F.when(arrival, amount).when(expires, -amount).otherwise(none)
-            carry = F.when(expires & (F.col("_us") < F.col("_start")), amount).otherwise(none)
-        result = F.sum(step).over(running) + F.sum(carry).over(whole)
-        outputs.append(result.alias(prefix + f.name))
-    return (records.select(*df.columns, "_after", *outputs).where(arrival).drop("_after"))
+        step, carry = _step(f)
+        outputs.append((F.sum(step).over(running) + F.sum(carry).over(whole)).alias(prefix + f.name))
+    return records.select("*", *outputs).where(F.col("_after") == 0)
+
+
+def _in_slices(records: DataFrame, features: Sequence[Feature], width: int, ties: str, prefix: str) -> DataFrame:
+    """The same figures for buckets of any size, by slices that hand over to one another."""
+    distinct = _distinct_columns(features)
+    if distinct:
+        records = records.withColumn("_brief", (F.col("_after") != 0) & (F.col("_after") != width))
+    for c in distinct:
+        near = neighbours(records, [*_BUCKET, f"_c_{c}", "_brief"], ["_us", "_seq", "_after"], "_us", "_earlier", "_later")
+        records = _presence(near, c, width)
+    steps = {f"_s{i}": _step(f)[0] for i, f in enumerate(features)}
+    carries = {f"_c{i}": _step(f)[1] for i, f in enumerate(features)}
+    rows = records.withColumns(steps | carries)
+    moments = [*_BUCKET, "_at", "_after"]
+    order = ["_at", "_after", "_seq"]
+    if ties == "peers":  # rows of one time see all of them: one row per time is placed, then joined back
+        order = ["_at", "_after"]
+        rows = rows.groupBy(*moments).agg(*[F.sum(c).alias(c) for c in (*steps, *carries)])
+    totals = {f"_t{i}": f"_s{i}" for i in range(len(features))} | {f"_u{i}": f"_c{i}" for i in range(len(features))}
+    placed = running_totals(rows, order, totals, _BUCKET, {f"_w{i}": f"_u{i}" for i in range(len(features))},
+                            few_groups=True)
+    outputs = [(F.col(f"_t{i}") + F.col(f"_s{i}") + F.col(f"_w{i}")).alias(prefix + f.name) for i, f in enumerate(features)]
+    placed = placed.where(F.col("_after") == 0)
+    if ties == "peers":
+        return records.where(F.col("_after") == 0).join(placed.select(*moments, *outputs), moments)
+    return placed.select("*", *outputs)
 
 
 def window_features(

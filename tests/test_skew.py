@@ -12,6 +12,7 @@ from ledgerlens.operators import ordering as O
 from ledgerlens.operators import rings as R
 from ledgerlens.operators import sampling as X
 from ledgerlens.operators import windows as W
+from ledgerlens import session as S0
 from ledgerlens.sources import tables as S
 
 T0 = dt.datetime(2026, 1, 1)
@@ -33,15 +34,16 @@ SCHEMA = ("transaction_id string, timestamp timestamp_ntz, payer_id string, paye
           "merchant_id string, device_id string, amount double")
 
 
+@pytest.mark.parametrize("hot,ties", [(10**6, "exact"), (30, "exact"), (10**6, "peers"), (30, "peers"), (0, "exact"), (0, "peers")])
 @pytest.mark.parametrize("key,span", [("payer_id", 3600), ("merchant_id", 3600), ("device_id", 600)])
-def test_windows_against_brute_force(spark, key, span):
+def test_windows_against_brute_force(spark, key, span, hot, ties):
     rows = hot_rows()
     names = [c.split()[0] for c in SCHEMA.split(", ")]
     table = [dict(zip(names, r)) for r in rows]
     features = [W.Feature("n", "count", span), W.Feature("total", "sum", span, "amount"),
                 W.Feature("who", "distinct", span, "payee_id"), W.Feature("short", "count", span // 4)]
     got = {r.transaction_id: r for r in W.sliding_features(
-        spark.createDataFrame(rows, SCHEMA), key, features, prefix="").collect()}
+        spark.createDataFrame(rows, SCHEMA), key, features, prefix="", hot_records=hot, ties=ties).collect()}
     assert len(got) == len(rows)
     table.sort(key=lambda r: (r["timestamp"], r["transaction_id"]))
     groups = defaultdict(list)
@@ -49,7 +51,8 @@ def test_windows_against_brute_force(spark, key, span):
         group = groups[row[key] or ""]
         group.append(row)
         age = lambda e: (row["timestamp"] - e["timestamp"]).total_seconds()  # noqa: B023, E731
-        inside = [e for e in group if age(e) <= span]
+        seen = group if ties == "exact" else [e for e in table if (e[key] or "") == (row[key] or "") and age(e) >= 0]
+        inside = [e for e in seen if age(e) <= span]
         mine = got[row["transaction_id"]]
         assert mine.n == len(inside)
         assert mine.total == pytest.approx(sum(e["amount"] for e in inside))
@@ -140,3 +143,47 @@ def test_hot_resource_beyond_the_limit_is_left_out_whole(spark):
                                "merchant_id string, device_id string, ip_id string")
     stats = {r.entity_id: r.shared_user_count for r in R.resource_stats(tx, max_users=20).collect()}
     assert stats == {"D_small": 3}
+
+
+def largest_share(spark, job):
+    """Of the stages that ``job`` runs and that read many shuffled rows: the most rows of a task, and of all its tasks."""
+    store = spark.sparkContext._jsc.sc().statusStore()
+    tracker = spark.sparkContext.statusTracker()
+    spark.sparkContext.setJobGroup("measured", "")
+    job()
+    spark.sparkContext.setJobGroup("", "")
+    out = []
+    for j in tracker.getJobIdsForGroup("measured"):
+        for stage in tracker.getJobInfo(j).stageIds:
+            info = tracker.getStageInfo(stage)
+            if info is None or not info.numCompletedTasks:
+                continue
+            tasks = store.taskList(stage, info.currentAttemptId, 10**6)
+            read = [tasks.apply(i).taskMetrics().get().shuffleReadMetrics().recordsRead() for i in range(tasks.size())]
+            out.append((max(read), sum(read)))
+    return [x for x in out if x[1] >= 100_000]
+
+
+def test_half_of_the_rows_in_one_hour_of_one_key(spark):
+    n, parts = 100_000, 16
+    settings = {"spark.sql.shuffle.partitions": parts, "spark.sql.adaptive.coalescePartitions.enabled": "false"}
+    before = {k: spark.conf.get(k) for k in settings}
+    for k, v in settings.items():
+        spark.conf.set(k, v)
+    try:
+        seconds = F.when(F.col("id") % 2 == 0, F.pmod(F.xxhash64("id"), F.lit(3600))).otherwise(F.pmod(F.xxhash64("id"), F.lit(10**6)))
+        rows = S0.cut(spark.range(0, n, 1, 8).select(
+            F.format_string("t%07d", "id").alias("transaction_id"),
+            F.timestamp_add("SECOND", seconds, F.lit(T0).cast("timestamp_ntz")).alias("timestamp"),
+            F.when(F.col("id") % 2 == 0, "hot").otherwise(F.concat(F.lit("u"), F.col("id") % 5000)).alias("payer_id"),
+            F.when(F.col("id") % 3 == 0, "p").otherwise(F.concat(F.lit("p"), F.col("id") % 997)).alias("payee_id"),
+            (F.col("id") % 90).cast("double").alias("amount")))
+        run = lambda hot: W.sliding_features(rows, "payer_id", W.USER_5MIN + W.USER_1H, prefix="", hot_records=hot)
+        columns = ["transaction_id", *[f.name for f in W.USER_5MIN + W.USER_1H]]
+        read = largest_share(spark, lambda: run(20_000).write.format("noop").mode("overwrite").save())
+        assert read and all(most <= 2 * total / parts for most, total in read), read
+        whole, sliced = run(10**9).select(*columns), run(20_000).select(*columns)
+        assert whole.exceptAll(sliced).count() == 0 and sliced.count() == n
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v)
