@@ -16,7 +16,7 @@ time it saw of a value to the next one, so figures are the same and no task read
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Mapping, Sequence
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, Window
@@ -76,12 +76,13 @@ def sliding_features(
     ties: str = "exact",
     prefix: str = PREFIX,
     hot_records: int = HOT_RECORDS,
+    large: Mapping[str, DataFrame] | None = None,
 ) -> DataFrame:
     """Add ``features`` over rows sharing ``key`` (missing keys form one group).
 
     ``ties="exact"`` lets a row see only the equal-time rows that precede it in ``order``;
     ``ties="peers"`` lets it see all of them. Buckets of more than ``hot_records`` arrivals and
-    expiries are sliced over several tasks.
+    expiries are sliced over several tasks; ``large`` names them if they are known already.
     """
     spans = sorted({f.seconds for f in features}, reverse=True)
     width = spans[0] * 1_000_000
@@ -101,9 +102,11 @@ def sliding_features(
         .withColumns({c: F.when(F.col("_after") == 0, F.col(c)) for c in df.columns})
     )
     names = [prefix + f.name for f in features]
-    large = _large_buckets(df, records, len(spans) + 1, hot_records)
     if large is None:
+        large = _large_buckets(df, {key: features}, time, hot_records)
+    if key not in large:
         return _in_tasks(records, features, width, ties, prefix).select(*df.columns, *names)
+    large = large[key]
     cold = records.join(large, _BUCKET, "left_anti")
     hot = records.join(large, _BUCKET, "left_semi")
     return (_in_tasks(cold, features, width, ties, prefix).select(*df.columns, *names)
@@ -113,19 +116,33 @@ def sliding_features(
 _BUCKET = ["_key", "_start"]
 
 
-def _large_buckets(df: DataFrame, records: DataFrame, per_row: int, hot_records: int) -> DataFrame | None:
-    """(_key, _start) of the buckets with more than ``hot_records`` records, or None.
+def _large_buckets(df: DataFrame, features: Mapping[str, Sequence[Feature]], time: str,
+                   hot_records: int) -> dict[str, DataFrame]:
+    """(_key, _start) of the buckets that may hold more than ``hot_records`` records, by key column.
 
-    At most ``MOST_LARGE`` buckets, so the table may be broadcast: among more of them, only those
-    count that hold more than that part of all records.
+    One pass counts the rows of all keys; a row's expiries fall into its bucket and the next, so
+    both count as large. At most ``MOST_LARGE`` buckets of a key, so the tables may be broadcast:
+    among more of them, only those that hold more than that part of all rows.
     """
-    sizes = cut(records.groupBy(*_BUCKET).agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > hot_records), "large")
-    found = sizes.count()
-    if not found:
-        return None
-    if found > MOST_LARGE:
-        sizes = sizes.where(F.col("n") > df.count() * per_row / MOST_LARGE)
-    return F.broadcast(sizes.select(*_BUCKET))
+    us = epoch_micros(time)
+    entries = []
+    for key, wanted in features.items():
+        width = max(f.seconds for f in wanted) * 1_000_000
+        per_row = 1 + len({f.seconds for f in wanted})
+        entries.append(F.struct(
+            F.lit(key).alias("name"), F.coalesce(F.col(key).cast("string"), F.lit("")).alias("_key"),
+            (us - F.pmod(us, F.lit(width))).alias("at"), F.lit(width).cast("bigint").alias("width"),
+            F.lit(hot_records / (2 * per_row)).alias("most")))
+    sizes = cut(df.select(F.explode(F.array(*entries)).alias("e")).select("e.*").groupBy("name", "_key", "at", "width", "most")
+                .agg(F.count(F.lit(1)).alias("n")).where("n > most"), "large")
+    out = {}
+    for row in sizes.groupBy("name").count().collect():  # one row per key column
+        table = sizes.where(F.col("name") == row["name"])
+        if 2 * row["count"] > MOST_LARGE:
+            table = table.where(F.col("n") > 2 * df.count() / MOST_LARGE)
+        out[row["name"]] = F.broadcast(table.select(
+            "_key", F.explode(F.array("at", F.col("at") + F.col("width"))).alias("_start")).distinct())
+    return out
 
 
 def _presence(records: DataFrame, column: str, width: int) -> DataFrame:
@@ -218,8 +235,9 @@ def window_features(
     """The ten features of a transaction table, prefixed ``window_features_``; zeros without time."""
     if time not in df.columns:
         return df.select("*", *[F.lit(0.0).alias(PREFIX + f.name) for k in keys for f in BY_KEY[k]])
+    large = _large_buckets(df, {key: BY_KEY[key] for key in keys}, time, HOT_RECORDS)
     for key in keys:
-        df = sliding_features(df, key, BY_KEY[key], time, order, ties)
+        df = sliding_features(df, key, BY_KEY[key], time, order, ties, large=large)
     return df
 
 

@@ -120,7 +120,7 @@ SELECT transaction_id, count(*) {_win('merchant_id', 3600)} AS n,
     round(sum(amount) {_win('merchant_id', 3600)}, 2) AS total,
     count(DISTINCT payer_id) {_win('merchant_id', 3600)} AS payers FROM tx""")
 def _win_trades(spark, sf):
-    out = W.sliding_features(adapter.trades(spark, sf), "merchant_id", W.MERCHANT_1H, prefix="",
+    out = W.sliding_features(cut(adapter.trades(spark, sf), "trades"), "merchant_id", W.MERCHANT_1H, prefix="",
                              ties="peers")
     return rounded(out.select(
         "transaction_id", F.col("merchant_txn_count_1h").alias("n"),
