@@ -27,7 +27,7 @@ from ledgerlens.operators.ordering import neighbours, running_totals
 from ledgerlens.session import cut
 
 PREFIX = "window_features_"
-HOT_RECORDS = 500_000  # arrivals and expiries that one task takes of one key and bucket
+HOT_RECORDS = 2_000_000  # arrivals and expiries that one task takes of one key and bucket
 MOST_LARGE = 100_000  # buckets that are sliced, at most; each holds more than this part of all records
 
 
@@ -124,6 +124,9 @@ def _large_buckets(df: DataFrame, features: Mapping[str, Sequence[Feature]], tim
     both count as large. At most ``MOST_LARGE`` buckets of a key, so the tables may be broadcast:
     among more of them, only those that hold more than that part of all rows.
     """
+    rows = df.count()
+    if rows * max(1 + len({f.seconds for f in wanted}) for wanted in features.values()) <= hot_records:
+        return {}  # no bucket can hold more than all there is
     us = epoch_micros(time)
     entries = []
     for key, wanted in features.items():
@@ -139,7 +142,7 @@ def _large_buckets(df: DataFrame, features: Mapping[str, Sequence[Feature]], tim
     for row in sizes.groupBy("name").count().collect():  # one row per key column
         table = sizes.where(F.col("name") == row["name"])
         if 2 * row["count"] > MOST_LARGE:
-            table = table.where(F.col("n") > 2 * df.count() / MOST_LARGE)
+            table = table.where(F.col("n") > 2 * rows / MOST_LARGE)
         out[row["name"]] = F.broadcast(table.select(
             "_key", F.explode(F.array("at", F.col("at") + F.col("width"))).alias("_start")).distinct())
     return out
