@@ -7,12 +7,13 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as ST
 
 from ledgerlens import schema as S
+from ledgerlens.functions.scalar import epoch_micros
 from ledgerlens.operators import windows as W
 from ledgerlens.operators.ordering import running_position
 from ledgerlens.operators.profiles import device_profile
 from ledgerlens.plans.queries_order import window_sql
 from ledgerlens.plans.registry import WITH_D, WITH_TX, d, query, rounded, sql_hash, tx
-from ledgerlens.session import scratch_path
+from ledgerlens.session import cut, scratch_path
 from ledgerlens.sources.tables import source_stream_events
 from ledgerlens.streaming import events as V
 from ledgerlens.streaming import scoring as Z
@@ -27,8 +28,11 @@ _ALL = [f for group in W.BY_KEY.values() for f in group]
 _SUMS = [W.PREFIX + f.name for f in _ALL if f.kind == "sum"]
 
 
-def messages(spark, sf, late: bool = False, marker_every: int | None = None) -> str:
-    """The transactions as message files in arrival order; returns the folder."""
+def messages(spark, sf, late: bool = False, marker_every: int | None = None, batches: int = 1) -> str:
+    """The transactions as message files in arrival order; returns the folder.
+
+    They are written in ``batches`` spans of arrival time, one after another, with ``CONSUMERS`` files each.
+    """
     base = d(spark, sf)
     delay = F.make_dt_interval(secs=F.when(F.col("k") % 4 == 0, 120).otherwise(0))
     arrives = F.col("timestamp") + delay if late else F.col("timestamp")
@@ -42,8 +46,14 @@ def messages(spark, sf, late: bool = False, marker_every: int | None = None) ->
         text = F.when(F.col("offset") % marker_every == 0, F.lit('{"__flush": true}')).when(
             F.col("offset") % marker_every == 1, F.lit("not json")).otherwise(text)
     path = scratch_path(spark, "messages")
-    placed.select(text.alias("value"), "partition", "offset", "arrived").write.option(
-        "timestampNTZFormat", "yyyy-MM-dd'T'HH:mm:ss.SSSSSS").json(path)
+    lines = placed.select(text.alias("value"), "partition", "offset", "arrived")
+    if batches > 1:
+        lines = cut(lines, "messages")
+        ends = lines.agg(F.min(epoch_micros("arrived")).alias("low"), F.max(epoch_micros("arrived")).alias("high")).first()
+        span = F.floor((epoch_micros("arrived") - F.lit(ends.low)) * batches / F.lit(ends.high - ends.low + 1))
+    for i in range(batches):
+        part = lines if batches == 1 else lines.where(span == i).repartition(CONSUMERS)
+        part.write.mode("append").option("timestampNTZFormat", "yyyy-MM-dd'T'HH:mm:ss.SSSSSS").json(path)
     return path
 
 
@@ -58,8 +68,10 @@ def collected(stream: DataFrame) -> DataFrame:
 
 
 def parsed(spark, sf, **how) -> DataFrame:
+    """The parsed stream; with ``batches`` in as many micro-batches."""
     V.use_state_store(spark)
-    return V.parse_events(source_stream_events(spark, messages(spark, sf, **how)), EVENT)
+    files = CONSUMERS if how.get("batches", 1) > 1 else None
+    return V.parse_events(source_stream_events(spark, messages(spark, sf, **how), max_files=files), EVENT)
 
 
 @query("source_stream_events", WITH_TX + f"""
@@ -95,12 +107,12 @@ late AS (SELECT transaction_id, amount, timestamp < max(timestamp) OVER (PARTITI
 
 @query("st_late_tag", WITH_D + _ARRIVAL + "SELECT transaction_id, is_late_event FROM late")
 def _late(spark, sf):
-    return collected(V.late_tag(parsed(spark, sf, late=True))).select("transaction_id", "is_late_event")
+    return collected(V.late_tag(parsed(spark, sf, late=True, batches=3))).select("transaction_id", "is_late_event")
 
 
 @query("st_window_state", WITH_D + f" SELECT transaction_id, {window_sql(_ALL)} FROM d")
 def _windows(spark, sf):
-    stream = parsed(spark, sf)
+    stream = parsed(spark, sf, batches=3)
     partials = collected(K.window_state(stream))
     out = K.join_back(partials, stream.schema).select(
         "transaction_id", *[F.col(f"window_features.{f.name}").alias(W.PREFIX + f.name) for f in _ALL])
@@ -125,7 +137,7 @@ def _scored_tables(spark, sf) -> tuple[DataFrame, ...]:
     """The whole scoring stream; returns the risk, alert and late tables."""
     folder, checkpoint = scratch_path(spark, "routed"), scratch_path(spark, "checkpoint")
     profiles = {"device": device_profile(d(spark, sf))}
-    stream = V.late_tag(parsed(spark, sf, late=True))
+    stream = V.late_tag(parsed(spark, sf, late=True, batches=3))
 
     def score(batch: DataFrame) -> DataFrame:
         enriched = Z.enrich_stream_profiles(batch, profiles)

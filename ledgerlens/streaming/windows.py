@@ -1,4 +1,4 @@
-"""The ten window features kept as keyed state, in arrival order."""
+"""The ten window features kept as keyed state, in blocks of events in arrival order."""
 
 from __future__ import annotations
 
@@ -22,100 +22,197 @@ KINDS = (
     ("merchant", "merchant_id", "payer_id", 3600),
 )
 SHORT_SECONDS = 300
+BLOCK = 512  # events of a queue that are read and written together
+SMALL = 2  # blocks of a queue that is read whole
 MISSING_SHARDS = 4  # how many ways events without an id are split; raise with their share
 
 _OUT = ("kind string, transaction_id string, partition int, offset bigint, part int, n bigint, total double, others bigint, "
         "n_short bigint, total_short double, event_json string")
 
 
-def in_order(us, other, mine, now, kept: int, span: int, short: int) -> list[np.ndarray]:
-    """Window figures when times never go back: counts, distinct counts and window starts.
+def _trims(us: np.ndarray, at: int, limit: np.ndarray, high: np.ndarray) -> np.ndarray:
+    """How far the head of the queue has moved after each event.
 
-    ``us`` and ``other`` are the stored events (``kept`` old ones, then the batch's own), ``now``
-    the times of all batch rows, ``mine`` which of them are stored. A value's presence begins at
-    an event without an equal one in the span before it, and ends one span after an event
-    without an equal one in the span after it.
+    ``us`` are times in queue order, ``at`` is the head before the batch, ``limit`` the oldest time
+    each event lets stay, ``high`` the tail at that moment. The head leaves while it is too old; it
+    stops at the first entry that is not, which is where the running maximum gets there.
     """
-    high = kept + np.cumsum(mine)
-    low = np.searchsorted(us, now - span, side="left")
-    low_short = np.searchsorted(us, now - short, side="left")
-    codes = pd.factorize(pd.Series(other, dtype=object))[0]
-    valid = (codes >= 0) & np.array([bool(o) for o in other], dtype=bool)
-    order = np.argsort(codes, kind="stable")
-    same = codes[order][1:] == codes[order][:-1]
-    gap = us[order][1:] - us[order][:-1]
-    begins = np.ones(len(us), dtype=bool)
-    ends = np.ones(len(us), dtype=bool)
-    begins[order[1:]] = ~(same & (gap <= span))
-    ends[order[:-1]] = ~(same & (gap <= span))
-    begun = np.concatenate([[0], np.cumsum(begins & valid)])
-    over = us[ends & valid] + span
-    distinct = begun[high] - np.searchsorted(over, now, side="left")
-    return [high, low, low_short, distinct]
+    low = np.empty(len(limit), dtype=np.int64)
+    begin = 0
+    while begin < len(limit):
+        top = np.maximum.accumulate(us[at:])
+        found = at + np.searchsorted(top, np.maximum.accumulate(limit[begin:]), side="left")
+        empty = np.flatnonzero(found > high[begin:])  # an event that is not stored empties the queue
+        end = begin + int(empty[0]) + 1 if len(empty) else len(limit)
+        low[begin:end] = np.minimum(found[:end - begin], high[begin:end])
+        begin, at = end, int(low[end - 1])
+    return low
+
+
+def _distinct(start: dict[str, int], before: int, added: list, add_at: np.ndarray, gone: list, gone_at: np.ndarray,
+              events: int) -> tuple[np.ndarray, dict[str, int]]:
+    """Distinct values after each event, and the new counts of the values that were touched.
+
+    ``start`` has the counts of all touched values. Event i first adds, then the head leaves.
+    """
+    values = added + gone
+    held = np.array([bool(v) for v in values], dtype=bool)
+    when = np.concatenate([2 * add_at, 2 * gone_at + 1])[held]
+    delta = np.repeat([1, -1], [len(added), len(gone)])[held]
+    codes, names = pd.factorize(pd.Series([v for v in values if v], dtype=object))
+    if not len(codes):
+        return np.full(events, before), {}
+    order = np.lexsort((when, codes))
+    code, step = codes[order], delta[order]
+    first = np.flatnonzero(np.diff(code, prepend=-1))
+    run = np.cumsum(step)
+    base = np.array([start.get(n, 0) for n in names], dtype=np.int64)
+    run += np.repeat(base[code[first]] - (run[first] - step[first]), np.diff(np.append(first, len(code))))
+    turn = ((run == 1) & (step == 1)).astype(np.int64) - ((run == 0) & (step == -1))
+    times = np.sort(when)
+    total = np.concatenate([[0], np.cumsum(turn[np.argsort(when[order], kind="stable")])])
+    last = run[np.append(first[1:], len(code)) - 1]
+    return (before + total[np.searchsorted(times, 2 * np.arange(events) + 1, side="right")],
+            dict(zip(names[code[first]].tolist(), last.tolist())))
+
+
+def _recent(us, amount, place, low, high, limit) -> tuple[np.ndarray, np.ndarray]:
+    """Count and sum of queue entries (at ``place`` in ascending order) not older than each limit."""
+    sums = np.concatenate([[0.0], np.cumsum(amount)])
+    stop = np.searchsorted(place, high)
+    if np.all(us[1:] >= us[:-1]):
+        begin = np.maximum(np.searchsorted(us, limit), np.searchsorted(place, low))
+        begin = np.minimum(begin, stop)
+        return stop - begin, sums[stop] - sums[begin]
+    n, total = np.zeros(len(low), dtype=np.int64), np.zeros(len(low))
+    for i in range(0, len(low), 256):  # late entries lie anywhere in the queue
+        part = slice(i, i + 256)
+        some = np.flatnonzero(us >= limit[part].min())
+        inside = ((us[some] >= limit[part, None]) & (place[some] >= low[part, None]) & (place[some] < high[part, None]))
+        n[part], total[part] = inside.sum(axis=1), inside @ amount[some]
+    return n, total
 
 
 class _Windows(StatefulProcessor):
     """Recent events of one entity (or of one shard of the events without an id).
 
-    As in a queue, an event joins at the tail and the head leaves while it is older than the
-    span; so a late event sees what the queue holds at its arrival.
+    As in a queue, an event joins at the tail and the head leaves while it is older than the span;
+    so a late event sees what the queue holds at its arrival. The queue is kept in blocks of
+    ``BLOCK`` events, each with its count, sum, and oldest and newest time. A batch reads the blocks
+    that its events trim, those that reach into the short window, and the last one, and writes what
+    has changed; the blocks between are known by their figures. The last block lies with the figures,
+    so an entity of few events costs one read and one write a batch. A queue of more than ``SMALL``
+    blocks keeps how often each value occurs in it, and only values that come or go are looked up.
     """
 
     def init(self, handle: StatefulProcessorHandle) -> None:
-        self.recent = handle.getListState("recent", "us long, amount double, other string")
+        self.blocks = handle.getMapState("blocks", "block long", "us array<long>, amount array<double>, other array<string>")
+        self.seen = handle.getMapState("seen", "other string", "n long")
+        self.about = handle.getValueState("about", "first long, off long, others long, counted boolean, n array<long>, "
+                                          "total array<double>, oldest array<long>, newest array<long>, "
+                                          "us array<long>, amount array<double>, other array<string>")
 
     def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
         batch = pd.concat(list(rows), ignore_index=True)
-        batch = batch.sort_values(["arrived", "partition", "offset"], kind="stable",
-                                  ignore_index=True)
-        kept = list(self.recent.get()) if self.recent.exists() else []
+        batch = batch.sort_values(["arrived", "partition", "offset"], kind="stable", ignore_index=True)
+        yield self._figures(batch, key[0] == "user")
+
+    def _figures(self, batch: pd.DataFrame, short_too: bool) -> pd.DataFrame:
+        first, off, others, counted, sizes, totals, oldest, newest, *tail = (
+            self.about.get() or (0, 0, 0, False, *[[]] * 7))
+        sizes, totals, oldest, newest = (np.array(x, dtype=t) for x, t in (
+            (sizes, np.int64), (totals, float), (oldest, np.int64), (newest, np.int64)))
+        blocks = len(sizes)
+        starts = np.concatenate([[0], np.cumsum(sizes)])
+        kept = int(starts[-1])
+
         mine = batch["own"].to_numpy(bool)
         now = batch["us"].to_numpy(np.int64)
-        us = np.concatenate([np.array([r[0] for r in kept], dtype=np.int64), now[mine]])
-        amount = np.concatenate([np.array([r[1] for r in kept], dtype=float),
-                                 batch["amount"].to_numpy(float)[mine]])
-        other = [r[2] for r in kept] + batch["other"][mine].tolist()
-        sums = np.concatenate([[0.0], np.cumsum(amount)])
-        span, short = int(batch["span_us"].iloc[0]), SHORT_SECONDS * 1_000_000
-        times = np.concatenate([us[:len(kept)], now])
-        if np.all(times[1:] >= times[:-1]):
-            high, low, low_short, distinct = in_order(us, other, mine, now, len(kept), span, short)
-            out = pd.DataFrame({
-                "n": high - low, "total": sums[high] - sums[low], "others": distinct,
-                "n_short": high - low_short, "total_short": sums[high] - sums[low_short]})
-            first, last = int(low[-1]), int(high[-1])
+        limit, short = now - int(batch["span_us"].iloc[0]), now - SHORT_SECONDS * 1_000_000
+        new_us, new_amount = now[mine], batch["amount"].to_numpy(float)[mine]
+        new_other = batch["other"][mine].tolist()
+        high = kept + np.cumsum(mine)
+
+        trimmed = int(np.searchsorted(np.maximum.accumulate(newest), limit.max())) + 1 if blocks else 0
+        wanted = set(range(min(trimmed, blocks))) | ({blocks - 1} if blocks else set())
+        if not counted:
+            wanted = set(range(blocks))
+        if short_too:
+            wanted |= set(np.flatnonzero(newest >= short.min()).tolist())
+        read = {j: self.blocks.getValue((first + j,)) if j < blocks - 1 else tail for j in sorted(wanted)}
+        place = np.concatenate([np.arange(starts[j], starts[j + 1]) for j in read] + [np.arange(kept, kept + len(new_us))]).astype(np.int64)
+        us = np.concatenate([np.array(b[0], dtype=np.int64) for b in read.values()] + [new_us])
+        amount = np.concatenate([np.array(b[1], dtype=float) for b in read.values()] + [new_amount])
+        other = [o for b in read.values() for o in b[2]] + new_other
+
+        # The head stays inside the first blocks read, or all are read and the new events follow.
+        reach = int(starts[trimmed]) if trimmed < blocks else kept + len(new_us)
+        low = _trims(us[:reach], off, limit, high)
+        head_sums = np.concatenate([[0.0], np.cumsum(amount[:reach])])
+        new_sums = float(totals.sum()) + np.concatenate([[0.0], np.cumsum(new_amount)])
+        total = new_sums[high - kept] - head_sums[low]
+
+        moved = np.diff(low, prepend=off)
+        gone = other[off:int(low[-1])]
+        start = {}
+        if counted:
+            for value in {v for v in [*gone, *new_other] if v}:
+                held = self.seen.getValue((value,)) if self.seen.containsKey((value,)) else None
+                start[value] = held[0] if held else 0
         else:
-            out, first, last = self._as_queue(us, amount, other, sums, mine, now, len(kept), span, short)
-        if last > first:
-            self.recent.put([(int(us[i]), float(amount[i]), other[i]) for i in range(first, last)])
+            start = Counter(o for o in other[off:kept] if o)
+            others = len(start)
+        distinct, touched = _distinct(start, others, new_other, np.flatnonzero(mine), gone,
+                                      np.repeat(np.arange(len(now)), moved), len(now))
+        out = {"n": high - low, "total": total, "others": distinct, "n_short": 0, "total_short": 0.0}
+        if short_too:
+            out["n_short"], out["total_short"] = _recent(us, amount, place, low, high, short)
+
+        self._store(first, starts, sizes, totals, oldest, newest, read, int(low[-1]), new_us, new_amount, new_other,
+                    int(distinct[-1]), counted, start, touched)
+        return pd.DataFrame({"kind": batch["kind"], "transaction_id": batch["transaction_id"], "partition": batch["partition"],
+                             "offset": batch["offset"], "part": batch["part"], **out, "event_json": batch["event_json"]})
+
+    def _store(self, first, starts, sizes, totals, oldest, newest, read, low, us, amount, other, others, counted, start, touched):
+        """Drop the blocks that the head has left, append the new events, and note the figures."""
+        blocks, kept = len(sizes), int(starts[-1])
+        if low >= kept + len(us):
+            self.about.clear()
+            if blocks > 1:
+                self.blocks.clear()
+            if counted:
+                self.seen.clear()
+            return
+        dropped = min(int(np.searchsorted(starts[1:], low, side="right")), blocks)
+        for j in range(min(dropped, blocks - 1)):
+            self.blocks.removeKey((first + j,))
+        us, amount = us.tolist(), amount.tolist()
+        if dropped == blocks:  # what is left of the batch begins a queue of its own
+            us, amount, other = us[low - kept:], amount[low - kept:], other[low - kept:]
+            low, at = 0, first + blocks
         else:
-            self.recent.clear()
-        for at, name in enumerate(("kind", "transaction_id", "partition", "offset", "part")):
-            out.insert(at, name, batch[name].to_numpy())
-        out["event_json"] = batch["event_json"].to_numpy()
-        yield out
-
-    @staticmethod
-    def _as_queue(us, amount, other, sums, mine, now, kept, span, short):
-        """The same figures row by row, for batches in which some event is late."""
-        seen = Counter(o for o in other[:kept] if o)
-        low, high, results = 0, kept, []
-        for at, own in zip(now, mine):
-            if own:
-                if other[high]:
-                    seen[other[high]] += 1
-                high += 1
-            while low < high and at - us[low] > span:
-                if other[low]:
-                    seen[other[low]] -= 1
-                    if not seen[other[low]]:
-                        del seen[other[low]]
-                low += 1
-            recent = at - us[low:high] <= short
-            results.append((high - low, sums[high] - sums[low], len(seen), int(recent.sum()),
-                            float(amount[low:high][recent].sum())))
-        names = ["n", "total", "others", "n_short", "total_short"]
-        return pd.DataFrame(results, columns=names), low, high
+            low, at = low - int(starts[dropped]), first + blocks - 1
+            tail = read[blocks - 1]
+            us, amount, other = [*tail[0], *us], [*tail[1], *amount], [*tail[2], *other]
+        figures = [x[dropped:max(dropped, blocks - 1)].tolist() for x in (sizes, totals, oldest, newest)]
+        for i in range(0, len(us), BLOCK):  # the last block stays with the figures
+            part = us[i:i + BLOCK], amount[i:i + BLOCK], other[i:i + BLOCK]
+            for f, value in zip(figures, (len(part[0]), float(sum(part[1])), min(part[0]), max(part[0]))):
+                f.append(value)
+            if i + BLOCK < len(us):
+                self.blocks.updateValue((at + i // BLOCK,), part)
+        if counted:
+            for value, n in touched.items():
+                if n:
+                    self.seen.updateValue((value,), (n,))
+                elif self.seen.containsKey((value,)):
+                    self.seen.removeKey((value,))
+        elif len(figures[0]) > SMALL:
+            counted = True
+            for value, n in {**start, **touched}.items():
+                if n:
+                    self.seen.updateValue((value,), (n,))
+        self.about.update((first + dropped, low, others, counted, *figures, *part))
 
     def close(self) -> None:
         pass

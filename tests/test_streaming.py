@@ -2,7 +2,9 @@
 
 import datetime as dt
 import json
+import random
 
+import pytest
 from pyspark.sql import functions as F
 
 from ledgerlens.operators import windows as W
@@ -130,3 +132,36 @@ def test_scored_stream_routes_each_event_once(spark, tmp_path):
     assert read("alert_events") == ["t0"] and read("late_events") == ["t1"]
     row = spark.read.parquet(f"{tmp_path}/out/risk_results").where("transaction_id = 't0'").first()
     assert (row.decision, row.key, row.window_features.user_txn_count_1h) == ("reject", "u", 1)
+
+
+def queue_brute(events):
+    """The figures of the queues event by event, as lists."""
+    out, queues = {}, {}
+    for e in events:
+        at = dt.datetime.fromisoformat(e["timestamp"])
+        got = {}
+        for kind, key, other, span in K.KINDS:
+            queue = queues.setdefault((kind, e[key] or ""), [])
+            queue.append((at, e["amount"], e[other]))
+            while (at - queue[0][0]).total_seconds() > span:
+                queue.pop(0)
+            short = [x for x in queue if (at - x[0]).total_seconds() <= K.SHORT_SECONDS]
+            got[kind] = (len(queue), sum(x[1] for x in queue), len({x[2] for x in queue if x[2]}), len(short), sum(x[1] for x in short))
+        u, m = got["user"], got["merchant"]
+        out[e["transaction_id"]] = (u[3], u[4], u[0], u[1], u[2], got["device"][2], got["ip"][2], m[0], m[1], m[2])
+    return out
+
+
+@pytest.mark.parametrize("late", [False, True])
+def test_blocks_of_a_hot_entity_equal_plain_queues(spark, tmp_path, monkeypatch, late):
+    monkeypatch.setattr(K, "BLOCK", 8)  # 90 % of the events have one payer: many blocks, trimmed over five batches
+    rng = random.Random(late)
+    events, clock = [], 0
+    for i in range(600):
+        clock += rng.choice([0, 1, 20, 60]) + (4000 if i in (250, 400) else 0)
+        seconds = clock - (rng.choice([0, 0, 90, 400, 3000]) if late else 0)
+        events.append(event(i, seconds, payer="hot" if rng.random() < 0.9 else f"u{i % 5}", payee=rng.choice(["", *[f"p{k}" for k in range(40)]]),
+                            merchant=f"m{i % 2}", device=f"d{i % 3}", ip="i", amount=round(rng.random() * 9, 2)))
+    got = by_state(spark, tmp_path / "in", [events[i:i + 120] for i in range(0, 600, 120)])
+    for name, expected in queue_brute(events).items():
+        assert tuple(got[name]) == pytest.approx(expected), name
