@@ -59,9 +59,11 @@ def _distinct(start: dict[str, int], before: int, added: list, add_at: np.ndarra
     held = np.array([bool(v) for v in values], dtype=bool)
     when = np.concatenate([2 * add_at, 2 * gone_at + 1])[held]
     delta = np.repeat([1, -1], [len(added), len(gone)])[held]
-    codes, names = pd.factorize(pd.Series([v for v in values if v], dtype=object))
+    names: dict[str, int] = {}
+    codes = np.array([names.setdefault(v, len(names)) for v in values if v], dtype=np.int64)
     if not len(codes):
         return np.full(events, before), {}
+    names = list(names)
     order = np.lexsort((when, codes))
     code, step = codes[order], delta[order]
     first = np.flatnonzero(np.diff(code, prepend=-1))
@@ -73,7 +75,7 @@ def _distinct(start: dict[str, int], before: int, added: list, add_at: np.ndarra
     total = np.concatenate([[0], np.cumsum(turn[np.argsort(when[order], kind="stable")])])
     last = run[np.append(first[1:], len(code)) - 1]
     return (before + total[np.searchsorted(times, 2 * np.arange(events) + 1, side="right")],
-            dict(zip(names[code[first]].tolist(), last.tolist())))
+            dict(zip([names[c] for c in code[first].tolist()], last.tolist())))
 
 
 def _recent(us, amount, place, low, high, limit) -> tuple[np.ndarray, np.ndarray]:
@@ -113,8 +115,10 @@ class _Windows(StatefulProcessor):
                                           "us array<long>, amount array<double>, other array<string>")
 
     def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
-        batch = pd.concat(list(rows), ignore_index=True)
-        batch = batch.sort_values(["arrived", "partition", "offset"], kind="stable", ignore_index=True)
+        parts = list(rows)
+        batch = parts[0] if len(parts) == 1 else pd.concat(parts, ignore_index=True)
+        if len(batch) > 1:
+            batch = batch.take(np.lexsort([batch[c].to_numpy() for c in ("offset", "partition", "arrived")]))
         yield self._figures(batch, key[0] == "user")
 
     def _figures(self, batch: pd.DataFrame, short_too: bool) -> pd.DataFrame:
@@ -130,7 +134,7 @@ class _Windows(StatefulProcessor):
         now = batch["us"].to_numpy(np.int64)
         limit, short = now - int(batch["span_us"].iloc[0]), now - SHORT_SECONDS * 1_000_000
         new_us, new_amount = now[mine], batch["amount"].to_numpy(float)[mine]
-        new_other = batch["other"][mine].tolist()
+        new_other = [o if isinstance(o, str) else None for o, own in zip(batch["other"].tolist(), mine.tolist()) if own]
         high = kept + np.cumsum(mine)
 
         trimmed = int(np.searchsorted(np.maximum.accumulate(newest), limit.max())) + 1 if blocks else 0
@@ -170,8 +174,10 @@ class _Windows(StatefulProcessor):
 
         self._store(first, starts, sizes, totals, oldest, newest, read, int(low[-1]), new_us, new_amount, new_other,
                     int(distinct[-1]), counted, start, touched)
-        return pd.DataFrame({"kind": batch["kind"], "transaction_id": batch["transaction_id"], "partition": batch["partition"],
-                             "offset": batch["offset"], "part": batch["part"], **out, "event_json": batch["event_json"]})
+        result = batch[["kind", "transaction_id", "partition", "offset", "part", "event_json"]].reset_index(drop=True)
+        for at, (name, values) in enumerate(out.items(), 5):
+            result.insert(at, name, values)
+        return result
 
     def _store(self, first, starts, sizes, totals, oldest, newest, read, low, us, amount, other, others, counted, start, touched):
         """Drop the blocks that the head has left, append the new events, and note the figures."""
