@@ -174,10 +174,8 @@ class _Windows(StatefulProcessor):
 
         self._store(first, starts, sizes, totals, oldest, newest, read, int(low[-1]), new_us, new_amount, new_other,
                     int(distinct[-1]), counted, start, touched)
-        result = batch[["kind", "transaction_id", "partition", "offset", "part", "event_json"]].reset_index(drop=True)
-        for at, (name, values) in enumerate(out.items(), 5):
-            result.insert(at, name, values)
-        return result
+        named = batch[["kind", "transaction_id", "partition", "offset", "part", "event_json"]]
+        return pd.concat([named, pd.DataFrame(out, index=named.index)], axis=1)  # columns are matched by name
 
     def _store(self, first, starts, sizes, totals, oldest, newest, read, low, us, amount, other, others, counted, start, touched):
         """Drop the blocks that the head has left, append the new events, and note the figures."""
