@@ -3,8 +3,8 @@
 Teh, "A hierarchical Bayesian language model based on Pitman-Yor processes" (2006). Each preceding
 word is a restaurant whose dishes are the words that follow it; all of them share one parent, the
 root, whose customers are their tables; the root's parent is uniform over the known words and one
-unknown. Customers are seated by Gibbs sampling and predictive probabilities are averaged over
-samples.
+unknown. Customers are seated by Gibbs sampling, all customers of a dish in a restaurant in one
+draw given the rest (see :class:`Law`), and predictive probabilities are averaged over samples.
 
 Restaurants live in hashed buckets, frequent ones split into parts by dish, so no bucket depends
 on one word. As in approximate distributed Gibbs sampling for hierarchical models (Asuncion,
@@ -15,6 +15,7 @@ counts are exact: every word of every learning document is one customer.
 
 from __future__ import annotations
 
+import functools
 from collections.abc import Iterator
 
 import numpy as np
@@ -28,81 +29,173 @@ from ledgerlens.llm.words import mix
 
 DISCOUNT, STRENGTH = 0.75, 1.0  # of the context restaurants
 ROOT_DISCOUNT, ROOT_STRENGTH = 0.6, 10.0
-BURN, SAMPLES, MOVES = 2, 3, 16  # sweeps before, sweeps averaged, customers of a dish moved in one sweep
+BURN, SAMPLES = 4, 3  # sweeps before, sweeps averaged
+EXACT = 256  # customers up to which a dish's tables are drawn from a table of all chances
+NODES, STEPS, SHARES = 48, 4, 4  # of an integral, of a walk in a sweep, of the dishes reseated at a time
+SLICE, WALKERS = 1 << 19, 1 << 13  # chances, and dishes with many customers, held at a time
 _PART = np.uint64(0x9FB21C651E98DF25)
 _SHORT = np.uint64(24)  # dishes go by the upper 40 bits of their hash inside a restaurant
 
 
+class Law:
+    """Chances of the number of tables at which the customers of a dish sit.
+
+    By the Chinese restaurant process with discount d, the sizes of a dish's tables are independent
+    draws from Sibuya's law (generating function 1 - (1 - z)^d), given that they add up to its
+    customers, and t tables have the weight (r)_t / t! p^t of a negative binomial law: p is the
+    parent's chance of the dish, r d the strength plus d times the other dishes' tables. So a dish
+    is reseated as a whole by drawing t, with no array of its customers.
+    """
+
+    def __init__(self, discount: float):
+        self.discount = d = discount
+        chance = np.zeros((EXACT + 1, EXACT + 1))  # of t Sibuya draws to add up to c
+        chance[0, 0] = 1
+        t = np.arange(EXACT + 1)
+        for c in range(EXACT):
+            chance[c + 1] = np.maximum(c - d * t, 0) * chance[c]
+            chance[c + 1, 1:] += d * t[1:] * chance[c, :-1]
+            chance[c + 1] /= c + 1
+        with np.errstate(divide="ignore"):
+            self.table = np.log(chance)
+
+    def _slope(self, s: np.ndarray) -> np.ndarray:
+        """Mean of a Sibuya draw tilted by exp(-s)."""
+        up = -np.expm1(-s)
+        return self.discount * np.exp(-s) * up ** (self.discount - 1) / -np.expm1(self.discount * np.log(up))
+
+    def _root(self, size: int, above) -> np.ndarray:
+        """The tilt of each of ``size`` dishes beyond which ``above`` of it is true, by bisection."""
+        low, high = np.full(size, np.log(1e-40)), np.full(size, np.log(30.0))
+        for _ in range(50):
+            middle = (low + high) / 2
+            up = above(np.exp(middle))
+            low, high = np.where(up, low, middle), np.where(up, middle, high)
+        return np.exp((low + high) / 2)
+
+    def log_chance(self, c: np.ndarray, t: np.ndarray) -> np.ndarray:
+        """Log of the chance that t Sibuya draws add up to c, for more than ``EXACT`` customers.
+
+        Cauchy's integral over a parabola through the saddle point that bends around the branch cut;
+        over the vertical line where nearly all tables have one customer.
+        """
+        d = self.discount
+        c, t = c.astype(float), t.astype(float)
+        saddle = self._root(len(c), lambda s: self._slope(s) < c / t)
+        vertex = np.maximum(saddle, 3 / c)
+        step = vertex * 1e-4
+        mean, low, high = (self._slope(x) for x in (vertex, vertex - step, vertex + step))
+        spread = t * np.maximum(low - high, 0) / (2 * step)
+        width = 7 / np.sqrt(np.maximum(2 * vertex**2 * spread + vertex * (c - t * mean), 1e-300))
+        line = 2 * vertex * width > 3
+        angle = np.linspace(0, 1, NODES + 1)[:, None] * np.where(line, np.pi, width)
+        turn = 1 + 1j * angle
+        s = np.where(line, vertex + 1j * angle, vertex * turn * turn)
+        power = t * np.log1p(-np.exp(d * np.log(-np.expm1(-s)))) + c * s
+        peak = power[0].real
+        value = (np.exp(power - peak) * np.where(line, 1, 2 * vertex * turn)).real
+        value[[0, -1]] /= 2
+        with np.errstate(divide="ignore", invalid="ignore"):
+            total = np.log(np.maximum(value.sum(0), 0) * np.where(line, np.pi, width) / (NODES * np.pi)) + peak
+        return np.where(t == c, c * np.log(d), total)
+
+    def _weight(self, c: np.ndarray, t: np.ndarray, r: np.ndarray, p: np.ndarray) -> np.ndarray:
+        return self.log_chance(c, t) + _log_gamma(r + t) - _log_gamma(t + 1.0) + t * np.log(p)
+
+    def draw(self, c: np.ndarray, r: np.ndarray, p: np.ndarray, rng: np.random.Generator) -> np.ndarray:
+        """Tables of dishes with up to ``EXACT`` customers, drawn from all chances."""
+        out = np.empty(len(c), dtype=np.int64)
+        ends = np.cumsum(c)
+        cuts = np.searchsorted(ends, np.arange(0, int(ends[-1]) if len(ends) else 0, SLICE), side="left")
+        for low, high in zip(cuts, [*cuts[1:], len(c)]):
+            if low == high:
+                continue
+            count = c[low:high]
+            first = np.cumsum(count) - count
+            owner = np.repeat(np.arange(high - low), count)
+            i = np.arange(len(owner)) - first[owner]
+            grown = np.cumsum(np.log((r[low:high][owner] + i) * p[low:high][owner] / (i + 1)))
+            grown -= np.concatenate(([0.0], grown))[first][owner]
+            grown += self.table[count[owner], i + 1]
+            grown -= np.maximum.reduceat(grown, first)[owner]
+            mass = np.concatenate(([0.0], np.cumsum(np.exp(grown))))
+            last = first + count
+            aim = mass[first] + rng.random(len(count)) * (mass[last] - mass[first])
+            spot = np.clip(np.searchsorted(mass, aim, side="right") - 1, first, last - 1)
+            out[low:high] = spot - first + 1
+        return out
+
+    def guess(self, c: np.ndarray, r: np.ndarray, p: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Nearly the likeliest number of tables, where one more changes no chance, and the spread there."""
+        tables = lambda s: c / self._slope(s)
+        gain = lambda s: (np.log(-np.expm1(self.discount * np.log(-np.expm1(-s))))
+                          + np.log(p * (1 + r / tables(s))))
+        tilt = self._root(len(c), lambda s: gain(s) < 0)
+        few, many = tables(tilt * 1.02), tables(tilt / 1.02)
+        fall = (gain(tilt * 1.02) - gain(tilt / 1.02)) / np.abs(few - many)
+        return np.clip(np.rint(tables(tilt)), 1, c).astype(np.int64), 1 / np.sqrt(np.maximum(np.abs(fall), 1e-18))
+
+    def walk(self, c: np.ndarray, t: np.ndarray, r: np.ndarray, p: np.ndarray, rng: np.random.Generator) -> np.ndarray:
+        """Tables of dishes with more customers: a few steps by Metropolis' rule, about a spread wide."""
+        for low in range(0, len(c), WALKERS):
+            part = slice(low, low + WALKERS)
+            own, now = (c[part], r[part], p[part]), t[part].copy()
+            weight = self._weight(own[0], now, *own[1:])
+            wide = np.minimum(2 * self.guess(*own)[1], own[0]) + 0.5  # does not depend on where the walk is
+            for _ in range(STEPS):
+                to = now + np.rint(rng.normal(size=len(now)) * wide).astype(np.int64)
+                legal = (to >= 1) & (to <= own[0])
+                other = self._weight(own[0], np.where(legal, to, now), *own[1:])
+                with np.errstate(divide="ignore", invalid="ignore"):
+                    go = legal & (np.log(rng.random(len(now))) < other - weight)
+                now, weight = np.where(go, to, now), np.where(go, other, weight)
+            t[part] = now
+        return t
+
+
+def _log_gamma(x: np.ndarray) -> np.ndarray:
+    """Logarithm of the gamma function for positive numbers."""
+    small = x < 8
+    y = np.where(small, x + 8, x)
+    series = (y - 0.5) * np.log(y) - y + 0.9189385332046727 + 1 / (12 * y) - 1 / (360 * y**3) + 1 / (1260 * y**5)
+    back = np.where(small, x, 1.0)
+    product = back.copy()
+    for i in range(1, 8):
+        product *= back + i
+    return np.where(small, series - np.log(product), series)
+
+
 class Seating:
-    """Tables of many dishes at once; ``weight(tables)`` is each dish's weight of a new table.
+    """Tables of many dishes at once; ``law(dishes, tables)`` gives their r and p, see :class:`Law`.
 
-    A dish's customers lie side by side. ``label`` is the table of a customer, ``size`` the
-    customers of a table; a table's number is a place among its dish's customers.
+    Kept per dish is its number of tables alone, whatever its customers. A sweep reseats all
+    customers of all dishes, a random share of the dishes at a time, given the tables of the rest.
     """
 
-    def __init__(self, customers: np.ndarray, discount: float, weight, rng: np.random.Generator):
-        self.customers, self.discount, self.weight, self.rng = customers, discount, weight, rng
+    def __init__(self, customers: np.ndarray, discount: float, law, rng: np.random.Generator):
+        self.customers, self.given, self.rng = customers, law, rng
+        self.law = _law(discount)
         self.tables = np.minimum(customers, 1)
         self.many = np.flatnonzero(customers > 1)
-        self.many = self.many[np.argsort(-customers[self.many], kind="stable")]
-        count = customers[self.many]
-        self.start = np.cumsum(count) - count
-        self.count = count
-        self.label = np.repeat(self.start, count)
-        self.size = np.zeros(int(count.sum()), dtype=np.int64)
-        self.size[self.start] = 1
-        self._open()
-
-    def _open(self) -> None:
-        """Seat customers in order: those from n to 2n - 1 at once, given the first n."""
-        n = 1
-        while True:
-            active = int(np.searchsorted(-self.count, -n, side="left"))  # dishes with more than n
-            if not active:
-                return
-            dish = self.many[:active]
-            added = np.minimum(self.count[:active], 2 * n) - n
-            fresh = self.weight(dish, self.tables)
-            chance = fresh / (fresh + n - self.discount * self.tables[dish])
-            owner = np.repeat(np.arange(active), added)
-            place = self.start[owner] + n + np.arange(len(owner)) - np.repeat(np.cumsum(added) - added, added)
-            friend = self.label[self.start[owner] + (self.rng.random(len(owner)) * n).astype(np.int64)]
-            new = self.rng.random(len(owner)) < chance[owner]
-            self.label[place] = np.where(new, place, friend)
-            np.add.at(self.size, self.label[place], 1)
-            self.tables[dish] += np.bincount(owner[new], minlength=active)
-            n *= 2
+        self.opened = False
 
     def sweep(self) -> None:
-        """Unseat and reseat random customers, at most ``MOVES`` of each dish."""
-        for move in range(MOVES):
-            active = int(np.searchsorted(-self.count, -move, side="left"))
-            if not active:
-                return
-            dish, start, count = self.many[:active], self.start[:active], self.count[:active]
-            pick = (self.rng.random(active) * count).astype(np.int64)
-            spot = start + pick
-            old = self.label[spot]
-            self.size[old] -= 1
-            emptied = self.size[old] == 0
-            self.tables[dish] -= emptied
-            fresh = self.weight(dish, self.tables)
-            new = self.rng.random(active) * (fresh + count - 1 - self.discount * self.tables[dish]) < fresh
-            to = np.where(emptied, old, spot)
-            todo = np.flatnonzero(new & ~emptied & (self.size[spot] > 0))
-            while len(todo):  # a new table takes a number that no table has
-                to[todo] = start[todo] + (self.rng.random(len(todo)) * count[todo]).astype(np.int64)
-                todo = todo[self.size[to[todo]] > 0]
-            todo = np.flatnonzero(~new)
-            while len(todo):  # a table by its customers less the discount: a customer's, or draw again
-                other = (self.rng.random(len(todo)) * (count[todo] - 1)).astype(np.int64)
-                other += other >= pick[todo]
-                to[todo] = self.label[start[todo] + other]
-                size = self.size[to[todo]]
-                todo = todo[self.rng.random(len(todo)) * size >= size - self.discount]
-            self.label[spot] = to
-            self.size[to] += 1
-            self.tables[dish] += new
+        for dish in np.array_split(self.rng.permutation(self.many), SHARES):
+            large = self.customers[dish] > EXACT
+            few, more = dish[~large], dish[large]
+            r, p = self.given(dish, self.tables)
+            drawn = self.law.draw(self.customers[few], r[~large], p[~large], self.rng)
+            if len(more):
+                own = self.customers[more], r[large], p[large]
+                start = self.tables[more] if self.opened else self.law.guess(*own)[0]
+                self.tables[more] = self.law.walk(own[0], start, *own[1:], self.rng)
+            self.tables[few] = drawn
+        self.opened = True
+
+
+@functools.cache
+def _law(discount: float) -> Law:
+    return Law(discount)
 
 
 def _sampled(seating: Seating) -> np.ndarray:
@@ -123,25 +216,26 @@ def seat_contexts(customers: np.ndarray, context: np.ndarray, parts: np.ndarray,
     """
     dishes = int(dish.max()) + 1 if len(dish) else 0
 
-    def weight(chosen: np.ndarray, tables: np.ndarray) -> np.ndarray:
+    def law(chosen: np.ndarray, tables: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         of_dish = np.bincount(dish, weights=tables, minlength=dishes)
         known = of_dish > 0
         parent = (of_dish - ROOT_DISCOUNT * known + (ROOT_STRENGTH + ROOT_DISCOUNT * known.sum()) / (dishes + 1)) / (
             ROOT_STRENGTH + of_dish.sum())
         of_context = np.bincount(context, weights=tables, minlength=len(parts)) * parts
-        return (STRENGTH + DISCOUNT * of_context[context[chosen]]) * parent[dish[chosen]]
+        return STRENGTH / DISCOUNT + of_context[context[chosen]] - tables[chosen], parent[dish[chosen]]
 
-    seating = Seating(customers, DISCOUNT, weight, rng)
+    seating = Seating(customers, DISCOUNT, law, rng)
     total = _sampled(seating)
     return total, seating.tables
 
 
 def seat_root(customers: np.ndarray, rng: np.random.Generator) -> np.ndarray:
     """Summed table counts of root dishes in one bucket; buckets are taken to be alike."""
-    def weight(chosen: np.ndarray, tables: np.ndarray) -> np.ndarray:
-        return np.full(len(chosen), (ROOT_STRENGTH + ROOT_DISCOUNT * tables.sum()) / (len(tables) + 1))
+    def law(chosen: np.ndarray, tables: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        others = ROOT_STRENGTH / ROOT_DISCOUNT + tables.sum() - tables[chosen]
+        return others, np.full(len(chosen), 1 / (len(tables) + 1))
 
-    return _sampled(Seating(customers, ROOT_DISCOUNT, weight, rng))
+    return _sampled(Seating(customers, ROOT_DISCOUNT, law, rng))
 
 
 class _Pairs:
@@ -288,7 +382,9 @@ def score_texts(docs: DataFrame, held_out: Column, id_col: str = "doc_id", text:
     Learns from the rows that are not ``held_out`` (a null flag counts as held out). Scores are log10
     probabilities; a text's tokens are its words in lower case (A-Z) and one end. Null and empty
     texts are one end. Ids must be whole numbers; null and repeated ids are rows like others. With
-    nothing to learn from, the model is uniform over one unknown word, and all scores are 0.
+    nothing to learn from, the model is uniform over one unknown word, and all scores are 0. Texts of
+    any length are read whole; a pair of words takes one count however often it occurs. Other
+    columns of ``docs`` are not read, so their names cannot clash.
     """
     chunks = C.write_chunks(docs, id_col, text, lower=True, end=True, mark=~held_out)
     total = C.word_count(chunks, True)

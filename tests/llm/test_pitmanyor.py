@@ -58,21 +58,65 @@ def test_held_out_texts_are_likelier_than_by_unigrams(spark):
     assert sum(r.score for r in got if r.held_out) > sum(r.base_score for r in got if r.held_out)
 
 
-def test_seating_keeps_customers_and_follows_the_restaurant_process():
-    rng = np.random.default_rng(3)
-    customers = rng.integers(0, 9, 3000)
-    customers[:3] = 500
-    seating = pitmanyor.Seating(customers, 0.5, lambda dish, tables: np.full(len(dish), 0.7), rng)
-    for _ in range(10):
+def partitions(n):
+    """All seatings of n customers, as lists of table sizes."""
+    found = [[1]]
+    for _ in range(n - 1):
+        found = [s[:i] + [s[i] + 1] + s[i + 1:] for s in found for i in range(len(s))] + [s + [1] for s in found]
+    return found
+
+
+def fixed(r, p):
+    return lambda dish, tables: (np.full(len(dish), float(r)), np.full(len(dish), float(p)))
+
+
+@pytest.mark.parametrize("r,p", [(2.5, 0.3), (40, 0.05), (1 / 0.6, 1)])
+def test_table_counts_of_few_customers_follow_all_seatings(r, p):
+    d, n = 0.6, 6
+    chance = np.zeros(n + 1)
+    for sizes in partitions(n):
+        opened = math.prod((r + i) * d * p for i in range(len(sizes)))
+        chance[len(sizes)] += opened * math.prod(j - d for size in sizes for j in range(1, size))
+    seating = pitmanyor.Seating(np.full(40_000, n), d, fixed(r, p), np.random.default_rng(5))
+    seating.sweep()
+    assert np.abs(np.bincount(seating.tables, minlength=n + 1) / 40_000 - chance / chance.sum()).max() < 0.015
+
+
+@pytest.mark.parametrize("customers", [100, 1_000, 10_000, 100_000])
+def test_table_counts_follow_a_plain_restaurant(customers):
+    d, strength = 0.75, 1.0  # one dish alone, so that every table serves it
+    lg = math.lgamma
+    expected = math.exp(lg(strength + customers + d) + lg(strength + 1) - lg(strength + customers)
+                        - lg(strength + d)) / d - strength / d
+    seating = pitmanyor.Seating(np.full(2_500, customers), d, fixed(strength / d, 1), np.random.default_rng(7))
+    means = []
+    for _ in range(7):
         seating.sweep()
-        for i, dish in enumerate(seating.many):
-            low, high = seating.start[i], seating.start[i] + seating.count[i]
-            assert seating.size[low:high].sum() == customers[dish] and (seating.size[low:high] > 0).sum() == seating.tables[dish]
-    # Two customers of a dish share a table with chance (1 - d) / (1 - d + weight).
-    two = pitmanyor.Seating(np.full(20_000, 2), 0.5, lambda dish, tables: np.full(len(dish), 0.7), rng)
-    for _ in range(4):
-        two.sweep()
-    assert abs((two.tables == 1).mean() - 0.5 / 1.2) < 0.02
+        means.append(seating.tables.mean())
+    assert abs(np.mean(means[pitmanyor.BURN:]) / expected - 1) < 0.03
+
+
+@pytest.mark.parametrize("d", [0.6, 0.75])
+def test_chances_of_many_customers_follow_the_recursion(d, monkeypatch):
+    law = pitmanyor.Law(d)
+    monkeypatch.setattr(pitmanyor, "EXACT", 1_000)
+    table = pitmanyor.Law(d).table
+    for c in (257, 600, 1_000):
+        t = np.unique(np.concatenate((np.arange(1, 30), np.linspace(30, c, 70).astype(int), [c - 2, c - 1])))
+        assert np.abs(law.log_chance(np.full(len(t), c), t) - table[c, t]).max() < 1e-8
+
+
+def test_a_very_frequent_pair_is_one_number():
+    rng = np.random.default_rng(9)
+    customers = np.array([10**9, 10**7, 3, 1, 1])
+    seating = pitmanyor.Seating(customers, 0.75, fixed(1_000, 0.01), rng)
+    seen = []
+    for _ in range(200):
+        seating.sweep()
+        seen.append(seating.tables.copy())
+        assert ((seating.tables >= 1) & (seating.tables <= customers)).all()
+    mean = 1 + 1_001 * 0.01 / 0.99  # of a negative binomial law, the limit for ever more customers
+    assert np.abs(np.mean(seen, 0)[:2] / mean - 1).max() < 0.06
 
 
 def test_empty_tables(spark):
