@@ -58,6 +58,19 @@ def test_held_out_texts_are_likelier_than_by_unigrams(spark):
     assert sum(r.score for r in got if r.held_out) > sum(r.base_score for r in got if r.held_out)
 
 
+def test_scores_hardly_depend_on_the_buckets(spark, monkeypatch):
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+
+    def total(keys):
+        monkeypatch.setattr(chunks, "BUCKET_KEYS", keys)
+        held = F.crc32(F.col("doc_id").cast("string").cast("binary")) % 7 == 2
+        scored = pitmanyor.score_texts(docs, held).where("held_out")
+        return scored.agg(F.sum("score") / F.sum("n_tokens")).first()[0]
+
+    one, many = total(10**9), total(30_000)
+    assert chunks.bucket_count(400_000) >= 16 and abs(many / one - 1) < 0.01
+
+
 def partitions(n):
     """All seatings of n customers, as lists of table sizes."""
     found = [[1]]
