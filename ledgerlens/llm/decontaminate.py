@@ -1,14 +1,19 @@
 """Benchmark decontamination with a broadcast hash set of the benchmark's word windows.
 
-Benchmark windows are hashed, checked in number and broadcast in slices of at most ``SLICE``
-windows, so what a task holds is bounded however large the benchmark is. Each slice is one scan of
-the documents; a hit by hash is verified by its words. Slices are merged by row.
+The distinct windows of the benchmark are hashed, checked in number and broadcast in slices of at
+most ``SLICE`` windows, so what the driver or a task holds is bounded however large the benchmark is
+and however many items share a passage. Each slice is one scan of the documents; a hit by hash is
+verified by its words. Slices are merged by row.
+
+A scan does not know items: windows of the same items carry one number, a text's finding is a list
+of such numbers, and each distinct list is joined with its items once, not once per text.
 """
 
 from __future__ import annotations
 
 from collections import defaultdict
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -17,6 +22,7 @@ from pyspark.sql import functions as F
 
 from ledgerlens.llm.tables import arrow_map, cut, free_name, slices
 from ledgerlens.llm.words import ALNUM, Words, covered, rolling, row_sums, window_starts, words_of
+from ledgerlens.operators.ordering import running_position
 
 SLICE = 1_000_000
 WINDOW = 10
@@ -44,14 +50,32 @@ def benchmark_windows(items: DataFrame, id_col: str, text: str, window: int) ->
     return arrow_map(chosen, run, "item string, size int, hash bigint, words binary")
 
 
+def _numbered(items: DataFrame, id_col: str, text: str, window: int) -> tuple[DataFrame, DataFrame]:
+    """Distinct windows (size, hash, words, set), and (set, item): windows of the same items share a set.
+
+    Items are compared by their number and two sums of 64-bit hashes. Items without an id have
+    windows but are no members.
+    """
+    each = cut(benchmark_windows(items, id_col, text, window).distinct(), "windows")
+    same = ["count", "sum", "other"]
+    name = lambda seed: F.sum(F.xxhash64("item", F.lit(seed)).cast("decimal(38,0)"))
+    windows = cut(each.groupBy("size", "words").agg(
+        F.first("hash").alias("hash"), F.count("item").alias("count"), name(1).alias("sum"), name(2).alias("other")), "named")
+    sets = cut(windows.groupBy(*same).agg(F.min(F.struct("size", "words")).alias("one")).withColumn(
+        "set", F.monotonically_increasing_id()), "sets")
+    members = sets.select("set", "one.size", "one.words").join(each, ["size", "words"]).where(
+        F.col("item").isNotNull()).select("set", "item")
+    return cut(windows.join(sets.drop("one"), same).select("size", "hash", "words", "set"), "numbered"), members
+
+
 class _Slice:
-    """Windows of one slice, by size: sorted hashes, and the items of each window's words."""
+    """Windows of one slice, by size: sorted hashes, and the set of each window's words."""
 
     def __init__(self, rows):
-        self.items: dict[bytes, set[str]] = defaultdict(set)
+        self.sets: dict[bytes, int] = {}
         by_size = defaultdict(set)
-        for item, size, hashed, words in rows:
-            self.items[bytes(words)].add(item)
+        for size, hashed, words, owner in rows:
+            self.sets[bytes(words)] = owner
             by_size[size].add(hashed)
         self.hashes = {size: np.sort(np.array(list(found), dtype=np.int64).view(np.uint64))
                        for size, found in by_size.items()}
@@ -61,10 +85,10 @@ class _Slice:
             bits[found & np.uint64((1 << 20) - 1)] = True
             self.maybe[size] = bits
 
-    def hits(self, words: Words) -> tuple[np.ndarray, dict[int, set[str]]]:
-        """Hit words of a batch, and the items found by row."""
+    def hits(self, words: Words) -> tuple[np.ndarray, dict[int, set[int]]]:
+        """Hit words of a batch, and the sets found by row."""
         hit = np.zeros(len(words.start), dtype=bool)
-        items: dict[int, set[str]] = defaultdict(set)
+        sets: dict[int, set[int]] = defaultdict(set)
         for size, found in self.hashes.items():
             rolled = rolling(words.hash, size)
             if not len(rolled):
@@ -75,16 +99,16 @@ class _Slice:
             place = place[np.isin(place, window_starts(words.first, size), assume_unique=True)] if len(place) else place
             sure = []
             for start in place.tolist():
-                named = self.items.get(words.joined(start, size))
-                if named:
+                owner = self.sets.get(words.joined(start, size))
+                if owner is not None:
                     sure.append(start)
-                    items[int(np.searchsorted(words.first, start, side="right")) - 1] |= named
+                    sets[int(np.searchsorted(words.first, start, side="right")) - 1].add(owner)
             if sure:
                 hit |= covered(len(hit), np.array(sure), size)
-        return hit, items
+        return hit, sets
 
 
-ADDED = ("_n_words", "_runs", "_items", "_all")
+ADDED = ("_n_words", "_runs", "_items", "_sets", "_all")
 
 
 def _runs(hit: np.ndarray) -> list[int]:
@@ -93,23 +117,55 @@ def _runs(hit: np.ndarray) -> list[int]:
 
 
 def _scan(docs: DataFrame, text: str, piece) -> DataFrame:
-    """``docs`` with n_words, hit runs (word bounds) and items found for one slice."""
+    """``docs`` with n_words, hit runs (word bounds) and sets found for one slice."""
     kept = docs.columns
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         found = piece.value
         for batch in slices(batches, text):
             words = words_of(batch.column(text), ALNUM, lower=True)
-            hit, items = found.hits(words)
+            hit, sets = found.hits(words)
             some = row_sums(hit, words.first) > 0
             runs = [_runs(hit[words.first[i]:words.first[i + 1]]) if some[i] else [] for i in range(len(batch))]
             yield pa.RecordBatch.from_arrays(
                 batch.columns + [pa.array(np.diff(words.first)), pa.array(runs, pa.list_(pa.int32())),
-                                 pa.array([sorted(items.get(i, ())) for i in range(len(batch))], pa.list_(pa.string()))],
-                names=kept + ["_n_words", "_runs", "_items"])
+                                 pa.array([sorted(sets.get(i, ())) for i in range(len(batch))], pa.list_(pa.int64()))],
+                names=kept + ["_n_words", "_runs", "_sets"])
 
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema)
-    return arrow_map(docs, run, f"{schema}, _n_words bigint, _runs array<int>, _items array<string>")
+    return arrow_map(docs, run, f"{schema}, _n_words bigint, _runs array<int>, _sets array<bigint>")
+
+
+def _scan_all(docs: DataFrame, windows: DataFrame, text: str) -> DataFrame:
+    """``docs`` with ``_n_words``, ``_runs`` and ``_sets`` over all slices."""
+    pieces = max(1, -(-windows.count() // SLICE))
+    context = docs.sparkSession.sparkContext
+    broadcast = lambda rows: context.broadcast(_Slice(rows.collect()))  # noqa: E731, at most SLICE windows
+    if pieces == 1:
+        return _scan(docs, text, broadcast(windows))
+    placed = cut(running_position(windows, ["hash", "size", "words"], out="at"), "placed")
+    row = free_name(docs, "_row")
+    fixed = cut(docs.withColumn(row, F.monotonically_increasing_id()), "documents")
+    parts = [cut(_scan(fixed.select(row, text), text, broadcast(placed.where(
+        (F.col("at") >= at * SLICE) & (F.col("at") < (at + 1) * SLICE)).select(windows.columns))).drop(text), "hits")
+        for at in range(pieces)]
+    merged = reduce(DataFrame.unionByName, parts).groupBy(row).agg(
+        F.max("_n_words").alias("_n_words"), F.collect_list("_runs").alias("_all"),
+        F.array_sort(F.array_distinct(F.flatten(F.collect_list("_sets")))).alias("_sets"))
+    return fixed.join(_merge_runs(merged), row).select(*docs.columns, "_n_words", "_runs", "_sets")
+
+
+def _with_items(found: DataFrame, members: DataFrame, empty: dict, **of_items) -> DataFrame:
+    """A written scan with columns made of the sorted items of each distinct list of sets."""
+    lists = found.where(F.size("_sets") > 0).select("_sets").distinct()
+    pairs = lists.select("_sets", F.explode("_sets").alias("set")).join(members, "set").select("_sets", "item").distinct()
+    known = pairs.groupBy("_sets").agg(F.array_sort(F.collect_list("item")).alias("_items")).select(
+        "_sets", *[value.alias(name) for name, value in of_items.items()])
+    columns = [c for c in found.columns if c != "_sets"]
+    hit = found.where(F.size("_sets") > 0).join(known, "_sets", "left").select(
+        *columns, *[F.coalesce(name, value).alias(name) for name, value in empty.items()])
+    clean = found.where(F.size("_sets") == 0)  # no join: these would all share one key
+    return hit.unionByName(clean.select(*columns, *[value.alias(name) for name, value in empty.items()]))
 
 
 def find_hits(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text: str = "text",
@@ -118,29 +174,12 @@ def find_hits(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text: s
 
     ``_runs`` holds the bounds of runs of hit words, ``_items`` the ids of items with windows in
     the text. Null and empty texts have no words and no hits; items without words are no windows;
-    repeated items are one. An empty benchmark hits nothing. Clashing column names raise.
+    repeated items are one; items without an id hit but are not listed. An empty benchmark hits
+    nothing. Very long texts are read whole. Clashing column names raise.
     """
-    windows = cut(benchmark_windows(items, item_id, item_text, window), "windows").withColumn(
-        "_slice", F.xxhash64("words"))
-    total = windows.count()
-    slices = max(1, -(-total // SLICE))
-    context = docs.sparkSession.sparkContext
-
-    def piece(at: int):
-        rows = windows.where(F.pmod("_slice", F.lit(slices)) == at).drop("_slice").collect()  # at most about SLICE
-        return context.broadcast(_Slice(rows))
-
-    if slices == 1:
-        return _scan(docs, text, piece(0))
-    row = free_name(docs, "_row")
-    fixed = cut(docs.withColumn(row, F.monotonically_increasing_id()), "documents")
-    parts = [cut(_scan(fixed.select(row, text), text, piece(at)).drop(text), "hits") for at in range(slices)]
-    every = parts[0]
-    for other in parts[1:]:
-        every = every.unionByName(other)
-    merged = every.groupBy(row).agg(F.max("_n_words").alias("_n_words"), F.collect_list("_runs").alias("_all"),
-                                    F.array_sort(F.array_distinct(F.flatten(F.collect_list("_items")))).alias("_items"))
-    return fixed.join(_merge_runs(merged), row).select(*docs.columns, "_n_words", "_runs", "_items")
+    windows, members = _numbered(items, item_id, item_text, window)
+    found = cut(_scan_all(docs, windows, text), "found")
+    return _with_items(found, members, {"_items": F.array().cast("array<string>")}, _items=F.col("_items"))
 
 
 def _merge_runs(df: DataFrame) -> DataFrame:
@@ -163,15 +202,18 @@ def _merge_runs(df: DataFrame) -> DataFrame:
 
 def report(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text: str = "text",
            item_id: str = "item_id", item_text: str = "text", window: int = WINDOW) -> DataFrame:
-    """(id, n_words, n_hit, n_items, items_sha256, contaminated) of every row."""
-    found = find_hits(docs.select(F.col(id_col).alias("_id"), F.col(text).alias("_text")), items,
-                      "_id", "_text", item_id, item_text, window)
+    """(id, n_words, n_hit, n_items, items_sha256, contaminated) of every row, as ``find_hits`` says."""
+    windows, members = _numbered(items, item_id, item_text, window)
+    scanned = _scan_all(docs.select(F.col(id_col).alias("_id"), F.col(text).alias("_text")), windows, "_text")
     ends = F.expr("transform(sequence(1, size(_runs) div 2), i -> _runs[2 * i - 1] - _runs[2 * i - 2])")
     hits = F.when(F.size("_runs") > 0, F.aggregate(ends, F.lit(0).cast("bigint"), lambda a, x: a + x)).otherwise(F.lit(0).cast("bigint"))
-    return found.select(
-        F.col("_id").alias(id_col), F.col("_n_words").alias("n_words"), hits.alias("n_hit"),
-        F.size("_items").cast("bigint").alias("n_items"),
-        F.sha2(F.array_join("_items", ","), 256).alias("items_sha256"), (hits > 0).alias("contaminated"))
+    found = cut(scanned.select("_id", "_n_words", hits.alias("_n_hit"), "_sets"), "found")
+    digest = lambda items: {"n_items": F.size(items).cast("bigint"),
+                            "items_sha256": F.sha2(F.array_join(items, ","), 256)}
+    named = _with_items(found, members, digest(F.array().cast("array<string>")), **digest(F.col("_items")))
+    return named.select(
+        F.col("_id").alias(id_col), F.col("_n_words").alias("n_words"), F.col("_n_hit").alias("n_hit"),
+        "n_items", "items_sha256", (F.col("_n_hit") > 0).alias("contaminated"))
 
 
 def remove_contaminated(docs: DataFrame, items: DataFrame, text: str = "text", item_id: str = "item_id",
@@ -188,7 +230,7 @@ def remove_contaminated(docs: DataFrame, items: DataFrame, text: str = "text", i
         given = docs.columns
         out = remove_contaminated(docs.withColumnsRenamed(aside), items, aside.get(text, text), item_id, item_text, window, spans)
         return out.withColumnsRenamed({new: old for old, new in aside.items()}).select(*given)
-    found = find_hits(docs, items, text=text, item_id=item_id, item_text=item_text, window=window)
+    found = _scan_all(docs, _numbered(items, item_id, item_text, window)[0], text)  # items are not asked for
     if not spans:
         return found.where(F.size("_runs") == 0).select(*docs.columns)
     columns = docs.columns

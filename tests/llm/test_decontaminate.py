@@ -60,6 +60,36 @@ def test_report_equals_brute_force(spark, tables, monkeypatch, slice_size):
     assert got == brute(docs, items)
 
 
+@pytest.mark.parametrize("slice_size", [1_000_000, 50])
+def test_a_preamble_of_many_items_is_broadcast_once(spark, monkeypatch, slice_size):
+    monkeypatch.setattr(decontaminate, "SLICE", slice_size)
+    held = []
+    built = decontaminate._Slice.__init__
+
+    def watched(self, rows):
+        held.append(len(rows))
+        built(self, rows)
+
+    monkeypatch.setattr(decontaminate._Slice, "__init__", watched)
+    shared = " ".join(f"shared{i}" for i in range(14))
+    items = [(i, f"{shared} own{i} " + " ".join(f"w{i}x{k}" for k in range(3))) for i in range(30)]
+    docs = [(1, shared), (2, "before " + shared + " after"), (3, items[7][1]), (4, "nothing of it"), (5, shared), (None, shared), (6, "x " * 30_000 + shared)]
+    bench = spark.createDataFrame(items + items[:4], "item_id long, text string")
+    df = spark.createDataFrame(docs, "doc_id long, text string")
+    got = {r.doc_id: tuple(r)[1:] for r in decontaminate.report(df, bench).collect()}
+    assert got == brute(docs, items)
+    assert sum(held) == 5 + 30 * 4 and max(held) <= slice_size  # windows of the preamble once, four per item
+
+
+def test_items_without_an_id_hit_but_are_not_listed(spark):
+    bench = spark.createDataFrame([(None, "one two three"), (1, "one two three"), (None, "four five")], "item_id long, text string")
+    df = spark.createDataFrame([(1, "see one two three"), (2, "four five")], "doc_id long, text string")
+    rows = {r.doc_id: (r.n_hit, r.n_items, r.contaminated) for r in decontaminate.report(df, bench).collect()}
+    assert rows == {1: (3, 1, True), 2: (2, 0, True)}
+    listed = {r.doc_id: r._items for r in decontaminate.find_hits(df, bench).collect()}
+    assert listed == {1: ["1"], 2: []}
+
+
 def test_removal(spark, tables):
     docs, items = tables
     bench = spark.createDataFrame(items, "item_id long, text string")
