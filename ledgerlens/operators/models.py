@@ -8,7 +8,7 @@ from dataclasses import dataclass
 import numpy as np
 import pandas as pd
 from pyspark.ml import Model
-from pyspark.ml.classification import GBTClassifier, LogisticRegression, RandomForestClassifier
+from pyspark.ml.classification import GBTClassifier, LogisticRegression
 from pyspark.ml.feature import StandardScaler, VectorAssembler
 from pyspark.ml.functions import vector_to_array
 from pyspark.sql import DataFrame
@@ -19,9 +19,11 @@ from ledgerlens.functions.hashing import stable_hash
 from ledgerlens.operators.aggregates import numeric_medians
 from ledgerlens.operators.derive import FeatureContract, labelled_only
 from ledgerlens.operators.evaluate import class_weight
+from ledgerlens.operators.forest import TreeSettings, forest_risk, grow_forest, pack_forest
 from ledgerlens.operators.graph import feature_names, neighbor_mean, node_features
 from ledgerlens.operators.ordering import exact_quantiles, running_position, top_per_group
 from ledgerlens.operators.sampling import stratified_holdout
+from ledgerlens.session import cut
 
 # Columns that are never features.
 CONTROL_COLUMNS = frozenset((
@@ -93,6 +95,7 @@ class RiskModel:
     categories: DataFrame | None
     stages: tuple[Model, ...]
     forest: IsolationForest | None = None
+    trees: tuple[dict, ...] | None = None
 
 
 def _vectors(df: DataFrame, contract: FeatureContract, categories: DataFrame | None) -> DataFrame:
@@ -162,17 +165,12 @@ def fit_gbt(train: DataFrame, valid: DataFrame, contract: FeatureContract,
     return RiskModel(f"gbt_{preset}", contract, categories, (model,))
 
 
-def fit_trees(train: DataFrame, contract: FeatureContract, trees: int = 220, depth: int = 28,
-              min_leaf: int = 4, sample: float = 0.45, seed: int = 20260511) -> RiskModel:
-    """A forest of randomised trees with balanced classes; Spark ML's trees are at most 30 deep."""
-    if depth > 30:
-        raise ValueError("depth must be at most 30")
+def fit_trees(train: DataFrame, contract: FeatureContract, key: str = "transaction_id",
+              settings: TreeSettings = TreeSettings()) -> RiskModel:
+    """Extremely randomised trees; both classes weigh the same within the sample of each tree."""
     rows, categories = _prepare(train, contract)
-    model = RandomForestClassifier(
-        featuresCol="features", weightCol="weight", numTrees=trees, maxDepth=depth,
-        minInstancesPerNode=min_leaf, subsamplingRate=sample, featureSubsetStrategy="sqrt",
-        seed=seed).fit(rows.select("features", "label", "weight"))
-    return RiskModel("trees", contract, categories, (model,))
+    rows = cut(rows.select(key, "features", "label"), "forest_rows")
+    return RiskModel("trees", contract, categories, (), trees=pack_forest(grow_forest(rows, key, settings)))
 
 
 # ---------------------------------------------------------------- isolation forest
@@ -261,6 +259,16 @@ def _add_isolation_risk(vectors: DataFrame, forest: IsolationForest, out: str) -
     return vectors.withColumn(out, risk(vector_to_array("features")))
 
 
+def _add_tree_risk(vectors: DataFrame, model: RiskModel, out: str) -> DataFrame:
+    trees = vectors.sparkSession.sparkContext.broadcast(model.trees)  # bounded by TreeSettings
+
+    @F.pandas_udf("double")
+    def risk(features: pd.Series) -> pd.Series:
+        return pd.Series(forest_risk(trees.value, np.stack(features.to_numpy())) if len(features) else [])
+
+    return vectors.withColumn(out, risk(vector_to_array("features")))
+
+
 def fit_isolation(train: DataFrame, contract: FeatureContract, key: str = "transaction_id",
                   trees: int = 240, sample: int = 512, seed: int = 20260511) -> RiskModel:
     """Isolation forest on normal rows; risk is scaled by its 1 % and 99 % quantiles.
@@ -308,6 +316,8 @@ def score_batch(model: RiskModel, df: DataFrame, out: str = "risk_score") -> Dat
         low, high = model.forest.low, model.forest.high
         risk = F.least(F.lit(1.0), F.greatest(F.lit(0.0), (F.col("_risk") - low) / (high - low)))
         return scored.withColumn(out, risk).select(*df.columns, out)
+    if model.trees is not None:
+        return _add_tree_risk(vectors, model, out).select(*df.columns, out)
     for stage in model.stages:
         vectors = stage.transform(vectors)
     return vectors.withColumn(out, F.get(vector_to_array("probability"), F.lit(1))).select(
