@@ -257,12 +257,8 @@ def flat_name(parent: str, key: str) -> str:
     return f"{parent}_{key}"
 
 
-def flatten_event(df: DataFrame, json_columns: Mapping[str, T.StructType] | None = None) -> DataFrame:
-    """Nested event columns as flat training-named columns; a later key replaces an earlier one.
-
-    ``json_columns`` declares the keys of text columns that hold a JSON object; such a column is
-    kept as text where it does not start like one.
-    """
+def flat_columns(df: DataFrame, json_columns: Mapping[str, T.StructType] | None = None) -> dict[str, Column]:
+    """Training name and expression of every column of ``df`` and of its nested columns; see ``flatten_event``."""
     json_columns = json_columns or {}
     flat: dict[str, Column] = {}
     for item in df.schema.fields:
@@ -278,7 +274,16 @@ def flatten_event(df: DataFrame, json_columns: Mapping[str, T.StructType] | None
             flat[item.name] = F.when(~F.coalesce(is_object, F.lit(False)), text)
         else:
             flat[item.name] = F.col(item.name)
-    return df.select(*[value.alias(name) for name, value in flat.items()])
+    return flat
+
+
+def flatten_event(df: DataFrame, json_columns: Mapping[str, T.StructType] | None = None) -> DataFrame:
+    """Nested event columns as flat training-named columns; a later key replaces an earlier one.
+
+    ``json_columns`` declares the keys of text columns that hold a JSON object; such a column is
+    kept as text where it does not start like one.
+    """
+    return df.select(*[value.alias(name) for name, value in flat_columns(df, json_columns).items()])
 
 
 @dataclass(frozen=True)

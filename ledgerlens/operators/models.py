@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Mapping, Sequence
 from dataclasses import dataclass
 
 import numpy as np
@@ -96,6 +96,7 @@ class RiskModel:
     stages: tuple[Model, ...]
     forest: IsolationForest | None = None
     trees: tuple[dict, ...] | None = None
+    linear: tuple[tuple[float, ...], float] | None = None
 
 
 def _vectors(df: DataFrame, contract: FeatureContract, categories: DataFrame | None) -> DataFrame:
@@ -308,6 +309,16 @@ def fit_isolation(train: DataFrame, contract: FeatureContract, key: str = "trans
                      IsolationForest(parts, size, low, high))
 
 
+def linear_model(contract: FeatureContract, weights: Mapping[str, float], intercept: float,
+                 categories: DataFrame | None = None, name: str = "linear") -> RiskModel:
+    """A logistic model with given weights of the contract's columns; a column without one counts 0."""
+    unknown = set(weights) - set(contract.feature_columns)
+    if unknown:
+        raise ValueError(f"not in the contract: {sorted(unknown)}")
+    line = tuple(float(weights.get(c, 0.0)) for c in contract.feature_columns)
+    return RiskModel(name, contract, categories, (), linear=(line, float(intercept)))
+
+
 def score_batch(model: RiskModel, df: DataFrame, out: str = "risk_score") -> DataFrame:
     """``df`` with the model's fraud probability."""
     vectors = _vectors(df, model.contract, model.categories)
@@ -316,6 +327,11 @@ def score_batch(model: RiskModel, df: DataFrame, out: str = "risk_score") -> Dat
         low, high = model.forest.low, model.forest.high
         risk = F.least(F.lit(1.0), F.greatest(F.lit(0.0), (F.col("_risk") - low) / (high - low)))
         return scored.withColumn(out, risk).select(*df.columns, out)
+    if model.linear is not None:
+        x = vector_to_array("features")
+        weights, intercept = model.linear
+        total = sum((F.get(x, F.lit(i)) * F.lit(w) for i, w in enumerate(weights)), F.lit(intercept))
+        return vectors.withColumn(out, 1 / (1 + F.exp(-total))).select(*df.columns, out)
     if model.trees is not None:
         return _add_tree_risk(vectors, model, out).select(*df.columns, out)
     for stage in model.stages:

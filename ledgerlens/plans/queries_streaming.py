@@ -9,11 +9,17 @@ from pyspark.sql import types as ST
 from ledgerlens import schema as S
 from ledgerlens.functions.scalar import epoch_micros
 from ledgerlens.operators import windows as W
+from ledgerlens.operators.aggregates import entity_degree
+from ledgerlens.operators.derive import FeatureContract, Thresholds
+from ledgerlens.operators.graph import tx_edges
+from ledgerlens.operators.models import linear_model
 from ledgerlens.operators.ordering import running_position
-from ledgerlens.operators.profiles import device_profile
+from ledgerlens.operators.profiles import all_profiles, device_profile
 from ledgerlens.plans.queries_order import window_sql
+from ledgerlens.plans.queries_rings import WITH_EDGES
 from ledgerlens.plans.registry import WITH_D, WITH_TX, d, query, rounded, sql_hash, tx
 from ledgerlens.session import cut, scratch_path
+from ledgerlens.sources import model_store as M
 from ledgerlens.sources.tables import source_stream_events
 from ledgerlens.streaming import events as V
 from ledgerlens.streaming import scoring as Z
@@ -184,6 +190,76 @@ def _worker(spark, sf):
     return risk.select("key", "transaction_id", (F.col("risk_level") == "high").alias("alert"))
 
 
+# Weights, intercept and thresholds of the two published versions; fills of the contract.
+SERVED = {
+    "1": ({"amount": 0.01, "txn_count": -0.03, "txn_count_device": 0.04, "txn_count_ip": 0.02,
+           "txn_count_merchant": -0.01, "payer_graph_degree": 0.005}, -1.0, (0.5, 0.8)),
+    "2": ({"amount": 0.004, "txn_count": 0.02, "txn_count_device": -0.05, "txn_count_ip": 0.03,
+           "txn_count_merchant": 0.01, "payer_graph_degree": -0.004}, 0.5, (0.4, 0.7)),
+}
+SERVED_FILLS = {"amount": 0.0, "txn_count": 1.0, "txn_count_device": 2.0, "txn_count_ip": 3.0,
+                "txn_count_merchant": 4.0, "payer_graph_degree": 0.0}
+
+
+def _served_sql(version: str) -> str:
+    weights, intercept, (medium, high) = SERVED[version]
+    total = " + ".join(f"{w} * coalesce(CAST({c} AS DOUBLE), {SERVED_FILLS[c]})" for c, w in weights.items())
+    kept = "TRUE" if version == "1" else "split = 'train'"
+    count = lambda key: f"(SELECT {key}, count(*) AS n FROM d WHERE {kept} GROUP BY {key})"
+    return f"""SELECT transaction_id, '{version}' AS model_version, 1 / (1 + exp(-({intercept} + {total})))
+    AS risk_score, {medium} AS medium, {high} AS high
+FROM (SELECT t.transaction_id, t.amount, p.n AS txn_count, v.n AS txn_count_device, i.n AS txn_count_ip,
+        m.n AS txn_count_merchant, g.n AS payer_graph_degree
+    FROM placed AS t LEFT JOIN (SELECT id, count(*) AS n FROM (SELECT payer_id AS id FROM d WHERE {kept}
+        UNION ALL SELECT payee_id FROM d WHERE {kept} AND merchant_id IS NULL) AS u GROUP BY id) AS p
+        ON t.payer_id = p.id
+    LEFT JOIN {count('device_id')} AS v ON t.device_id = v.device_id
+    LEFT JOIN {count('ip_id')} AS i ON t.ip_id = i.ip_id
+    LEFT JOIN {count('merchant_id')} AS m ON t.merchant_id = m.merchant_id
+    LEFT JOIN (SELECT entity_id, count(*) AS n FROM (SELECT src_id AS entity_id FROM edges
+        UNION ALL SELECT dst_id FROM edges) AS e GROUP BY entity_id) AS g ON t.payer_id = g.entity_id
+    WHERE t.span {'= 0' if version == '1' else '> 0'}) AS f"""
+
+
+@query("st_score_published", WITH_EDGES + f""", placed AS (SELECT *, floor((epoch_us(timestamp)
+    - min(epoch_us(timestamp)) OVER ()) * 3.0 / (max(epoch_us(timestamp)) OVER () - min(epoch_us(timestamp))
+    OVER () + 1)) AS span FROM d)
+SELECT transaction_id, model_version, round(risk_score, 6) AS risk_score,
+    CASE WHEN risk_score >= high THEN 'high' WHEN risk_score >= medium THEN 'medium' ELSE 'low' END AS risk_level,
+    CASE WHEN risk_score >= high THEN 'reject' WHEN risk_score >= medium THEN 'review' ELSE 'pass' END AS decision
+FROM ({_served_sql('1')} UNION ALL {_served_sql('2')}) AS s""")
+def _score_published(spark, sf):
+    """Stored models with four profiles and graph features; a second version, with other snapshots, is
+    published after the first of three micro-batches."""
+    base = cut(d(spark, sf), "log")
+    folder, out, checkpoint = (scratch_path(spark, n) for n in ("served", "routed", "checkpoint"))
+    contract = FeatureContract(tuple(SERVED_FILLS), (), SERVED_FILLS)
+    degrees = entity_degree(tx_edges(base))
+
+    def put_in_force(version: str, rows: DataFrame) -> None:
+        weights, intercept, cuts = SERVED[version]
+        M.save_model(spark, linear_model(contract, weights, intercept), folder, version)
+        tables = {}
+        for kind, table in (all_profiles(rows) | {"entities": degrees}).items():
+            tables[kind] = f"{folder}/snapshots/{version}/{kind}"
+            table.write.parquet(tables[kind])
+        M.publish(spark, folder, M.Publication("linear", version, Thresholds(*cuts), tables))
+
+    put_in_force("1", base)
+    score = Z.published_scorer(spark, folder)
+
+    def handle(batch: DataFrame, batch_id: int) -> None:
+        Z.route(score(batch), out, batch_id)
+        if batch_id == 0:
+            put_in_force("2", base.where(F.col("split") == "train"))
+
+    stream = parsed(spark, sf, batches=3).withColumn("is_late_event", F.lit(False))
+    (stream.writeStream.foreachBatch(handle).option("checkpointLocation", checkpoint)
+     .trigger(availableNow=True).start().awaitTermination())
+    return rounded(spark.read.parquet(f"{out}/risk_results").select(
+        "transaction_id", "model_version", "risk_score", "risk_level", "decision"), "risk_score")
+
+
 @query("sink_feedback_append", WITH_TX + """
 SELECT transaction_id, CAST(k % 2 AS INT) AS reviewed_is_fraud FROM tx WHERE k % 6 = 0""")
 def _feedback(spark, sf):

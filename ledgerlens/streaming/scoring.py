@@ -4,11 +4,13 @@ from __future__ import annotations
 
 from collections.abc import Callable, Mapping
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ledgerlens.operators.derive import Thresholds, reason_codes, risk_decision
+from ledgerlens.operators.derive import Thresholds, flat_columns, reason_codes, risk_decision
 from ledgerlens.operators.joins import PROFILE_JOINS, graph_feature_plan, lookup
+from ledgerlens.operators.models import RiskModel, score_batch
+from ledgerlens.sources import model_store as M
 from ledgerlens.streaming.windows import join_back, window_state
 
 
@@ -53,6 +55,37 @@ def score_events(enriched: DataFrame, model: Callable[[DataFrame], DataFrame], m
     })
 
 
+def score_nested(model: RiskModel, enriched: DataFrame, json_columns: Mapping | None = None) -> DataFrame:
+    """Enriched events with the model's ``risk_score``; nested values are read by their training names."""
+    flat = flat_columns(enriched, json_columns)
+    known = [flat[c].alias(c) for c in model.contract.feature_columns if c in flat]
+    wide = enriched.select(F.struct("*").alias("_event"), *known)
+    return score_batch(model, wide).select("_event.*", "risk_score")
+
+
+def published_scorer(spark: SparkSession, folder: str,
+                     json_columns: Mapping | None = None) -> Callable[[DataFrame], DataFrame]:
+    """Scores a micro-batch by what is published in ``folder`` when the batch begins.
+
+    The publication is read anew for each batch; a model is loaded once per version. Profiles and graph
+    features come from the snapshots of the same publication, so a score never mixes two of them.
+    """
+    loaded: dict[tuple[str, str], RiskModel] = {}
+
+    def score(batch: DataFrame) -> DataFrame:
+        now = M.published(spark, folder)
+        version = now.model_name, now.model_version
+        if version not in loaded:
+            loaded.clear()
+            loaded[version] = M.load_model(spark, folder, *version)
+        profiles, entities = M.snapshots(spark, now)
+        enriched = enrich_stream_profiles(batch, profiles, entities)
+        return score_events(enriched, lambda df: score_nested(loaded[version], df, json_columns), *version,
+                            thresholds=now.thresholds)
+
+    return score
+
+
 def route(scored: DataFrame, folder: str, batch_id: int) -> None:
     """One micro-batch to the risk, alert and late tables.
 
