@@ -33,3 +33,25 @@ def test_a_frequent_category_is_not_shuffled(table, monkeypatch, few):
     expected = {r["transaction_id"]: float(values.index(r["kind"])) if r["kind"] in values else -1.0
                 for r in table.collect()}
     assert {r["transaction_id"]: r["kind"] for r in out.collect()} == expected
+
+
+def test_path_lengths_equal_a_plain_walk():
+    rng = np.random.default_rng(4)
+    x = rng.normal(size=(300, 5)).round(1)
+    x[::7, 2] = np.nan
+    for sample in (x[1:2], np.ones((9, 5)), rng.normal(size=(200, 5)).round(1)):
+        tree = L.grow_tree(sample, 3)
+        expected = []
+        for row in x:
+            at = 0
+            while tree["feature"][at] >= 0:
+                at = tree["left" if row[tree["feature"][at]] < tree["threshold"][at] else "right"][at]
+            expected.append(tree["depth"][at])
+        assert L.path_lengths(tree, x).tolist() == expected
+    assert L.path_lengths(tree, x[:0]).tolist() == []
+
+
+def test_values_next_to_each_other_are_split():
+    x = np.array([[1.0], [np.nextafter(1.0, 2)]] * 3)
+    for seed in range(20):  # some draws are the least value itself
+        assert L.grow_tree(x, seed)["feature"][0] == 0
