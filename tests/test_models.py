@@ -55,3 +55,14 @@ def test_values_next_to_each_other_are_split():
     x = np.array([[1.0], [np.nextafter(1.0, 2)]] * 3)
     for seed in range(20):  # some draws are the least value itself
         assert L.grow_tree(x, seed)["feature"][0] == 0
+
+
+def test_each_step_of_the_node_model_is_written_once(spark, monkeypatch):
+    written, cut = [], L.cut
+    monkeypatch.setattr(L, "cut", lambda df, tag="table": (written.append(tag), cut(df, tag))[1])
+    edges = spark.createDataFrame(
+        [(f"u{i % 9}", f"d{i % 7}", "user", "device", "uses_device", int(i % 9 < 3)) for i in range(60)],
+        "src_id string, dst_id string, src_type string, dst_type string, edge_type string, label int")
+    scores = L.node_risk_model(edges).collect()
+    assert len(scores) == 16 and all(0 <= r["node_risk_score"] <= 1 for r in scores)
+    assert sorted(written) == ["hop", "hop2", "nodes", "parted"]
