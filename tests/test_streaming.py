@@ -4,12 +4,14 @@ import datetime as dt
 import json
 import random
 
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
 from ledgerlens.operators import windows as W
 from ledgerlens.plans.queries_streaming import EVENT, collected
 from ledgerlens.sources.tables import source_stream_events
+from ledgerlens.streaming import bundles
 from ledgerlens.streaming import events as V
 from ledgerlens.streaming import scoring as Z
 from ledgerlens.streaming import windows as K
@@ -165,3 +167,132 @@ def test_blocks_of_a_hot_entity_equal_plain_queues(spark, tmp_path, monkeypatch,
     got = by_state(spark, tmp_path / "in", [events[i:i + 120] for i in range(0, 600, 120)])
     for name, expected in queue_brute(events).items():
         assert tuple(got[name]) == pytest.approx(expected), name
+
+
+class Kept:
+    """State in a dictionary that counts the requests."""
+
+    def __init__(self, owner):
+        self.values, self.owner = {}, owner
+
+    def _at(self, key):
+        self.owner.requests += 1
+        return self.values, key
+
+    def containsKey(self, key):
+        values, key = self._at(key)
+        return key in values
+
+    def getValue(self, key):
+        values, key = self._at(key)
+        return values[key]
+
+    def updateValue(self, key, value):
+        values, key = self._at(key)
+        values[key] = value
+
+    def removeKey(self, key):
+        values, key = self._at(key)
+        del values[key]
+
+
+class Handle:
+    requests = 0
+
+    def getMapState(self, *_):
+        return Kept(self)
+
+
+SECOND = 1_000_000
+
+
+def bucket_figures(batches, kind="user", bucket=0):
+    """Figures by offset of rows (offset, entity, own, other, seconds, amount), and the state requests of each batch."""
+    processor, handle, out, requests = K._Windows(), Handle(), {}, []
+    processor.init(handle)
+    for batch in batches:
+        names = ("offset", "entity", "own", "other", "us", "amount")
+        table = pa.table({n: [r[i] * SECOND if n == "us" else r[i] for r in batch] for i, n in enumerate(names)} | {
+            "event_json": pa.array([None] * len(batch), pa.string()), "partition": [0] * len(batch), "arrived": [r[0] for r in batch]})
+        shuffled = table.take(random.Random(1).sample(range(len(batch)), len(batch)))
+        before = handle.requests
+        for r in bundles.read(processor.handleInputRows((kind, bucket), bundles.written(shuffled), None)).to_pylist():
+            out[r["offset"]] = tuple(r[c] for c in ("n", "total", "others", "n_short", "total_short"))
+        requests.append(handle.requests - before)
+    return out, requests
+
+
+def plain_figures(batches, span=3600):
+    out, queues = {}, {}
+    for offset, entity, own, other, at, amount in [r for b in batches for r in b]:
+        queue = queues.setdefault(entity, [])
+        if own:
+            queue.append((at, amount, other))
+        while queue and at - queue[0][0] > span:
+            queue.pop(0)
+        near = [q for q in queue if at - q[0] <= K.SHORT_SECONDS]
+        out[offset] = (len(queue), sum(q[1] for q in queue), len({q[2] for q in queue if q[2]}), len(near), sum(q[1] for q in near))
+    return out
+
+
+@pytest.mark.parametrize("late", [0, 5000])
+@pytest.mark.parametrize("block", [512, 8])
+@pytest.mark.parametrize("missing", [False, True])
+def test_a_bucket_of_entities_equals_plain_queues(monkeypatch, block, late, missing):
+    monkeypatch.setattr(K, "BLOCK", block)
+    monkeypatch.setattr(K, "PAGES", 5)
+    monkeypatch.setattr(K, "PAIRS", 64)
+    rng, clock, rows = random.Random(late + block), 0, []
+    for i in range(1500):
+        clock += rng.choice([0, 1, 20, 60]) + (9000 if i in (600, 1100) else 0)
+        entity = "" if missing else "hot" if rng.random() < 0.5 else f"u{rng.randrange(90)}"
+        rows.append((i, entity, not missing or rng.random() < 0.4, rng.choice([None, "", *[f"p{k}" for k in range(20)]]),
+                     clock - rng.choice([0, late]), round(rng.random() * 9, 2)))
+    batches = [rows[i:i + 300] for i in range(0, 1500, 300)]
+    got, _ = bucket_figures(batches, bucket=-1 if missing else 3)
+    for offset, expected in plain_figures(batches).items():
+        assert got[offset] == pytest.approx(expected), offset
+
+
+def test_state_requests_do_not_grow_with_the_entities():
+    batches = [[(b * 3000 + i, f"u{i}", True, f"p{i % 7}", b * 1000 + i, 1.0) for i in range(3000)] for b in range(3)]
+    got, requests = bucket_figures(batches)
+    assert got == plain_figures(batches)
+    assert max(requests) <= 3 * K.SHELVES  # it was two and more for each entity
+
+
+def test_one_huge_amount_stays_with_its_entity():
+    batches = [[(0, "a", True, "p", 0, 1e300), (1, "b", True, "p", 0, 0.1), (2, "b", True, "p", 1, 0.2)]]
+    got, _ = bucket_figures(batches)
+    assert got[2] == pytest.approx((2, 0.3, 1, 2, 0.3))
+
+
+def test_bundles_keep_every_row(spark, monkeypatch):
+    rows = spark.range(40_000).selectExpr("IF(id % 3 = 0, NULL, id % 3) AS k", "'x' AS kind", "id",
+                                          "IF(id % 5 = 0, NULL, CAST(id AS STRING)) AS name")
+    packed = bundles.bundled(rows, "kind", "k")
+    assert packed.columns == ["kind", "k", "rows"] and packed.count() < 200
+    back = bundles.opened(packed, rows.drop("k", "kind").schema)
+    assert back.count() == 40_000 and back.exceptAll(rows.drop("k", "kind")).isEmpty()
+
+
+def test_late_flags_do_not_depend_on_the_order_of_bundles():
+    class Value:
+        held = None
+        exists = lambda self: self.held is not None
+        get = lambda self: self.held
+
+        def update(self, value):
+            self.held = value
+
+    class Top:
+        getValueState = lambda self, *_: Value()
+
+    tagger = V._LateTagger(60 * SECOND)
+    tagger.init(Top())
+    late = {}
+    for batch in ([(1, 40), (0, 100), (2, 39)], [(5, 39), (3, 200), (4, None), (6, 140)]):
+        frames = [f for o, s in batch for f in bundles.written(pa.table({
+            "offset": [o], "event_us": pa.array([s and s * SECOND], pa.int64())}))]
+        late |= {r["offset"]: r["is_late_event"] for r in bundles.read(tagger.handleInputRows((0,), iter(frames), None)).to_pylist()}
+    assert late == {0: False, 1: False, 2: True, 3: False, 4: False, 5: True, 6: False}
