@@ -4,7 +4,9 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -16,6 +18,7 @@ from ledgerlens.functions.scalar import add_micros, epoch_micros
 from ledgerlens.operators.derive import ts_coerce
 from ledgerlens.operators.ordering import running_totals
 from ledgerlens.session import cut
+from ledgerlens.streaming import bundles
 
 ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 MARKER = "__flush"  # key of a control message
@@ -66,15 +69,18 @@ class _LateTagger(StatefulProcessor):
         self.top = handle.getValueState("top", "us long")
 
     def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
-        batch = pd.concat(list(rows), ignore_index=True).sort_values("offset", kind="stable")
+        batch = bundles.read(rows)
+        order = np.argsort(batch["offset"].to_numpy(), kind="stable")
+        us = pd.Series(batch["event_us"].to_numpy()[order])
         seen = self.top.get()[0] if self.top.exists() else None
-        high = batch["event_us"].cummax().ffill()  # an event without a time is not late
+        high = us.cummax().ffill()  # an event without a time is not late
         if seen is not None:
             high = high.fillna(seen).clip(lower=seen)
         if high.notna().iloc[-1]:
             self.top.update((int(high.iloc[-1]),))
-        batch["is_late_event"] = (batch["event_us"] < high - self.allowed_us).astype(bool)
-        yield batch
+        late = np.empty(len(us), dtype=bool)
+        late[order] = us < high - self.allowed_us
+        yield from bundles.written(batch.append_column("is_late_event", pa.array(late)))
 
     def close(self) -> None:
         pass
@@ -93,10 +99,12 @@ def late_tag(events: DataFrame, allowed_seconds: int = 60, consumer: str = "part
     """
     timed = events.withColumn("event_us", epoch_micros("timestamp"))
     out = T.StructType([*timed.schema.fields, T.StructField("is_late_event", T.BooleanType())])
-    return (timed.groupBy(consumer).transformWithStateInPandas(
-        statefulProcessor=_LateTagger(allowed_seconds * 1_000_000), outputStructType=out,
-        outputMode="Append", timeMode="None")
-        .withColumn("event_time_unix", F.col("event_us") / 1e6))
+    tagged = (bundles.bundled(timed.withColumn("_consumer", F.col(consumer)), "_consumer")
+              .groupBy("_consumer").transformWithStateInPandas(
+        statefulProcessor=_LateTagger(allowed_seconds * 1_000_000), outputStructType="rows binary",
+        outputMode="Append", timeMode="None"))
+    spread = tagged.repartition(F.xxhash64("rows"))  # few consumers, but what follows needs all tasks
+    return bundles.opened(spread, out).withColumn("event_time_unix", F.col("event_us") / 1e6)
 
 
 def replay(df: DataFrame, path: str, chunks: int = 4, consumers: int = 8,
