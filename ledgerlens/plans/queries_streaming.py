@@ -234,7 +234,7 @@ def _score_published(spark, sf):
     base = cut(d(spark, sf), "log")
     folder, out, checkpoint = (scratch_path(spark, n) for n in ("served", "routed", "checkpoint"))
     contract = FeatureContract(tuple(SERVED_FILLS), (), SERVED_FILLS)
-    degrees = entity_degree(tx_edges(base))
+    degrees = cut(entity_degree(tx_edges(base)), "degrees")  # the same for both versions
 
     def put_in_force(version: str, rows: DataFrame) -> None:
         weights, intercept, cuts = SERVED[version]
