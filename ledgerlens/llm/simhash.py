@@ -235,11 +235,27 @@ def _between(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                                    pa.array(np.repeat(prints, len(masks)).view(np.int64))], names=["mid", "p0"])
 
 
+def _owned(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Task: (smallest owner, owner) of each value of two or more; rows come sorted by value and owner."""
+    mid, low = None, 0
+    for batch in batches:
+        if not len(batch):
+            continue
+        mids, prints = (batch.column(c).to_numpy() for c in ("mid", "p0"))
+        first = np.concatenate(([mids[0] != mid], mids[1:] != mids[:-1]))
+        lows = np.concatenate(([low], prints[first]))[np.cumsum(first)]
+        mid, low = mids[-1], lows[-1]
+        linked = ~first
+        yield pa.record_batch([pa.array(lows[linked]), pa.array(prints[linked])], names=["low", "p0"])
+
+
 def _far_links(far: DataFrame) -> DataFrame:
-    """Links among the fingerprints of large buckets, through the values between them."""
-    mids = arrow_map(far, _between, "mid bigint, p0 bigint")
-    owner = mids.groupBy("mid").agg(F.min("p0").alias("low"))
-    return mids.join(owner, "mid").where("p0 != low").select("low", "p0").distinct()
+    """Links among the fingerprints of large buckets, through the values between them.
+
+    Values are sorted, not joined: their number is not known to the planner, which would send them to the driver.
+    """
+    mids = arrow_map(far, _between, "mid bigint, p0 bigint").repartition("mid").sortWithinPartitions("mid", "p0")
+    return arrow_map(mids, _owned, "low bigint, p0 bigint").distinct()
 
 
 def _spanning(width: int):

@@ -126,3 +126,26 @@ def test_keep_one_of_each_group(spark):
 def test_empty_table(spark):
     empty = spark.createDataFrame([], "doc_id long, text string")
     assert simhash.near_duplicates(empty).count() == 0 and simhash.keep_one(empty).count() == 0
+
+
+def test_values_between_large_buckets_do_not_pass_the_driver(spark):
+    """Each fingerprint makes 2,081 values, which the planner does not know: it must not broadcast them."""
+    prints = [(i * 7919 % 4096) << 40 for i in range(300)]
+    far = spark.createDataFrame([(p,) for p in prints], "p0 bigint").repartition(3)
+    links = simhash._far_links(far)
+    assert "Broadcast" not in links._jdf.queryExecution().executedPlan().toString()
+    parent = {p: p for p in prints}
+
+    def root(x):
+        while parent[x] != x:
+            x = parent[x]
+        return x
+
+    for a, b in links.collect():
+        assert a < b and (a ^ b).bit_count() <= 4
+        parent[root(a)] = root(b)
+    groups = {p: root(p) for p in prints}
+    assert len(set(groups.values())) < len(prints)
+    for a in prints:
+        for b in prints:
+            assert (a ^ b).bit_count() > 4 or groups[a] == groups[b]
