@@ -18,7 +18,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ledgerlens.operators.derive import FeatureContract, Thresholds
-from ledgerlens.operators.models import IsolationForest, RiskModel
+from ledgerlens.operators.forest import TREE_KINDS
+from ledgerlens.operators.models import ISOLATION_KINDS, IsolationForest, RiskModel
 
 _STAGES = {c.__name__: c for c in (StandardScalerModel, LogisticRegressionModel, GBTClassificationModel)}
 _ARRAYS = "tree int, name string, kind string, data binary"
@@ -37,11 +38,12 @@ def save_model(spark: SparkSession, model: RiskModel, folder: str, version: str)
         model.categories.write.parquet(f"{path}/categories")
     for i, stage in enumerate(model.stages):
         stage.save(f"{path}/stage-{i}")
-    trees = model.trees if model.trees is not None else model.forest.trees if model.forest else None
-    if trees is not None:  # bounded by the settings of the forest
-        rows = [(i, name, np.asarray(a).dtype.str, np.asarray(a).tobytes())
-                for i, tree in enumerate(trees) for name, a in tree.items()]
-        spark.createDataFrame(rows, _ARRAYS).write.parquet(f"{path}/trees")
+    trees, kinds = (model.trees, TREE_KINDS) if model.trees is not None else (
+        (model.forest.trees, ISOLATION_KINDS) if model.forest else (None, {}))
+    if trees is not None:
+        arrays = F.array(*[F.struct(F.lit(c).alias("name"), F.lit(np.dtype(kind).str).alias("kind"), F.col(c).alias("data"))
+                           for c, kind in kinds.items()])
+        trees.select("tree", F.explode(arrays).alias("_a")).select("tree", "_a.*").write.parquet(f"{path}/trees")
     config = {
         "name": model.name, "version": version, "contract": model.contract.to_dict(),
         "categories": model.categories is not None, "stages": [type(s).__name__ for s in model.stages],
@@ -58,18 +60,21 @@ def load_model(spark: SparkSession, folder: str, name: str, version: str) -> Ris
     unknown = [s for s in config["stages"] if s not in _STAGES]
     if unknown:
         raise ValueError(f"unknown stages {unknown}")
-    trees: dict[int, dict] = {}
+    trees = None
     if config["trees"] or config["forest"]:
-        for r in spark.read.schema(_ARRAYS).parquet(f"{path}/trees").orderBy("tree").collect():
-            trees.setdefault(r["tree"], {})[r["name"]] = np.frombuffer(r["data"], np.dtype(r["kind"]))
-    arrays = tuple(trees.values())
+        kinds = TREE_KINDS if config["trees"] else ISOLATION_KINDS
+        known = [(c, np.dtype(kind).str) for c, kind in kinds.items()]
+        stored = spark.read.schema(_ARRAYS).parquet(f"{path}/trees")
+        if others := [r for r in stored.select("name", "kind").distinct().collect() if tuple(r) not in known]:
+            raise ValueError(f"unknown arrays {others}")
+        trees = stored.groupBy("tree").agg(*[F.max(F.when(F.col("name") == c, F.col("data"))).alias(c) for c in kinds])
     size, low, high = config["forest"] or (0, 0.0, 1.0)
     return RiskModel(
         config["name"], FeatureContract.from_dict(config["contract"]),
         spark.read.parquet(f"{path}/categories") if config["categories"] else None,
         tuple(_STAGES[s].load(f"{path}/stage-{i}") for i, s in enumerate(config["stages"])),
-        forest=IsolationForest(arrays, size, low, high) if config["forest"] else None,
-        trees=arrays if config["trees"] else None,
+        forest=IsolationForest(trees, size, low, high) if config["forest"] else None,
+        trees=trees if config["trees"] else None,
         linear=(tuple(config["linear"][0]), config["linear"][1]) if config["linear"] else None)
 
 

@@ -66,3 +66,64 @@ def test_each_step_of_the_node_model_is_written_once(spark, monkeypatch):
     scores = L.node_risk_model(edges).collect()
     assert len(scores) == 16 and all(0 <= r["node_risk_score"] <= 1 for r in scores)
     assert sorted(written) == ["hop", "hop2", "nodes", "parted"]
+
+
+def _isolation_rows(spark, n):
+    rng = np.random.default_rng(n)
+    rows = [(f"t{i}", int(i % 10 == 0), *map(float, rng.normal(size=4) + 4 * (i % 10 == 0))) for i in range(n)]
+    return spark.createDataFrame(rows, "transaction_id string, is_fraud int, a double, b double, c double, d double")
+
+
+def test_isolation_trees_take_their_sample_of_all_normal_rows(spark):
+    """A tree takes all rows up to its sample, and of more rows about as many, drawn by itself."""
+    rows = _isolation_rows(spark, 4000)
+    contract = L.select_features(rows)
+    for sample, least, most in ((100_000, 3600, 3600), (1800, 1650, 1950)):
+        model = L.fit_isolation(rows, contract, trees=6, sample=sample)
+        sizes = [r["size"] for r in model.forest.trees.select("size").collect()]
+        assert len(sizes) == 6 and least <= min(sizes) and max(sizes) <= most
+        scores = L.score_batch(model, rows).groupBy("is_fraud").agg(F.avg("risk_score").alias("m")).collect()
+        means = {r["is_fraud"]: r["m"] for r in scores}
+        assert means[1] > means[0] + 0.2
+
+
+def test_groups_of_trees_change_no_score(spark, monkeypatch):
+    from ledgerlens.operators import forest as R
+
+    rows = _isolation_rows(spark, 600)
+    contract = L.select_features(rows)
+    fits = (lambda: L.fit_isolation(rows, contract, trees=7),
+            lambda: L.fit_trees(rows, contract, settings=R.TreeSettings(trees=7)))
+    for fit in fits:
+        found = []
+        for shuffled, group in ((2 << 30, 64 << 20), (30_000, 3000)):
+            monkeypatch.setattr(L, "PICKED_BYTES", shuffled)
+            monkeypatch.setattr(R, "GROUP_BYTES", group)
+            scores = L.score_batch(fit(), rows).select("transaction_id", "risk_score").collect()
+            found.append({r["transaction_id"]: r["risk_score"] for r in scores})
+        assert len(found[0]) == 600 and found[0] == pytest.approx(found[1], abs=1e-9)
+
+
+def test_isolation_trees_follow_the_plain_rules():
+    """Every inner node parts its rows within their range, and a leaf has the depth of its level and rows."""
+    rng = np.random.default_rng(6)
+    x = rng.normal(size=(500, 3)).round(1).astype(np.float32)
+    x[::50, 1] = np.inf
+    tree = L.grow_tree(x, 5)
+    seen = []
+
+    def visit(at, rows, level):
+        seen.append(at)
+        low, high = x[rows].min(0), x[rows].max(0)
+        f = tree["feature"][at]
+        if f < 0:
+            assert level == 9 or len(rows) == 1 or (low == high).all()
+            assert tree["depth"][at] == pytest.approx(level + float(L._path_rest(len(rows))))
+            return
+        below = x[rows, f] < tree["threshold"][at]
+        assert low[f] < high[f] and 0 < below.sum() < len(rows)
+        visit(tree["left"][at], rows[below], level + 1)
+        visit(tree["right"][at], rows[~below], level + 1)
+
+    visit(0, np.arange(500), 0)
+    assert sorted(seen) == list(range(len(tree["feature"])))
