@@ -18,7 +18,7 @@ from ledgerlens.operators.profiles import all_profiles, device_profile
 from ledgerlens.plans.queries_order import window_sql
 from ledgerlens.plans.queries_rings import WITH_EDGES
 from ledgerlens.plans.registry import WITH_D, WITH_TX, d, query, rounded, sql_hash, tx
-from ledgerlens.session import cut, scratch_path
+from ledgerlens.session import LEAN, cut, drop, remove, scratch_path, settings, settled
 from ledgerlens.sources import model_store as M
 from ledgerlens.sources.tables import source_stream_events
 from ledgerlens.streaming import events as V
@@ -34,32 +34,48 @@ _ALL = [f for group in W.BY_KEY.values() for f in group]
 _SUMS = [W.PREFIX + f.name for f in _ALL if f.kind == "sum"]
 
 
+BATCH_ROWS = 2_000_000  # messages of a micro-batch, about
+
+
 def messages(spark, sf, late: bool = False, marker_every: int | None = None, batches: int = 1) -> str:
     """The transactions as message files in arrival order; returns the folder.
 
-    They are written in ``batches`` spans of arrival time, one after another, with ``CONSUMERS`` files each.
+    They are written in ``batches`` spans of arrival time, one after another, with ``CONSUMERS`` files each;
+    in more spans if these would hold more than ``BATCH_ROWS`` messages on average.
     """
     base = d(spark, sf)
     delay = F.make_dt_interval(secs=F.when(F.col("k") % 4 == 0, 120).otherwise(0))
     arrives = F.col("timestamp") + delay if late else F.col("timestamp")
-    placed = running_position(
-        base.select(*_EVENTS, "event_id", "k", arrives.alias("arrived"),
-                    V.consumer_of("payer_id", CONSUMERS).alias("partition")),
-        ["arrived", "event_id"], ["partition"], out="offset")
     text = F.to_json(F.struct(*_EVENTS), {
         "ignoreNullFields": "false", "timestampNTZFormat": "yyyy-MM-dd'T'HH:mm:ss.SSSSSS"})
     if marker_every:
         text = F.when(F.col("offset") % marker_every == 0, F.lit('{"__flush": true}')).when(
             F.col("offset") % marker_every == 1, F.lit("not json")).otherwise(text)
     path = scratch_path(spark, "messages")
-    lines = placed.select(text.alias("value"), "partition", "offset", "arrived")
-    if batches > 1:
-        lines = cut(lines, "messages")
-        ends = lines.agg(F.min(epoch_micros("arrived")).alias("low"), F.max(epoch_micros("arrived")).alias("high")).first()
-        span = F.floor((epoch_micros("arrived") - F.lit(ends.low)) * batches / F.lit(ends.high - ends.low + 1))
-    for i in range(batches):
-        part = lines if batches == 1 else lines.where(span == i).repartition(CONSUMERS)
-        part.write.mode("append").option("timestampNTZFormat", "yyyy-MM-dd'T'HH:mm:ss.SSSSSS").json(path)
+
+    def lines() -> DataFrame:
+        placed = running_position(
+            base.select(*_EVENTS, "event_id", "k", arrives.alias("arrived"),
+                        V.consumer_of("payer_id", CONSUMERS).alias("partition")),
+            ["arrived", "event_id"], ["partition"], out="offset")
+        return placed.select(text.alias("value"), "partition", "offset", "arrived")
+
+    def write(part: DataFrame) -> None:
+        (part.write.mode("append").option("timestampNTZFormat", "yyyy-MM-dd'T'HH:mm:ss.SSSSSS")
+         .option("compression", "gzip").json(path))
+
+    if batches == 1:
+        write(lines())
+        return path
+    lines = settled(spark, lines, "lines")
+    ends = lines.agg(F.min(epoch_micros("arrived")).alias("low"), F.max(epoch_micros("arrived")).alias("high"),
+                     F.count(F.lit(1)).alias("n")).first()
+    batches = max(batches, -(-ends.n // BATCH_ROWS))
+    span = F.floor((epoch_micros("arrived") - F.lit(ends.low)) * batches / F.lit(ends.high - ends.low + 1))
+    with settings(spark, LEAN):
+        for i in range(batches):
+            write(lines.where(span == i).repartition(CONSUMERS))
+    drop(lines)
     return path
 
 
@@ -73,11 +89,11 @@ def collected(stream: DataFrame) -> DataFrame:
     return spark.read.schema(stream.schema).parquet(out)
 
 
-def parsed(spark, sf, **how) -> DataFrame:
-    """The parsed stream; with ``batches`` in as many micro-batches."""
+def parsed(spark, sf, path: str | None = None, **how) -> DataFrame:
+    """The parsed stream, of the messages in ``path`` if there are any yet; with ``batches`` in as many micro-batches."""
     V.use_state_store(spark)
     files = CONSUMERS if how.get("batches", 1) > 1 else None
-    return V.parse_events(source_stream_events(spark, messages(spark, sf, **how), max_files=files), EVENT)
+    return V.parse_events(source_stream_events(spark, path or messages(spark, sf, **how), max_files=files), EVENT)
 
 
 @query("source_stream_events", WITH_TX + f"""
@@ -142,14 +158,18 @@ def _by_amount(df: DataFrame) -> DataFrame:
 def _scored_tables(spark, sf) -> tuple[DataFrame, ...]:
     """The whole scoring stream; returns the risk, alert and late tables."""
     folder, checkpoint = scratch_path(spark, "routed"), scratch_path(spark, "checkpoint")
-    profiles = {"device": device_profile(d(spark, sf))}
-    stream = V.late_tag(parsed(spark, sf, late=True, batches=3))
+    profiles = {"device": settled(spark, lambda: device_profile(d(spark, sf)), "device_profile")}  # each batch reads it
+    path = messages(spark, sf, late=True, batches=3)
+    stream = V.late_tag(parsed(spark, sf, path, batches=3))
 
     def score(batch: DataFrame) -> DataFrame:
         enriched = Z.enrich_stream_profiles(batch, profiles)
         return Z.score_events(enriched, _by_amount, "by_amount", "1")
 
     Z.scoring_stream(stream, folder, checkpoint, score).awaitTermination()
+    for passed in (path, checkpoint):
+        remove(spark, passed)
+    drop(profiles["device"])
     return tuple(spark.read.parquet(f"{folder}/{n}")
                  for n in ("risk_results", "alert_events", "late_events"))
 

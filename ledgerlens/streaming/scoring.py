@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from ledgerlens.operators.derive import Thresholds, flat_columns, reason_codes, risk_decision
 from ledgerlens.operators.joins import PROFILE_JOINS, graph_feature_plan, lookup
 from ledgerlens.operators.models import RiskModel, score_batch
+from ledgerlens.session import LEAN, forget_shuffles, settings
 from ledgerlens.sources import model_store as M
 from ledgerlens.streaming.windows import join_back, window_state
 
@@ -93,14 +94,14 @@ def route(scored: DataFrame, folder: str, batch_id: int) -> None:
     what a message sink would partition by.
     """
     keyed = scored.withColumn("key", F.coalesce("payer_id", "transaction_id", F.lit("")))
-    rows = keyed.persist()
-    try:
+    spark = keyed.sparkSession
+    path = lambda name: f"{folder}/{name}/batch={batch_id}"
+    with settings(spark, LEAN):
+        keyed.write.mode("overwrite").parquet(path("risk_results"))
+        rows = spark.read.schema(keyed.schema).parquet(path("risk_results"))  # scored once
         alert = (F.col("risk_level") == "high") | (F.col("decision") == "reject")
-        for name, part in (("risk_results", rows), ("alert_events", rows.where(alert)),
-                           ("late_events", rows.where("is_late_event"))):
-            part.write.mode("overwrite").parquet(f"{folder}/{name}/batch={batch_id}")
-    finally:
-        rows.unpersist()
+        for name, part in (("alert_events", rows.where(alert)), ("late_events", rows.where("is_late_event"))):
+            part.write.mode("overwrite").parquet(path(name))
 
 
 def scoring_stream(events: DataFrame, folder: str, checkpoint: str,
@@ -114,6 +115,7 @@ def scoring_stream(events: DataFrame, folder: str, checkpoint: str,
     partials = window_state(events)
 
     def handle(batch: DataFrame, batch_id: int) -> None:
+        forget_shuffles(batch.sparkSession)  # those of the batch before
         route(score(join_back(batch, schema)), folder, batch_id)
 
     return (partials.writeStream.outputMode("append").foreachBatch(handle)
